@@ -10,23 +10,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import lower_tokens, ngrams
+from ..functions.tokens import lower_tokens
 
 ORDERS = (1, 2, 3, 4)
 _BLEU = 10  # BLEU grams keep their case, so their orders are counted apart: 11..14
 
 
-def _grams(column: str, side: str, lower: bool, orders, base: int) -> list[Column]:
-    tokens = F.coalesce(F.col(column), F.array().cast("array<string>"))
-    tokens = lower_tokens(tokens) if lower else tokens
+def _gram_columns(df: DataFrame, key: list[str], wanted: dict[str, tuple[str, bool]]) -> DataFrame:
+    """``wanted`` maps new names to (token column, lower case?); adds ``<name>_1`` to ``<name>_4``.
 
-    def tagged(n: int) -> Column:
-        return F.transform(
-            ngrams(tokens, n),
-            lambda g: F.struct(F.lit(side).alias("side"), F.lit(base + n).alias("n"), g.alias("gram")),
-        )
+    Every order is built from the one below it in a projection of its own, so each list is computed
+    once and read as a column.
+    """
+    columns = []
+    for name, (column, lower) in wanted.items():
+        tokens = F.coalesce(F.col(column), F.array().cast("array<string>"))
+        columns.append((lower_tokens(tokens) if lower else tokens).alias(f"{name}_1"))
+    df = df.select(*key, *columns)
+    for n in ORDERS[1:]:
+        df = df.withColumns({f"{name}_{n}": _longer(f"{name}_{n - 1}", f"{name}_1", n) for name in wanted})
+    return df
+
+
+def _longer(shorter: str, tokens: str, n: int) -> Column:
+    """Grams of order ``n``: each gram of order ``n - 1`` but the last and the token after it."""
+    many = F.size(tokens) - (n - 1)
+    grams = F.zip_with(
+        F.slice(shorter, F.lit(1), many), F.slice(tokens, F.lit(n), many), lambda g, t: F.concat(g, F.lit(" "), t)
+    )
+    return F.when(many > 0, grams).otherwise(F.array().cast("array<string>"))
+
+
+def _tagged(name: str, side: str, base: int) -> list[Column]:
+    """One list of ``side, n, gram`` per order."""
+
+    def order(n: int) -> Column:
+        tag = [F.lit(side).alias("side"), F.lit(base + n).alias("n")]
+        return F.transform(F.col(f"{name}_{n}"), lambda g: F.struct(*tag, g.alias("gram")))
 
-    return [tagged(n) for n in orders]
+    return [order(n) for n in ORDERS]
 
 
 def gram_counts(
@@ -34,8 +56,9 @@ def gram_counts(
 ) -> DataFrame:
     """``key, n, gram`` and one count column per side."""
     placed = df if partitioned else df.repartition(*key)
-    parts = [p for side, column in sides.items() for p in _grams(column, side, lower, ORDERS, 0)]
-    rows = placed.select(*key, F.explode(F.flatten(F.array(*parts))).alias("g"))
+    ready = _gram_columns(placed, key, {f"__{s}": (c, lower) for s, c in sides.items()})
+    parts = [p for side in sides for p in _tagged(f"__{side}", side, 0)]
+    rows = ready.select(*key, F.explode(F.flatten(F.array(*parts))).alias("g"))
     return _count(rows, key, list(sides))
 
 
@@ -69,13 +92,17 @@ def sentence_scores(
     (or by part of it), which saves the one shuffle.
     """
     placed = df if partitioned else df.repartition(*key)
+    wanted: dict[str, tuple[str, bool]] = {}
     parts: list[Column] = []
     if sari:
-        for side, column in (("s", origin), ("c", hypothesis), ("r", reference)):
-            parts += _grams(column, side, True, ORDERS, 0)
+        wanted |= {"__ls": (origin, True), "__lc": (hypothesis, True), "__lr": (reference, True)}
+        for side in ("s", "c", "r"):
+            parts += _tagged(f"__l{side}", side, 0)
     if bleu:
-        for side, column in (("c", hypothesis), ("r", reference)):
-            parts += _grams(column, side, False, ORDERS, _BLEU)
+        wanted |= {"__c": (hypothesis, False), "__r": (reference, False)}
+        for side in ("c", "r"):
+            parts += _tagged(f"__{side}", side, _BLEU)
+    placed = _gram_columns(placed, key, wanted)
     # A row without any gram still gets its scores: it keeps one row of no order.
     rows = placed.select(*key, F.explode_outer(F.flatten(F.array(*parts))).alias("g"))
     grams = _count(rows, key, ["s", "c", "r"])
@@ -87,28 +114,29 @@ def sentence_scores(
     added, added_all = (c > 0) & (s == 0), (r > 0) & (s == 0)
 
     def share(top: Column, bottom: Column) -> Column:
-        return F.sum(F.when(bottom > 0, top / bottom))
-
-    def number(condition: Column) -> Column:
-        return F.count(F.when(condition, 1))
-
-    by_order = grams.groupBy(*key, "n").agg(
-        share(kept_good, kept).alias("kp"),
-        share(kept_good, kept_all).alias("kr"),
-        number(kept > 0).alias("k_n"),
-        number(kept_all > 0).alias("ka_n"),
-        share(delete_good, deleted).alias("dp"),
-        number(deleted > 0).alias("d_n"),
-        number(delete_all > 0).alias("da_n"),
-        number(added & (r > 0)).alias("ag_n"),
-        number(added).alias("a_n"),
-        number(added_all).alias("aa_n"),
-        F.sum(F.least(c, r)).alias("clip"),
-        F.sum(c).alias("total"),
-        F.sum(r).alias("ref"),
-    )
+        return F.when(bottom > 0, top / bottom).otherwise(0.0)
+
+    # One value per gram first: the sums over an order are then plain sums of columns.
+    values: dict[str, Column] = {}
+    if sari:
+        values |= {
+            "kp": share(kept_good, kept),
+            "kr": share(kept_good, kept_all),
+            "k_n": (kept > 0).cast("int"),
+            "ka_n": (kept_all > 0).cast("int"),
+            "dp": share(delete_good, deleted),
+            "d_n": (deleted > 0).cast("int"),
+            "da_n": (delete_all > 0).cast("int"),
+            "ag_n": (added & (r > 0)).cast("int"),
+            "a_n": added.cast("int"),
+            "aa_n": added_all.cast("int"),
+        }
+    if bleu:
+        values |= {"clip": F.least(c, r), "total": c, "ref": r}
+    valued = grams.select(*key, "n", *[v.alias(name) for name, v in values.items()])
+    by_order = valued.groupBy(*key, "n").agg(*[F.sum(name).alias(name) for name in values])
     zero = F.lit(0.0)
-    kp, kr, dp = (F.coalesce(F.col(x), zero) for x in ("kp", "kr", "dp"))
+    kp, kr, dp = F.col("kp"), F.col("kr"), F.col("dp")
     keep = _f1(_ratio(kp, F.col("k_n")), _ratio(kr, F.col("ka_n")))
     # Deletion recall sums the precision shares over the recall count, as the scores to match do.
     delete = _f1(_ratio(dp, F.col("d_n")), _ratio(dp, F.col("da_n")))
