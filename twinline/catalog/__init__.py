@@ -1,4 +1,4 @@
 """All queries over the given tables, by inventory number."""
 
-from . import metrics  # noqa: F401
+from . import corpora, files, metrics, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

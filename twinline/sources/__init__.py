@@ -1,6 +1,7 @@
 """Readers; every one declares its schema and returns a DataFrame."""
 
 from .lines import (  # noqa: F401
+    read_column,
     read_lines,
     read_parallel_lines,
     read_parallel_outer,

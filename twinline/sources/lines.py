@@ -13,10 +13,11 @@ from ..schemas import ALIGNED, strings
 from .tabular import na_to_null
 
 
-def _one_column(spark: SparkSession, path: str, name: str, multiline: bool) -> DataFrame:
+def read_column(spark: SparkSession, path: str, name: str, multiline: bool = True, sep: str = "\t") -> DataFrame:
+    """One quoted column with ``row_id``."""
     scan = (
         spark.read.schema(strings(name))
-        .option("sep", "\t")
+        .option("sep", sep)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
@@ -35,7 +36,7 @@ def read_parallel_outer(
     """
     tables = {
         split: zip_outer(
-            _one_column(spark, src, "input", multiline), _one_column(spark, dst, "output", multiline)
+            read_column(spark, src, "input", multiline), read_column(spark, dst, "output", multiline)
         )
         for split, (src, dst) in paths.items()
     }
