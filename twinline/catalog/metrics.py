@@ -238,6 +238,9 @@ def best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(best, "loss", "accuracy", "perplexity")
 
 
+# The same without the token lists, for other sources of them.
+SARI_OF_TOKENS = SARI[len(TRIPLES) + 2 :]
+BLEU_OF_TOKENS = BLEU[len(TRIPLES) + 2 :]
 _BOTH = SARI + ",\n" + BLEU[len(TRIPLES) + 2 :]
 
 

@@ -198,6 +198,14 @@ def wordpiece(spark: SparkSession, sf_dir: str) -> WordPiece:
     return _WORDPIECES[key]
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``k, text``: every turn under the row number it has as an input of the large pair corpus."""
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select((F.shiftleft("conv_id", 34) + F.col("turn")).alias("k"), "text")
+
+
+TURNS = "turns AS (SELECT conv_id * 17179869184 + turn AS k, text FROM conversations)"
+
 VOCAB = r"""base AS (
   SELECT 1 AS kind, token FROM (
     SELECT unnest(string_split(regexp_replace(text, '\s', '', 'g'), '')) AS token FROM conversations)
@@ -213,10 +221,9 @@ vocab AS (
   SELECT token, row_number() OVER (ORDER BY kind, token) + 4 FROM both_kinds)"""
 
 
-def pieces_sql(source: str, name: str = "tok") -> str:
+def pieces_sql(source: str, name: str = "tok", vocab: bool = True) -> str:
     """CTEs that cut ``source(k, text)`` into ``name(k, body, pieces)``, the latter with markers."""
-    return VOCAB + rf""",
-w_{name} AS (
+    return (VOCAB + ",\n" if vocab else "") + rf"""w_{name} AS (
   SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM (
     SELECT k, regexp_extract_all(text, '[!-/:-@\[-`{{-~]|\p{{P}}|[^\s!-/:-@\[-`{{-~\p{{P}}]+') AS ws FROM {source})),
 d_{name} AS (SELECT DISTINCT w FROM w_{name}),

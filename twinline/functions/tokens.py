@@ -1,4 +1,8 @@
-"""Token-list functions as column expressions."""
+"""Token-list functions as column expressions.
+
+Functions that look into a list many times expect a column, not a composed expression: inside a
+lambda Spark computes an expression anew for every element.
+"""
 
 from __future__ import annotations
 
@@ -57,13 +61,7 @@ def pieces_to_words(pieces: Column) -> Column:
 
 def word_numbers(pieces: Column) -> Column:
     """For every piece the running number (from 1) of its word."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        n = acc["n"] + F.when((acc["n"] == 0) | ~_is_continuation(piece), 1).otherwise(0)
-        return F.struct(n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return F.flatten(F.transform(pieces_per_word(pieces), lambda w, i: F.array_repeat(i + 1, F.size(w))))
 
 
 def pad_right(ids: Column, length: int | Column, pad: Column | int = PAD_ID) -> Column:

@@ -61,10 +61,9 @@ def evaluate(
     rows = rows.withColumn("meteor", meteor(F.col("hypothesis"), F.col("reference")))
     if store:
         rows = written(rows, "predicted")
-    words = rows.select(
-        row_id,
-        *[pieces_to_words(wordpiece.pieces(F.col(c))).alias(c) for c in ("origin", "hypothesis", "reference")],
-    )
+    names = ("origin", "hypothesis", "reference")
+    pieces = rows.select(row_id, *[wordpiece.pieces(F.col(c)).alias(c) for c in names])
+    words = pieces.select(row_id, *[pieces_to_words(F.col(c)).alias(c) for c in names])
     scores = sentence_scores(words, [row_id])
     return Evaluation(scores.join(rows, row_id))
 
