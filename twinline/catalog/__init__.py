@@ -1,4 +1,4 @@
 """All queries over the given tables, by inventory number."""
 
-from . import corpora, files, metrics, pieces, text  # noqa: F401
+from . import corpora, files, language, metrics, pieces, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -317,3 +317,14 @@ def negative_samples(tries: DataFrame, range_max: Column, key: str = "id", seed:
     top = range_max.cast("double") + 1
     drawn = F.floor(F.exp(uniform(F.col(key), seed) * F.log(top))).cast("long") - 1
     return tries.select(F.least(drawn, range_max.cast("long") - 1).alias("class")).distinct()
+
+
+def next_token_target(df: DataFrame, tokens: str, bsz: int, row_id: str = "row_id", block: int = 512) -> DataFrame:
+    """``lane, step, token, target``: each step of a lane with the token after it.
+
+    Read off the packed chunks, so a lane is never sorted as a whole.
+    """
+    packed = pack_contiguous(df, tokens, bsz, block, row_id=row_id)
+    pairs = F.posexplode(F.arrays_zip(F.col("data").alias("token"), F.col("target").alias("target")))
+    flat = packed.select("lane", "chunk", pairs.alias("i", "e"))
+    return flat.select("lane", (F.col("chunk") * block + F.col("i")).alias("step"), "e.token", "e.target")
