@@ -274,7 +274,7 @@ def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wiki(spark, sf_dir).select("row_id", F.length("input").alias("len"))
-    return split.length_buckets(rows, "len", 6)
+    return split.length_buckets(rows, "len", 6, store=True)
 
 
 @query(

@@ -156,13 +156,13 @@ def _weights(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
     size = vocab.agg(F.count(F.lit(1)).alias("n")).scalar()
     weighted = lm.sampling_weights(vocab, N_SAMPLE, size, exact=exact)
     # Weights are small: shown per million.
-    return weighted.select("token", "index", F.round(F.col("p") * 1e6, 3).alias("p_million"), F.round("log_q", 6).alias("log_q"))
+    return weighted.select("token", "index", F.round(F.col("p") * 1e6, 3).alias("p_million"), F.round("log_q", 4).alias("log_q"))
 
 
 @query(
     "lm_07_sampling_weights",
     f"WITH {_WEIGHTS} SELECT token, index, round(p * 1e6, 3) AS p_million, "
-    f"round(ln(1 - exp(-{2 * N_SAMPLE} * ln(1 + p))), 6) AS log_q FROM p",
+    f"round(ln(1 - exp(-{2 * N_SAMPLE} * ln(1 + p))), 4) AS log_q FROM p",
 )
 def sampling_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(spark, sf_dir, False)
@@ -171,7 +171,7 @@ def sampling_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "lm_07_sampling_weights_exact",
     f"WITH {_WEIGHTS} SELECT token, index, round(p * 1e6, 3) AS p_million, "
-    f"round(ln(1 - exp({2 * N_SAMPLE} * ln(1 - p))), 6) AS log_q FROM p",
+    f"round(ln(1 - exp({2 * N_SAMPLE} * ln(1 - p))), 4) AS log_q FROM p",
 )
 def sampling_weights_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weights(spark, sf_dir, True)

@@ -406,7 +406,7 @@ def _evaluation(spark: SparkSession, sf_dir: str):
     path = shared_dir(spark, "test-lines")
     sinks.write_parallel(wiki(spark, sf_dir), path)
     pairs = sources.read_parallel_lines(spark, f"{path}.src", f"{path}.dst")
-    return evaluate(pairs, wordpiece(spark, sf_dir), identity, store=False)
+    return evaluate(pairs, wordpiece(spark, sf_dir), identity)
 
 
 @query(

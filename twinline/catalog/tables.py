@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import split_ws
 from ..functions.wordpiece import WordPiece
 from ..operators.lm import add_eos
+from ..operators.vocab import word_counts
 from ..schemas import SPECIALS
 
 STEPS = 4
@@ -174,11 +175,14 @@ def hash_sql(column: str, seed: int) -> str:
 
 def piece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``token, index``: markers, characters, frequent words, and both again as continuations."""
-    texts = table(spark, sf_dir, "conversations").select("text")
-    chars = texts.select(F.explode(F.split(F.regexp_replace("text", r"\s", ""), "")).alias("token"))
-    chars = chars.filter(F.length("token") > 0).groupBy("token").count().filter(F.col("count") >= MIN_CHAR_COUNT)
-    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
-    words = words.filter(F.length("token") >= 2).groupBy("token").count()
+    texts = table(spark, sf_dir, "conversations").select(split_ws(F.col("text")).alias("chunks"))
+    # Blank-free chunks are counted first; characters and words come from the distinct ones.
+    chunks = word_counts(texts, "chunks").withColumnRenamed("token", "chunk")
+    total = F.sum("count").alias("count")
+    chars = chunks.select("count", F.explode(F.split("chunk", "")).alias("token")).filter(F.length("token") > 0)
+    chars = chars.groupBy("token").agg(total).filter(F.col("count") >= MIN_CHAR_COUNT)
+    words = chunks.select("count", F.explode(F.regexp_extract_all("chunk", F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
+    words = words.filter(F.length("token") >= 2).groupBy("token").agg(total)
     # The vocabulary's size is part of what it is: the most frequent words.
     words = words.orderBy(F.desc("count"), "token").limit(VOCAB_WORDS)
     base = chars.select(F.lit(1).alias("kind"), "token").unionByName(words.select(F.lit(3).alias("kind"), "token"))

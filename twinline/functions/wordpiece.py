@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.skew import is_small
+from ..operators.skew import collect_small
 from ..schemas import SPECIALS, UNK
 from .tokens import mark_text
 
@@ -80,9 +80,9 @@ class WordPiece:
 
     def __init__(self, vocab: DataFrame, token: str = "token", index: str = "index"):
         # A word-piece vocabulary is a fixed-size table; refuse to send anything else to the workers.
-        if not is_small(vocab, 1_000_000):
+        rows = collect_small(vocab.select(F.col(token), F.col(index).cast("int")), 1_000_000)
+        if rows is None:
             raise ValueError("a word-piece vocabulary has at most a million pieces")
-        rows = vocab.select(F.col(token), F.col(index).cast("int")).collect()
         self.ids = {r[0]: r[1] for r in rows}
         self._shared = vocab.sparkSession.sparkContext.broadcast(self.ids)
         self._name = uuid.uuid4().hex
@@ -133,11 +133,13 @@ class WordPiece:
 
     def to_pieces(self, ids: Column) -> Column:
         """Piece of each vocabulary index."""
-        shared = self._shared
+        shared, name = self._shared, self._name
 
         @F.pandas_udf("array<string>")
         def decode(lists: pd.Series) -> pd.Series:
-            names = {i: p for p, i in shared.value.items()}
+            names = _worker_memory(name + ":names")
+            if not names:
+                names.update((i, p) for p, i in shared.value.items())
             return pd.Series([None if row is None else [names.get(i, UNK) for i in row] for row in lists], dtype=object)
 
         return decode(ids)
@@ -149,6 +151,7 @@ _MEMORY: dict[str, dict] = {}
 def _worker_memory(key: str) -> dict:
     """Pieces seen by this worker process for one vocabulary."""
     if key not in _MEMORY:
-        _MEMORY.clear()
+        if len(_MEMORY) > 4:
+            _MEMORY.clear()
         _MEMORY[key] = {}
     return _MEMORY[key]

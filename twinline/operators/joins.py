@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import is_small, lookup
+from .skew import collect_small, lookup
 
 
 def exclude_overlap(
@@ -71,10 +71,10 @@ def tokens_to_ids(
     carries keys, places and ids only.
     """
     default = unk_id if isinstance(unk_id, Column) else F.lit(unk_id)
-    if small is None:
-        small = is_small(vocab)
-    if small:
-        return df.withColumn(ids, encode_with(vocab, token, index)(F.col(tokens), default.cast("int")))
+    coded = None if small is False else collect_small(vocab.select(F.col(token), F.col(index).cast("int")))
+    if coded is not None:
+        encode = encode_with(df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in coded}))
+        return df.withColumn(ids, encode(F.col(tokens), default.cast("int")))
     flat = df.select(*key, F.posexplode(tokens).alias("__pos", "__token"))
     found = lookup(
         flat,
@@ -90,10 +90,8 @@ def tokens_to_ids(
     return df.join(lists, key, "left").withColumn(ids, F.when(F.col(tokens).isNotNull(), F.coalesce(ids, empty)))
 
 
-def encode_with(vocab: DataFrame, token: str = "token", index: str = "index"):
-    """A column function ``(tokens, unk_id) -> ids`` over a vocabulary of checked small size."""
-    rows = vocab.select(F.col(token), F.col(index).cast("int")).collect()
-    table = vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
+def encode_with(table):
+    """A column function ``(tokens, unk_id) -> ids`` over a shared dictionary."""
 
     @F.pandas_udf("array<int>")
     def encode(tokens: pd.Series, unk: pd.Series) -> pd.Series:

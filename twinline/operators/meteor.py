@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
-from .skew import is_small
+from .skew import collect_small
 
 # Weights of the published metric.
 ALPHA, BETA, GAMMA = 0.9, 3.0, 0.5
@@ -80,10 +80,11 @@ def meteor(
     """
     table: dict[str, frozenset] = {}
     if synonyms is not None:
-        if not is_small(synonyms, 2_000_000):
+        rows = collect_small(synonyms.select("word", "synonym"), 2_000_000)
+        if rows is None:
             raise ValueError("a synonym table has at most two million rows")
         grouped: dict[str, set] = {}
-        for row in synonyms.select("word", "synonym").collect():
+        for row in rows:
             grouped.setdefault(row[0], set()).add(row[1])
         table = {w: frozenset(s) for w, s in grouped.items()}
 

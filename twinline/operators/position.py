@@ -12,6 +12,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 _BUCKET, _SCORE, _WEIGHT, _SUM, _BEFORE = "__bucket", "__score", "__weight", "__sum", "__before"
 
 
@@ -44,14 +46,18 @@ def prefix_sum(
     total: str | None = None,
     buckets: int | None = None,
     peek: DataFrame | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Add the sum of ``weight`` over all earlier rows (of the same ``by`` group).
 
     ``order`` must order the rows of a group totally and ``score`` must not decrease along it.
     ``total`` names an optional column for the sum over the whole group. ``peek`` may be a cheaper
-    table with the same scores, used only to choose bucket bounds.
+    table with the same scores, used only to choose bucket bounds. ``store`` writes ``df`` out first: the
+    rows are read three times, which only a plain scan can afford.
     """
     by = by or []
+    if store:
+        df = written(df, "ranked")
     weight = F.lit(1) if weight is None else weight
     if buckets is None:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

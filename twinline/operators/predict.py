@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.tokens import split_ws
-from .skew import is_small, lookup
+from .skew import collect_small, lookup
 
 # A predictor maps a list of texts to a list of candidate lists, best first.
 Predictor = Callable[[list[str]], list[list[str]]]
@@ -53,11 +53,12 @@ def identity() -> Predictor:
     return lambda texts: [[t] for t in texts]
 
 
-def substitute_words(table: dict[str, str]) -> Callable[[], Predictor]:
-    """Replace every white-space token found in the table."""
+def substitute_words(table) -> Callable[[], Predictor]:
+    """Replace every white-space token found in the shared dictionary."""
 
     def factory() -> Predictor:
-        return lambda texts: [[" ".join(table.get(w, w) for w in t.split())] for t in texts]
+        words = table.value
+        return lambda texts: [[" ".join(words.get(w, w) for w in t.split())] for t in texts]
 
     return factory
 
@@ -68,10 +69,9 @@ def lexical_substitution(df: DataFrame, text: str, lexicon: DataFrame, key: list
     A lexicon of checked small size goes to the workers; a larger one is joined by token with salted
     keys and the tokens are gathered again by row.
     """
-    if small is None:
-        small = is_small(lexicon)
-    if small:
-        table = {r[0]: r[1] for r in lexicon.select("word", "simple").collect()}
+    rows = None if small is False else collect_small(lexicon.select("word", "simple"))
+    if rows is not None:
+        table = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
         return batch_predict(df, text, substitute_words(table)).drop("candidate")
     flat = df.select(*key, F.posexplode(split_ws(F.col(text))).alias("__pos", "__word"))
     found = lookup(flat, lexicon.select("word", "simple"), [("__word", "word")], "left", F.xxhash64(*key, "__pos"), small=False)

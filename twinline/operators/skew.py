@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 # A side below this many rows may be broadcast; larger sides go through a salted shuffle join.
 BROADCAST_ROWS = 200_000
 SALTS = 16
@@ -15,6 +17,12 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def collect_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> list | None:
+    """The rows of a small table; None when it has more than ``rows``."""
+    found = df.limit(rows + 1).collect()
+    return found if len(found) <= rows else None
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -32,6 +40,8 @@ def lookup(
     hot key is shared by that many tasks.
     """
     if small is None:
+        # Written once: counted from the file, then joined from the file.
+        table = written(table, "lookup")
         small = is_small(table)
     renamed = table
     for _, right in on:

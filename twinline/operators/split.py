@@ -21,7 +21,7 @@ def random_key(col: Column, seed: int) -> Column:
 def first_appearance_rank(df: DataFrame, key: str = "doc_id", row_id: str = "row_id") -> DataFrame:
     """``key, first_row, rank``: documents ranked from 0 by their first row."""
     docs = df.groupBy(key).agg(F.min(row_id).alias("first_row"))
-    return prefix_sum(docs, ["first_row"], F.col("first_row"), name="rank")
+    return prefix_sum(docs, ["first_row"], F.col("first_row"), name="rank", store=True)
 
 
 def _leading(ordered: DataFrame, key: str, order: list[str], score: Column, n1: int, n2: int, names) -> DataFrame:
@@ -32,7 +32,7 @@ def _leading(ordered: DataFrame, key: str, order: list[str], score: Column, n1:
             "rank", F.row_number().over(Window.orderBy(*order)) - 1
         )
     else:
-        ranked = prefix_sum(ordered, order, score, name="rank").filter(F.col("rank") < n1 + n2)
+        ranked = prefix_sum(ordered, order, score, name="rank", store=True).filter(F.col("rank") < n1 + n2)
     return ranked.select(key, F.when(F.col("rank") < n1, names[0]).otherwise(names[1]).alias("split"))
 
 
@@ -106,10 +106,12 @@ def rank_candidates(
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def length_buckets(df: DataFrame, length: str, batch_size: int, row_id: str = "row_id") -> DataFrame:
+def length_buckets(
+    df: DataFrame, length: str, batch_size: int, row_id: str = "row_id", store: bool = False
+) -> DataFrame:
     """Add ``batch``: rows in order of length, ``batch_size`` rows each."""
     score = F.col(length).cast("double") + squash(F.col(row_id))
-    ranked = prefix_sum(df, [length, row_id], score, name="__rank")
+    ranked = prefix_sum(df, [length, row_id], score, name="__rank", store=store)
     return ranked.withColumn("batch", F.floor(F.col("__rank") / batch_size).cast("long")).drop("__rank")
 
 

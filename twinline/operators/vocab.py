@@ -27,11 +27,10 @@ def target_vocab_counts(tables: list[DataFrame], tokens: str) -> DataFrame:
 def vocab_by_first_seen(df: DataFrame, tokens: str, row_id: str = "row_id") -> DataFrame:
     """``token, index, count``; indexes follow the first appearance by row and place."""
     flat = df.select(F.col(row_id).alias("__row"), F.posexplode(tokens).alias("__pos", "token"))
-    seen = flat.groupBy("token").agg(
-        F.min(F.struct("__row", "__pos")).alias("__first"), F.count(F.lit(1)).alias("count")
-    )
-    seen = seen.select("token", "count", "__first.__row", "__first.__pos")
-    ranked = prefix_sum(seen, ["__row", "__pos"], F.col("__row"), name="index")
+    # Row and place as one number: its minimum is kept in a hash table, that of a pair would need a sort.
+    place = F.col("__row").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("__pos")
+    seen = flat.groupBy("token").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("count"))
+    ranked = prefix_sum(seen, ["__first"], F.col("__first"), name="index", store=True)
     return ranked.select("token", "index", "count")
 
 
@@ -45,7 +44,7 @@ def vocab_by_frequency(
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     counts = counts.filter((F.col("count") >= min_count) & ~F.col("token").isin(*specials))
     counts = counts.withColumn("__falling", -F.col("count"))
-    ranked = prefix_sum(counts, ["__falling", "token"], F.col("__falling") + text_score(F.col("token")), name="index")
+    ranked = prefix_sum(counts, ["__falling", "token"], F.col("__falling") + text_score(F.col("token")), name="index", store=True)
     ranked = ranked.select("token", (F.col("index") + len(specials)).alias("index"), "count")
     entries = [F.struct(F.lit(s).alias("token"), F.lit(i).cast("long").alias("index"), F.lit(0).cast("long").alias("count"))
                for i, s in enumerate(specials)]
