@@ -59,7 +59,7 @@ def cut_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``k, ids`` without markers."""
     wp = wordpiece(spark, sf_dir)
-    return turns(spark, sf_dir).select("k", wp.to_ids(wp.pieces(F.col("text"))).alias("ids"))
+    return turns(spark, sf_dir).select("k", wp.encode(F.col("text")).alias("ids"))
 
 
 def _marks(spark: SparkSession, sf_dir: str) -> tuple[int, int]:

@@ -18,6 +18,7 @@ from ..functions.wordpiece import WordPiece
 from ..operators.lm import add_eos
 from ..operators.vocab import word_counts
 from ..schemas import SPECIALS
+from ..session import spread
 
 STEPS = 4
 N_TRAIN, N_VALID = 80, 10
@@ -25,7 +26,8 @@ VOCAB_WORDS, MIN_CHAR_COUNT = 2000, 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name == "documents" else scan
 
 
 # ---------------------------------------------------------------- aligned pairs

@@ -20,8 +20,7 @@ def mark_text(col: Column) -> Column:
 
 def split_ws(col: Column) -> Column:
     """Tokens between white space; an empty text has none."""
-    text = strip(col)
-    return F.when(F.length(text) > 0, F.split(text, r"(?U)\s+")).when(col.isNotNull(), F.array().cast("array<string>"))
+    return F.array_remove(F.split(col, r"(?U)[\s\x1c-\x1f]+"), "")
 
 
 def _is_continuation(piece: Column) -> Column:

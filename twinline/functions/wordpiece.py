@@ -1,7 +1,7 @@
 """Word pieces by greedy longest match.
 
-The rows stay where they are: text goes to the Python workers in Arrow batches, and each worker
-remembers the pieces of the words it has seen, so the matching itself runs once per distinct word.
+The rows stay where they are: blank-free chunks go to the Python workers in Arrow batches, a batch
+looks at each distinct chunk once, and each worker remembers the pieces of the chunks it has seen.
 """
 
 from __future__ import annotations
@@ -10,18 +10,20 @@ import re
 import unicodedata
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import collect_small
 from ..schemas import SPECIALS, UNK
+from .lists import expand_values, map_values
 from .tokens import mark_text
 
 MAX_WORD = 100
 MAX_REMEMBERED = 500_000
 
-_BLANKS = re.compile("[ \t\n\r   -   　]+")
+# What separates words; other control characters are dropped.
+_BLANKS = r"[ \t\n\r\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+"
 _MARKERS = re.compile("(" + "|".join(re.escape(s) for s in SPECIALS) + ")")
 # Code ranges of ideographs, each a word of its own.
 _IDEOGRAPHS = [
@@ -87,30 +89,39 @@ class WordPiece:
         self._shared = vocab.sparkSession.sparkContext.broadcast(self.ids)
         self._name = uuid.uuid4().hex
 
-    def pieces(self, text: Column) -> Column:
-        """Pieces of a text as given, without markers."""
+    def _cut(self, text: Column, result: str) -> Column:
+        """Pieces of a text, or their indexes, as one list per row."""
         shared, name = self._shared, self._name
 
-        @F.pandas_udf("array<string>")
-        def split(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf(f"array<{result}>")
+        def cut(chunks: pa.Array) -> pa.Array:
             vocab = shared.value
             seen = _worker_memory(name)
+            places = _worker_memory(name + ":places")
+            if not places:
+                places.update((piece, i) for i, piece in enumerate(vocab))
 
-            def known(chunk: str) -> list[str]:
+            def known(chunk: str) -> list[int]:
                 found = seen.get(chunk)
                 if found is None:
-                    found = [p for w in _basic_words(chunk) for p in match_pieces(w, vocab)]
+                    found = [places[p] for w in _basic_words(chunk) for p in match_pieces(w, vocab)]
                     if len(seen) >= MAX_REMEMBERED:
                         seen.clear()
                     seen[chunk] = found
                 return found
 
-            return pd.Series(
-                [None if t is None else [p for c in _BLANKS.split(t) if c for p in known(c)] for t in texts],
-                dtype=object,
-            )
+            values = list(vocab) if result == "string" else list(vocab.values())
+            return expand_values(chunks, known, pa.array(values, pa.string() if result == "string" else pa.int32()))
+
+        return cut(F.split(text, _BLANKS))
+
+    def pieces(self, text: Column) -> Column:
+        """Pieces of a text as given, without markers."""
+        return self._cut(text, "string")
 
-        return split(text)
+    def encode(self, text: Column) -> Column:
+        """Vocabulary indexes of a text's pieces, without markers."""
+        return self._cut(text, "int")
 
     def tokenize(self, text: Column) -> Column:
         """Pieces of the marked text; a missing text gives the two markers."""
@@ -123,11 +134,9 @@ class WordPiece:
         """Vocabulary index of each piece, unknown pieces as ``[UNK]``."""
         shared = self._shared
 
-        @F.pandas_udf("array<int>")
-        def encode(lists: pd.Series) -> pd.Series:
-            ids = shared.value
-            unk = ids[UNK]
-            return pd.Series([None if row is None else [ids.get(p, unk) for p in row] for row in lists], dtype=object)
+        @F.arrow_udf("array<int>")
+        def encode(lists: pa.Array) -> pa.Array:
+            return map_values(lists, shared.value, shared.value[UNK], pa.int32())
 
         return encode(pieces)
 
@@ -135,12 +144,12 @@ class WordPiece:
         """Piece of each vocabulary index."""
         shared, name = self._shared, self._name
 
-        @F.pandas_udf("array<string>")
-        def decode(lists: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<string>")
+        def decode(lists: pa.Array) -> pa.Array:
             names = _worker_memory(name + ":names")
             if not names:
                 names.update((i, p) for p, i in shared.value.items())
-            return pd.Series([None if row is None else [names.get(i, UNK) for i in row] for row in lists], dtype=object)
+            return map_values(lists, names, UNK, pa.string())
 
         return decode(ids)
 
@@ -149,9 +158,9 @@ _MEMORY: dict[str, dict] = {}
 
 
 def _worker_memory(key: str) -> dict:
-    """Pieces seen by this worker process for one vocabulary."""
+    """What this worker process has worked out for one vocabulary."""
     if key not in _MEMORY:
-        if len(_MEMORY) > 4:
+        if len(_MEMORY) > 8:
             _MEMORY.clear()
         _MEMORY[key] = {}
     return _MEMORY[key]

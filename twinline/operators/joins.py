@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lists import map_values
 from .skew import collect_small, lookup
 
 
@@ -59,7 +60,7 @@ def tokens_to_ids(
     tokens: str,
     ids: str,
     key: list[str],
-    unk_id: int | Column,
+    unk_id: int,
     token: str = "token",
     index: str = "index",
     small: bool | None = None,
@@ -70,11 +71,10 @@ def tokens_to_ids(
     by token with salted keys and the ids of each row are gathered again by ``key``; that shuffle
     carries keys, places and ids only.
     """
-    default = unk_id if isinstance(unk_id, Column) else F.lit(unk_id)
     coded = None if small is False else collect_small(vocab.select(F.col(token), F.col(index).cast("int")))
     if coded is not None:
-        encode = encode_with(df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in coded}))
-        return df.withColumn(ids, encode(F.col(tokens), default.cast("int")))
+        table = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in coded})
+        return df.withColumn(ids, encode_with(table, unk_id)(F.col(tokens)))
     flat = df.select(*key, F.posexplode(tokens).alias("__pos", "__token"))
     found = lookup(
         flat,
@@ -84,20 +84,17 @@ def tokens_to_ids(
         spread=F.xxhash64(*key, "__pos"),
         small=False,
     )
-    coded = found.select(*key, F.struct("__pos", F.coalesce("__id", default.cast("int")).alias("__id")).alias("__e"))
+    coded = found.select(*key, F.struct("__pos", F.coalesce("__id", F.lit(unk_id)).alias("__id")).alias("__e"))
     lists = coded.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list("__e")), lambda e: e["__id"]).alias(ids))
     empty = F.array().cast("array<int>")
     return df.join(lists, key, "left").withColumn(ids, F.when(F.col(tokens).isNotNull(), F.coalesce(ids, empty)))
 
 
-def encode_with(table):
-    """A column function ``(tokens, unk_id) -> ids`` over a shared dictionary."""
+def encode_with(table, unk_id: int):
+    """A column function from tokens to indexes over a shared dictionary."""
 
-    @F.pandas_udf("array<int>")
-    def encode(tokens: pd.Series, unk: pd.Series) -> pd.Series:
-        ids = table.value
-        return pd.Series(
-            [None if row is None else [ids.get(t, u) for t in row] for row, u in zip(tokens, unk)], dtype=object
-        )
+    @F.arrow_udf("array<int>")
+    def encode(tokens: pa.Array) -> pa.Array:
+        return map_values(tokens, table.value, unk_id, pa.int32())
 
     return encode

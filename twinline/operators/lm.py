@@ -29,9 +29,8 @@ def _span(low: Column, high: Column, build) -> Column:
 
 
 def _stream(df: DataFrame, tokens: str, row_id: str, bsz: int) -> DataFrame:
-    """Rows with tokens: first place ``off``, length ``len``, steps per lane ``n_step``."""
+    """Rows with their first place ``off``, length ``len``, steps per lane ``n_step``."""
     sized = df.select(F.col(row_id).alias("__row"), F.col(tokens).alias("__tok"), F.size(tokens).cast("long").alias("len"))
-    sized = sized.filter(F.col("len") > 0)
     peek = df.select(F.col(row_id).alias("__row"))
     placed = prefix_sum(
         sized, ["__row"], F.col("__row"), F.col("len"), name="off", total="__n", peek=peek
@@ -213,15 +212,15 @@ def pack_sentences(
         (F.col(shard) if shard else F.lit("")).alias("shard"),
         F.col(row_id).alias("__row"),
         F.col(tokens).alias("__tok"),
-        (F.size(tokens) - 1).cast("long").alias("len"),
+        F.greatest(F.size(tokens) - 1, F.lit(0)).cast("long").alias("len"),
         F.pmod(key, F.lit(bsz)).cast("int").alias("lane"),
         key.alias("__key"),
-    ).filter(F.col("len") > 0)
+    )
     order = ["__key", "__row"] if shuffle else ["__row"]
     placed = prefix_sum(
         rows, order, F.col(order[0]).cast("double"), F.col("len"), by=["shard", "lane"], name="off"
     )
-    lanes = rows.groupBy("shard", "lane").agg(F.sum("len").alias("n"))
+    lanes = rows.groupBy("shard", "lane").agg(F.sum("len").alias("n")).filter(F.col("n") > 0)
     size, ext = F.lit(bptt).cast("long"), F.lit(ext_len).cast("long")
     full = lanes.groupBy("shard").agg(F.min(_div(F.col("n"), size)).alias("least"), F.count(F.lit(1)).alias("used"))
     full = full.select("shard", F.when(F.col("used") == bsz, F.col("least")).otherwise(0).alias("n_batch"))

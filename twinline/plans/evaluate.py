@@ -30,7 +30,7 @@ class Evaluation:
 
 def encode_field(df: DataFrame, column: str, wordpiece: WordPiece, max_len: int, double_specials: bool = True) -> DataFrame:
     """Replace a text column by its padded loader ids."""
-    ids = wordpiece.to_ids(wordpiece.pieces(F.col(column)))
+    ids = wordpiece.encode(F.col(column))
     marks = wordpiece.id_of(CLS), wordpiece.id_of(SEP)
     return df.withColumn("__ids", ids).withColumn(
         column, field_encode(F.col("__ids"), max_len, *marks, double_specials)
