@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import pad_right, split_ws
+from ..functions.tokens import exploded, pad_right, split_ws
 from ..operators import epochs
 from ..operators.joins import tokens_to_ids
 from ..operators.meteor import meteor
@@ -375,7 +375,7 @@ lexicon AS (
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per long word the most frequent word of the documents with the same first five letters."""
-    words = table(spark, sf_dir, "documents").select(F.explode(split_ws(F.col("text"))).alias("word"))
+    words = exploded(table(spark, sf_dir, "documents"), [], split_ws(F.col("text")), "word")
     counts = words.filter(F.length("word") >= 6).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("head", F.substring("word", 1, 5))
     best = counts.groupBy("head").agg(

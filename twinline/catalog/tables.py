@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import split_ws
+from ..functions.tokens import exploded, split_ws
 from ..functions.wordpiece import WordPiece
 from ..operators.lm import add_eos
 from ..operators.vocab import word_counts
@@ -141,7 +141,7 @@ stream AS (
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``row_id, shard, tokens``: the lines of all documents as sentences with edge marks."""
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = exploded(docs, ["doc_id", "source"], F.split("text", "\n"), "line", "n")
     return lines.select(
         (F.shiftleft("doc_id", 24) + F.col("n")).alias("row_id"),
         F.col("source").alias("shard"),
@@ -181,9 +181,9 @@ def piece_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Blank-free chunks are counted first; characters and words come from the distinct ones.
     chunks = word_counts(texts, "chunks").withColumnRenamed("token", "chunk")
     total = F.sum("count").alias("count")
-    chars = chunks.select("count", F.explode(F.split("chunk", "")).alias("token")).filter(F.length("token") > 0)
+    chars = exploded(chunks, ["count"], F.split("chunk", ""), "token").filter(F.length("token") > 0)
     chars = chars.groupBy("token").agg(total).filter(F.col("count") >= MIN_CHAR_COUNT)
-    words = chunks.select("count", F.explode(F.regexp_extract_all("chunk", F.lit(r"\p{L}+"), F.lit(0))).alias("token"))
+    words = exploded(chunks, ["count"], F.regexp_extract_all("chunk", F.lit(r"\p{L}+"), F.lit(0)), "token")
     words = words.filter(F.length("token") >= 2).groupBy("token").agg(total)
     # The vocabulary's size is part of what it is: the most frequent words.
     words = words.orderBy(F.desc("count"), "token").limit(VOCAB_WORDS)

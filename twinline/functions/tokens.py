@@ -6,13 +6,24 @@ lambda Spark computes an expression anew for every element.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CLS, PAD_ID, SEP
 from .clean import strip
 
 
+def exploded(df: DataFrame, keep: list, values: Column | str, name: str, place: str | None = None) -> DataFrame:
+    """One row per list element (and its ``place`` from 0); rows without elements vanish.
+
+    Spark puts a filter on the list's size under a plain explode and so computes a composed list twice.
+    The outer form, filtered afterwards, computes it once.
+    """
+    if place is None:
+        return df.select(*keep, F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+    return df.select(*keep, F.posexplode_outer(values).alias(place, name)).filter(F.col(place).isNotNull())
+
+
 def mark_text(col: Column) -> Column:
     """``[CLS] text [SEP]``; a missing text gives the two markers only."""
     return F.concat_ws(" ", F.lit(CLS), col, F.lit(SEP))

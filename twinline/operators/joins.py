@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import map_values
+from ..functions.tokens import exploded
 from .skew import collect_small, lookup
 
 
@@ -75,7 +76,7 @@ def tokens_to_ids(
     if coded is not None:
         table = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in coded})
         return df.withColumn(ids, encode_with(table, unk_id)(F.col(tokens)))
-    flat = df.select(*key, F.posexplode(tokens).alias("__pos", "__token"))
+    flat = exploded(df, key, tokens, "__token", "__pos")
     found = lookup(
         flat,
         vocab.select(F.col(token).alias("__t"), F.col(index).cast("int").alias("__id")),

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import exploded
 from .joins import tokens_to_ids
 from .position import prefix_sum
 from .skew import lookup
@@ -39,7 +40,7 @@ def _stream(df: DataFrame, tokens: str, row_id: str, bsz: int) -> DataFrame:
     return placed.withColumn("n_step", n_step).filter(F.col("n_step") > 0)
 
 
-def _lane_parts(placed: DataFrame, bsz: int, cut) -> Column:
+def _lane_parts(bsz: int, cut) -> Column:
     """``cut(lane, s0, s1, base)`` for each lane a row reaches: its steps s0..s1 (exclusive) start at
     place ``base`` of the row's tokens. Tokens after the last full lane are left out."""
     off, length, n_step = F.col("off"), F.col("len"), F.col("n_step")
@@ -87,7 +88,7 @@ def pack_contiguous(
 
         return _span(_div(F.greatest(s0 - 1, F.lit(0)), size), F.least(_div(s1 - 1 + ext, size), n_chunks - 1), chunk)
 
-    cuts = placed.select("n_step", F.explode(_lane_parts(placed, bsz, cut)).alias("c"))
+    cuts = exploded(placed, ["n_step"], _lane_parts(bsz, cut), "c")
     cuts = cuts.select("n_step", "c.*").filter(F.size("part") > 0)
     start = F.col("chunk") * size
     context = F.least(ext, start)
@@ -161,7 +162,7 @@ def pack_variable(
 
         return _span(_div(s0, block), _div(s1 - 1, block), piece)
 
-    pieces = placed.select("n_step", F.explode(_lane_parts(placed, bsz, cut)).alias("c")).select("n_step", "c.*")
+    pieces = exploded(placed, ["n_step"], _lane_parts(bsz, cut), "c").select("n_step", "c.*")
     borders = chunk_borders(df, n_step, bptt, std, min_len, max_deviation, seed)
     context = F.least(F.lit(ext_len).cast("long"), F.col("start"))
     reach = borders.withColumn("begin", F.col("start") - context).withColumn(
@@ -240,7 +241,7 @@ def pack_sentences(
         )
 
     chunks = _span(_div(off, size), F.least(_div(end - 1 + ext, size), F.col("n_batch") - 1), chunk)
-    cuts = placed.select("shard", "lane", F.explode(chunks).alias("c")).select("shard", "lane", "c.*")
+    cuts = exploded(placed, ["shard", "lane"], chunks, "c").select("shard", "lane", "c.*")
     ordered = F.sort_array(F.collect_list(F.struct("step", "d", "t")))
     context = F.least(ext, F.col("chunk") * size)
     packed = (
@@ -324,6 +325,6 @@ def next_token_target(df: DataFrame, tokens: str, bsz: int, row_id: str = "row_i
     Read off the packed chunks, so a lane is never sorted as a whole.
     """
     packed = pack_contiguous(df, tokens, bsz, block, row_id=row_id)
-    pairs = F.posexplode(F.arrays_zip(F.col("data").alias("token"), F.col("target").alias("target")))
-    flat = packed.select("lane", "chunk", pairs.alias("i", "e"))
+    pairs = F.arrays_zip(F.col("data").alias("token"), F.col("target").alias("target"))
+    flat = exploded(packed, ["lane", "chunk"], pairs, "e", "i")
     return flat.select("lane", (F.col("chunk") * block + F.col("i")).alias("step"), "e.token", "e.target")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import lower_tokens
+from ..functions.tokens import exploded, lower_tokens
 
 ORDERS = (1, 2, 3, 4)
 _BLEU = 10  # BLEU grams keep their case, so their orders are counted apart: 11..14
@@ -58,7 +58,7 @@ def gram_counts(
     placed = df if partitioned else df.repartition(*key)
     ready = _gram_columns(placed, key, {f"__{s}": (c, lower) for s, c in sides.items()})
     parts = [p for side in sides for p in _tagged(f"__{side}", side, 0)]
-    rows = ready.select(*key, F.explode(F.flatten(F.array(*parts))).alias("g"))
+    rows = exploded(ready, key, F.flatten(F.array(*parts)), "g")
     return _count(rows, key, list(sides))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tokens import split_ws
+from ..functions.tokens import exploded, split_ws
 from .skew import collect_small, lookup
 
 # A predictor maps a list of texts to a list of candidate lists, best first.
@@ -73,7 +73,7 @@ def lexical_substitution(df: DataFrame, text: str, lexicon: DataFrame, key: list
     if rows is not None:
         table = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
         return batch_predict(df, text, substitute_words(table)).drop("candidate")
-    flat = df.select(*key, F.posexplode(split_ws(F.col(text))).alias("__pos", "__word"))
+    flat = exploded(df, key, split_ws(F.col(text)), "__word", "__pos")
     found = lookup(flat, lexicon.select("word", "simple"), [("__word", "word")], "left", F.xxhash64(*key, "__pos"), small=False)
     pairs = found.select(*key, F.struct("__pos", F.coalesce("simple", "__word").alias("w")).alias("e"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["w"]), " ")

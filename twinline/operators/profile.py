@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tokens import word_starts
+from ..functions.tokens import exploded, word_starts
 from ..schemas import CLS, MAX_PIECES, MIN_LENGTH_START, SEP, UNK
 
 
@@ -21,7 +21,7 @@ def _measured(sentences: DataFrame, limit: int) -> DataFrame:
 
 def token_counts(sentences: DataFrame, limit: int = MAX_PIECES, by: tuple[str, ...] = ("side",)) -> DataFrame:
     """How often each piece occurs, markers left out; over sentences of at most ``limit`` pieces."""
-    pieces = _measured(sentences, limit).select(*by, F.explode("pieces").alias("token"))
+    pieces = exploded(_measured(sentences, limit), [*by], "pieces", "token")
     return pieces.filter(~F.col("token").isin(CLS, SEP)).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("count"))
 
 

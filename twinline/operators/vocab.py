@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import exploded
 from .position import prefix_sum, text_score
 
 # Leading entries of a frequency vocabulary.
@@ -13,7 +14,7 @@ FIELD_SPECIALS = ("<unk>", "<pad>", "<sos>", "<eos>")
 
 def word_counts(df: DataFrame, tokens: str) -> DataFrame:
     """Occurrences per word; equal words are added up before the shuffle."""
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    return exploded(df, [], tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
 def target_vocab_counts(tables: list[DataFrame], tokens: str) -> DataFrame:
@@ -26,7 +27,7 @@ def target_vocab_counts(tables: list[DataFrame], tokens: str) -> DataFrame:
 
 def vocab_by_first_seen(df: DataFrame, tokens: str, row_id: str = "row_id") -> DataFrame:
     """``token, index, count``; indexes follow the first appearance by row and place."""
-    flat = df.select(F.col(row_id).alias("__row"), F.posexplode(tokens).alias("__pos", "token"))
+    flat = exploded(df, [F.col(row_id).alias("__row")], tokens, "token", "__pos")
     # Row and place as one number: its minimum is kept in a hash table, that of a pair would need a sort.
     place = F.col("__row").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("__pos")
     seen = flat.groupBy("token").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("count"))
@@ -38,7 +39,7 @@ def vocab_by_frequency(
     df: DataFrame, tokens: str, min_count: int = 2, specials: tuple[str, ...] = FIELD_SPECIALS, lower: bool = True
 ) -> DataFrame:
     """``token, index, count``; specials first, then words by falling count, equal counts by text."""
-    words = df.select(F.explode(tokens).alias("token"))
+    words = exploded(df, [], tokens, "token")
     if lower:
         words = words.select(F.lower("token").alias("token"))
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
