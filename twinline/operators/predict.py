@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,16 +36,20 @@ def batch_predict(df: DataFrame, text: str, factory: Callable[[], Predictor], k:
         [*df.schema.fields, T.StructField("candidate", T.IntegerType()), T.StructField("hypothesis", T.StringType())]
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _once_per_worker(name, factory)
         for batch in batches:
-            found = [c[:k] for c in predict(batch[text].fillna("").tolist())]
-            repeated = batch.loc[batch.index.repeat([len(c) for c in found])].reset_index(drop=True)
-            repeated["candidate"] = [i + 1 for c in found for i in range(len(c))]
-            repeated["hypothesis"] = [h for c in found for h in c]
-            yield repeated
-
-    return df.mapInPandas(run, schema)
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            found = [c[:k] for c in predict(texts)]
+            rows = pa.array([i for i, c in enumerate(found) for _ in c], pa.int32())
+            repeated = batch.take(rows)
+            candidate = pa.array([i + 1 for c in found for i in range(len(c))], pa.int32())
+            hypothesis = pa.array([h for c in found for h in c], pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*repeated.columns, candidate, hypothesis], [*batch.schema.names, "candidate", "hypothesis"]
+            )
+
+    return df.mapInArrow(run, schema)
 
 
 def identity() -> Predictor:

@@ -47,6 +47,8 @@ def vocab_by_frequency(
     counts = counts.withColumn("__falling", -F.col("count"))
     ranked = prefix_sum(counts, ["__falling", "token"], F.col("__falling") + text_score(F.col("token")), name="index", store=True)
     ranked = ranked.select("token", (F.col("index") + len(specials)).alias("index"), "count")
+    if not specials:
+        return ranked
     entries = [F.struct(F.lit(s).alias("token"), F.lit(i).cast("long").alias("index"), F.lit(0).cast("long").alias("count"))
                for i, s in enumerate(specials)]
     head = df.sparkSession.range(1).select(F.inline(F.array(*entries)))
