@@ -35,7 +35,7 @@ def assign_split(
     df: DataFrame, heads: DataFrame, key: str = "doc_id", default: str = "test", small: bool | None = None
 ) -> DataFrame:
     """Give each row its document's split; documents not in ``heads(key, split)`` get ``default``."""
-    joined = lookup(df, heads, [(key, key)], "left", spread=F.xxhash64(*df.columns), small=small)
+    joined = lookup(df, heads, [(key, key)], "left", spread=F.xxhash64(*df.columns), null_safe=True, small=small)
     return joined.withColumn("split", F.coalesce("split", F.lit(default)))
 
 

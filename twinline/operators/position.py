@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
+# Rows looked at per bucket when choosing bounds.
+SAMPLE = 1000
 _BUCKET, _SCORE, _WEIGHT, _SUM, _BEFORE = "__bucket", "__score", "__weight", "__sum", "__before"
 
 
@@ -29,10 +31,19 @@ def text_score(col: Column) -> Column:
 
 
 def _bounds(df: DataFrame, score: Column, buckets: int) -> list[float]:
+    """Quantiles of the score as bucket bounds.
+
+    From about ``SAMPLE`` rows per bucket, so the summaries that meet in one task stay small. A sample
+    only evens out the buckets; every row is then placed and ranked.
+    """
     points = [i / buckets for i in range(1, buckets)]
     if not points:
         return []
-    row = df.agg(F.percentile_approx(score, points, 10 * buckets + 1000).alias("q")).first()
+    scores = df.select(score.alias(_SCORE))
+    rows, wanted = scores.count(), SAMPLE * buckets
+    if rows > wanted:
+        scores = scores.sample(wanted / rows, seed=1)
+    row = scores.agg(F.percentile_approx(_SCORE, points, 10 * buckets + 1000).alias("q")).first()
     return sorted(set(row["q"] or []))
 
 
@@ -62,7 +73,7 @@ def prefix_sum(
     if buckets is None:
         buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = df.withColumn(_SCORE, score.cast("double"))
-    bounds = _bounds(scored if peek is None else peek.withColumn(_SCORE, score.cast("double")), F.col(_SCORE), buckets)
+    bounds = _bounds(df if peek is None else peek, score.cast("double"), buckets)
     if bounds:
         splits = [float("-inf"), *bounds, float("inf")]
         scored = Bucketizer(splits=splits, inputCol=_SCORE, outputCol=_BUCKET).transform(scored)

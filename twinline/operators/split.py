@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .joins import assign_split
-from .position import prefix_sum, squash, text_score
+from .position import prefix_sum, squash
 
 # Below this many leading documents or rows a split is made from a distributed top-k.
 TOP_K_ROWS = 100_000
@@ -33,7 +34,9 @@ def _leading(ordered: DataFrame, key: str, order: list[str], score: Column, n1:
         )
     else:
         ranked = prefix_sum(ordered, order, score, name="rank", store=True).filter(F.col("rank") < n1 + n2)
-    return ranked.select(key, F.when(F.col("rank") < n1, names[0]).otherwise(names[1]).alias("split"))
+    heads = ranked.select(key, F.when(F.col("rank") < n1, names[0]).otherwise(names[1]).alias("split"))
+    # Written once: both the training and the held-out rows look documents up in it.
+    return written(heads, "heads")
 
 
 def last_per_group(df: DataFrame, keys: list[str], row_id: str = "row_id") -> DataFrame:
@@ -113,9 +116,3 @@ def length_buckets(
     score = F.col(length).cast("double") + squash(F.col(row_id))
     ranked = prefix_sum(df, [length, row_id], score, name="__rank", store=store)
     return ranked.withColumn("batch", F.floor(F.col("__rank") / batch_size).cast("long")).drop("__rank")
-
-
-__all__ = [
-    "document_split", "first_appearance_rank", "last_per_group", "length_buckets", "random_key", "random_split",
-    "rank_candidates", "shuffle_rows", "text_score",
-]
