@@ -42,6 +42,24 @@ def test_prefix_sum_of_nothing_and_one_hot_value(spark):
     assert all(r["id"] == r["n"] for r in found.collect())
 
 
+def test_bounds_from_a_sample_change_nothing(spark, monkeypatch):
+    from twinline.operators import position
+
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("k"))
+    monkeypatch.setattr(position, "SAMPLE", 5)
+    found = prefix_sum(df, ["k"], F.col("k"), name="n", buckets=20).collect()
+    places = {k: i for i, k in enumerate(sorted(r["k"] for r in found))}
+    assert len(places) == 5000 and all(places[r["k"]] == r["n"] for r in found)
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf_dir):
+    from twinline.catalog import QUERIES
+
+    plan = QUERIES["fil_07_select_language"](spark, sf_dir).drop("text")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in text and "ReadSchema: struct<doc_id:bigint,lang:string>" in text
+
+
 def test_text_score_follows_text_order(spark):
     words = ["", "a", "aa", "ab", "abcdefg", "b", "é", "中", "\U0001f600", "Z", "~"]
     found = spark.createDataFrame([(w,) for w in words], "w string").select("w", text_score(F.col("w")).alias("s")).collect()
