@@ -101,9 +101,11 @@ def prefix_sum(
     )
 
 
-def number_scan(scan: DataFrame, name: str = "row_id") -> DataFrame:
+def number_scan(scan: DataFrame, name: str = "row_id", file: str | None = None) -> DataFrame:
     """Number the rows of a file scan 0, 1, 2, ... in file and line order, without moving them.
 
+    With ``file`` numbers start again in every file and that column holds the file's path.
+
     Rows of one input split come from one task in order, so a row's number is its place in the split
     plus the row counts of the earlier splits. The counts come from a first pass over the files.
     """
@@ -116,7 +118,8 @@ def number_scan(scan: DataFrame, name: str = "row_id") -> DataFrame:
     spans = tagged.groupBy("__file", "__start").agg(
         F.min("__seen").alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
-    earlier = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("__file").orderBy("__start") if file else Window.orderBy("__file", "__start")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = spans.select(
         "__file",
         "__start",
@@ -125,8 +128,7 @@ def number_scan(scan: DataFrame, name: str = "row_id") -> DataFrame:
     # One row per input split. Splits number at most the files plus the scan's tasks.
     if len(scan.inputFiles()) + scan.rdd.getNumPartitions() <= 1_000_000:
         starts = F.broadcast(starts)
-    return (
-        tagged.join(starts, ["__file", "__start"])
-        .withColumn(name, F.col("__shift") + F.col("__seen"))
-        .drop("__file", "__start", "__seen", "__shift")
-    )
+    numbered = tagged.join(starts, ["__file", "__start"]).withColumn(name, F.col("__shift") + F.col("__seen"))
+    if file:
+        numbered = numbered.withColumn(file, F.col("__file"))
+    return numbered.drop("__file", "__start", "__seen", "__shift")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import strip
+from ..functions.tokens import split_fields, unescape_newlines
 from ..operators.joins import zip_inner, zip_outer
 from ..operators.position import number_scan
 from ..operators.sets import union_splits
@@ -60,8 +61,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw_split(spark: SparkSession, path: str, unescape: bool = True) -> DataFrame:
     """Whole lines cut at tabs into the five aligned columns."""
-    from ..functions.tokens import split_fields, unescape_newlines
-
     value = F.col("value")
     lines = spark.read.text(path).filter(F.length(value) > 0)
     return lines.select(*split_fields(unescape_newlines(value) if unescape else value, ALIGNED.names))
@@ -69,27 +68,5 @@ def read_raw_split(spark: SparkSession, path: str, unescape: bool = True) -> Dat
 
 def read_text_shards(spark: SparkSession, pattern: str) -> DataFrame:
     """Lines of many files: ``shard`` (the file's path), ``line`` (its number in the file), ``text``."""
-    scan = spark.read.text(pattern).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    tagged = scan.select(
-        F.col("file_path").alias("shard"),
-        F.col("file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__seen"),
-        F.col("value").alias("text"),
-    )
-    from pyspark.sql import Window
-
-    spans = tagged.groupBy("shard", "__start").agg(
-        F.min("__seen").alias("__first"), F.count(F.lit(1)).alias("__rows")
-    )
-    # One row per input split.
-    earlier = Window.partitionBy("shard").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spans.select(
-        "shard",
-        "__start",
-        (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"),
-    )
-    if len(scan.inputFiles()) + scan.rdd.getNumPartitions() <= 1_000_000:
-        starts = F.broadcast(starts)
-    return tagged.join(starts, ["shard", "__start"]).select(
-        "shard", (F.col("__seen") + F.col("__shift")).alias("line"), "text"
-    )
+    lines = number_scan(spark.read.text(pattern), "line", file="shard")
+    return lines.select("shard", "line", F.col("value").alias("text"))
