@@ -51,6 +51,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     maybe = marked.filter("maybe").drop("maybe")
     order = F.struct(-F.col("chars"), F.col("doc_id").isNull(), "doc_id", "row")
     best = maybe.groupBy("text_sha256").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    # From a table of its own the join has a shuffle on either side, which adaptive execution may split.
+    best = written(best, "groups")
     groups = maybe.join(best, "text_sha256").select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
