@@ -13,8 +13,10 @@ indexed too. Costs decide the order and the kind: shingles that are frequent in
 come last, in wider segments with one-deletion neighbours; most sets have enough units before. The sample
 moves only cost: a set that runs out of segments indexes single shingles as well, so no pair is ever lost.
 
-Sets with the same signature are compared with the smallest of them (and with each other in small buckets);
-those that differ from it are then compared with the whole bucket. Every pair is verified on its whole
+A set indexes a quarter more units than it needs. Signatures of many sets are heavy: two sets that both keep
+enough units without heavy ones meet in a light bucket anyway, so heavy buckets only compare pairs with a set that
+doesn't, and go through the bucket's smallest class first: sets that are linked to it need no further comparison.
+A bitmap of each set bounds the difference of a pair from below; pairs that it leaves are verified on their whole
 sets, and linked sets become components. Equal sets are one class from the start.
 """
 
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
+from .bits import cells, filter_bits, filter_words, may_hold
 from .components import components
 from .words import NOT_SPACE, mix, shingle_sets, word_slices
 
@@ -38,8 +41,10 @@ SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT_IN = 2000, 100_000, 4
 # Size bands end at 64 and then at four times the band before. A band's segments number half its largest set.
 FIRST_BAND = 64
 FIRST_SEGMENTS_LOG2 = 20
-# All pairs of a bucket of at most so many classes are verified; larger ones go through their smallest class first.
-SMALL_BUCKET = 8
+# A bucket of more classes is heavy. All pairs of a light one are compared.
+LIGHT_BUCKET = 8
+# Bits of a set's bitmap: about eight for each shingle, between these powers of two.
+LEAST_BITS_LOG2, MOST_BITS_LOG2, FOLDED_BITS = 10, 15, 1024
 # Signatures are dealt into cells by hash, each for about so many bytes of text.
 CELL_BYTES = 16 << 20
 # A block of signatures leaves a task when it has so many.
@@ -76,31 +81,61 @@ def _tag(segments: np.ndarray, space: int) -> np.ndarray:
     return mix(segments * np.uint64(1024) + np.uint64(space))
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The signatures a set is indexed with."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """The signatures a set is indexed with, and how many units it can spare."""
     n = len(tokens)
     units = (n + 4 * n // 3) // 7 + 1
+    wanted = units + units // 4 + 2
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         hot = frequent[at] == tokens
         rare, hot = tokens[~hot], tokens[hot]
     else:
         rare, hot = tokens, tokens[:0]
-    out = []
-    low = _band(n)
+    out, spare = [], wanted - units
     # A set has partners in the next band only if a third more elements reach it.
-    for band in range(low, _band(4 * n // 3) + 1):
-        left, log2 = units, _segments_log2(band)
+    for band in range(_band(n), _band(4 * n // 3) + 1):
+        left, log2 = wanted, _segments_log2(band)
         if len(rare):
             segments, _, sums = _subsets(rare, log2)
             out.append(sums[:left] ^ _tag(segments[:left], 4 * band))
             left -= len(segments)
         if left > 0 and len(hot):
             left = _one_deletions(hot, log2, band, left, out)
-        if left > 0:
-            out.append(tokens[:units] ^ _tag(np.full(min(units, n), 0, dtype=np.uint64), 4 * band + 2))
-    found = mix(np.concatenate(out))
-    return found
+        if left > wanted - units:
+            # Too few segments: all of them are indexed by now, and two such sets meet by single shingles.
+            alone = tokens[:wanted]
+            out.append(alone ^ _tag(np.zeros(len(alone), dtype=np.uint64), 4 * band + 2))
+            spare = min(spare, len(alone) - units)
+        else:
+            spare = min(spare, wanted - units - max(left, 0))
+    return mix(np.concatenate(out)), spare
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for the low bits of each shingle."""
+    bits = 1 << min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (8 * len(tokens) - 1).bit_length()))
+    flags = np.zeros(bits, dtype=bool)
+    flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def folded(bits: bytes) -> np.ndarray:
+    """A bitmap as ``FOLDED_BITS`` in 64-bit words."""
+    x = np.frombuffer(bits, dtype=np.uint8)
+    while 8 * len(x) > FOLDED_BITS:
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return x.view(np.uint64)
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of elements that only one of two sets has, from their bitmaps."""
+    x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _one_deletions(hot: np.ndarray, log2: int, band: int, left: int, out: list[np.ndarray]) -> int:
@@ -142,9 +177,15 @@ def _sample(docs: DataFrame, key: str, text: str) -> np.ndarray:
 
 def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFrame:
     """Two kinds of rows: a document with its class, or a block of a cell's signatures with their classes."""
-    schema = "doc_id long, n_shingles long, class long, cell int, block binary"
+    names = ["doc_id", "n_shingles", "class", "spare", "bits", "cell", "block"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    schema = "doc_id long, n_shingles long, class long, spare long, bits binary, cell int, block binary"
 
-    def blocks(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def batch_of(n: int, **columns) -> pa.RecordBatch:
+        whole = [columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(whole, names)
+
+    def blocks(parts: list[tuple[np.ndarray, np.ndarray]], sizes: dict[int, int]) -> Iterator[pa.RecordBatch]:
         found, owners = (np.concatenate(x) for x in zip(*parts, strict=True))
         cell = (found >> _HIGH) % np.uint64(cells)
         order = np.argsort(cell, kind="stable")
@@ -153,160 +194,193 @@ def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFr
         out = []
         for low, high in zip(starts, np.append(starts[1:], len(cell)), strict=True):
             # Classes are named once in a block, and by four-byte places after that.
-            names, places = np.unique(owners[low:high], return_inverse=True)
-            head = np.array([len(names)], dtype=np.int64)
+            classes, places = np.unique(owners[low:high], return_inverse=True)
+            counts = np.array([sizes[c] for c in classes.tolist()], dtype=np.int64)
             # The low 32 bits tell apart the signatures of a cell; a clash costs one more comparison.
-            out.append(
-                head.tobytes() + names.tobytes() + places.astype(np.uint32).tobytes() + found[low:high].astype(np.uint32).tobytes()
-            )
-        n = len(out)
-        none = pa.nulls(n, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.array(cell[starts].astype(np.int32)), pa.array(out, pa.binary())],
-            ["doc_id", "n_shingles", "class", "cell", "block"],
-        )
+            codes = [places.astype(np.uint32), found[low:high].astype(np.uint32)]
+            head = np.array([len(classes)], dtype=np.int64)
+            out.append(b"".join(x.tobytes() for x in (head, classes, counts, *codes)))
+        yield batch_of(len(out), cell=pa.array(cell[starts].astype(np.int32)), block=pa.array(out, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, {}
         for batch in batches:
-            counts, classes = [], []
+            rows = []
             for words in word_slices(batch.column("text"), NOT_SPACE):
                 for tokens in shingle_sets(words, SHINGLE):
-                    counts.append(len(tokens))
-                    classes.append(set_class(tokens) if len(tokens) else None)
-                    if len(tokens) and seen.get(classes[-1]) is None:
-                        seen[classes[-1]] = True
-                        found = signatures(tokens, frequent.value)
-                        held.append((found, np.full(len(found), classes[-1], dtype=np.int64)))
+                    if not len(tokens):
+                        rows.append((0, None, None, None))
+                        continue
+                    name = set_class(tokens)
+                    found, spare = signatures(tokens, frequent.value)
+                    rows.append((len(tokens), name, spare, bitmap(tokens)))
+                    if name not in seen:
+                        seen[name] = len(tokens)
+                        held.append((found, np.full(len(found), name, dtype=np.int64)))
                         size += len(found)
                 if size >= BLOCK:
-                    yield from blocks(held)
+                    yield from blocks(held, seen)
                     held, size, seen = [], 0, {}
-            n = len(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(classes, pa.int64()),
-                    pa.nulls(n, pa.int32()),
-                    pa.nulls(n, pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "class", "cell", "block"],
-            )
+            columns = zip(names[1:5], kinds[1:5], zip(*rows, strict=True), strict=True) if rows else ()
+            yield batch_of(len(rows), doc_id=batch.column("doc_id"), **{c: pa.array(x, k) for c, k, x in columns})
         if held:
-            yield from blocks(held)
+            yield from blocks(held, seen)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _buckets(blobs: list[bytes]) -> Iterator[np.ndarray]:
-    """The classes, sorted, of every signature that more than one class has."""
-    found, owners = [], []
+def _buckets(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The classes, sorted, and set sizes of every signature that more than one class has."""
+    found, owners, sizes = [], [], []
     for blob in blobs:
-        names = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
-        body = (len(blob) - 8 - 8 * names) // 8
-        places = np.frombuffer(blob, dtype=np.uint32, offset=8 + 8 * names, count=body)
-        owners.append(np.frombuffer(blob, dtype=np.int64, offset=8, count=names)[places])
-        found.append(np.frombuffer(blob, dtype=np.uint32, offset=8 + 8 * names + 4 * body, count=body))
-    found, owners = np.concatenate(found), np.concatenate(owners)
+        n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
+        body = (len(blob) - 8 - 16 * n) // 8
+        places = np.frombuffer(blob, dtype=np.uint32, offset=8 + 16 * n, count=body)
+        owners.append(np.frombuffer(blob, dtype=np.int64, offset=8, count=n)[places])
+        sizes.append(np.frombuffer(blob, dtype=np.int64, offset=8 + 8 * n, count=n)[places])
+        found.append(np.frombuffer(blob, dtype=np.uint32, offset=8 + 16 * n + 4 * body, count=body))
+    found, owners, sizes = (np.concatenate(x) for x in (found, owners, sizes))
     order = np.argsort(found, kind="stable")
-    found, owners = found[order], owners[order]
+    found, owners, sizes = found[order], owners[order], sizes[order]
     starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
     ends = np.append(starts[1:], len(found))
     for low, high in zip(*(x[ends - starts > 1] for x in (starts, ends)), strict=True):
-        members = np.unique(owners[low:high])
+        members, at = np.unique(owners[low:high], return_index=True)
         if len(members) > 1:
-            yield members
+            yield members, sizes[low:high][at]
 
 
 def _candidates(index: DataFrame) -> DataFrame:
-    """Pairs ``u < v`` of classes to verify, and the large buckets: ``u`` their smallest class, ``members`` all."""
+    """Three kinds of rows: pairs ``u < v`` to compare; heavy buckets, ``u`` their smallest class and ``members``
+    all; and how many heavy signatures, ``n``, class ``u`` has in a cell."""
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        u, v, hubs, large = [], [], [], {}
-        for members in _buckets(list(frame["block"])):
-            if len(members) <= SMALL_BUCKET:
+        seen, heavy, counted = [np.zeros((2, 0), dtype=np.int64)], {}, []
+        for members, sizes in _buckets(list(frame["block"])):
+            if len(members) <= LIGHT_BUCKET:
                 a, b = np.triu_indices(len(members), 1)
-                u.append(members[a])
-                v.append(members[b])
             else:
-                hub = members[0]
-                u.append(np.full(len(members) - 1, hub))
-                v.append(members[1:])
-                large[members.tobytes()] = hub
-        hubs = list(large.values())
-        both = np.unique(np.stack([np.concatenate(u), np.concatenate(v)]), axis=1) if u else np.zeros((2, 0), np.int64)
+                a, b = np.zeros(len(members) - 1, dtype=np.int64), np.arange(1, len(members))
+                heavy[members.tobytes()] = members[0]
+                counted.append(members)
+            near = 4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b])
+            seen.append(np.stack([members[a[near]], members[b[near]]]))
+        both = np.unique(np.concatenate(seen, axis=1), axis=1)
+        classes, counts = np.unique(np.concatenate([*counted, np.zeros(0, np.int64)]), return_counts=True)
+        tail = len(classes)
         return pd.DataFrame(
             {
-                "u": np.concatenate((both[0], np.array(hubs, dtype=np.int64))),
-                "v": pd.array([*both[1], *[None] * len(hubs)], dtype="Int64"),
-                "members": [*[None] * both.shape[1], *large],
+                "u": np.concatenate((both[0], np.array(list(heavy.values()), dtype=np.int64), classes)),
+                "v": pd.array([*both[1].tolist(), *[None] * (len(heavy) + tail)], dtype="Int64"),
+                "members": [*[None] * both.shape[1], *heavy, *[None] * tail],
+                "n": pd.array([*[None] * (both.shape[1] + len(heavy)), *counts.tolist()], dtype="Int64"),
             }
         )
 
     blocks = index.filter("cell is not null").select("cell", "block")
-    return blocks.groupBy("cell").applyInPandas(pairs, "u long, v long, members binary")
+    return blocks.groupBy("cell").applyInPandas(pairs, "u long, v long, members binary, n long")
 
 
-def _rest(large: DataFrame, failed: DataFrame) -> DataFrame:
-    """Pairs of a large bucket that its smallest class doesn't join: each class that isn't linked to it with all others."""
+def _members(heavy: DataFrame) -> DataFrame:
+    """``u, v``: the smallest class of a bucket with every one of it, distinct in a batch."""
 
-    def pairs(key, buckets: pd.DataFrame, apart: pd.DataFrame) -> pd.DataFrame:
-        odd = np.unique(apart["v"].to_numpy())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = [np.zeros((2, 0), dtype=np.int64)]
+            for blob in batch.column("members"):
+                members = np.frombuffer(blob.as_buffer(), dtype=np.int64)
+                seen.append(np.stack([np.full(len(members), members[0]), members]))
+            both = np.unique(np.concatenate(seen, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+
+    return heavy.select("members").mapInArrow(run, "u long, v long")
+
+
+def _rest(members: DataFrame, checked: DataFrame, bare: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs with a ``bare`` class among ``members(u, v)`` of the same heavy buckets, but for those whose classes
+    are both linked to ``u``, and for those that sizes or small bitmaps tell apart."""
+    known = classes.select(F.col("class").alias("v"), "n_shingles", "bits")
+    linked_to = checked.filter("similar").select("u", "v", F.lit(True).alias("linked"))
+    flags = members.join(known, "v").join(linked_to, ["u", "v"], "left")
+    flags = flags.join(bare.select(F.col("class").alias("v"), F.lit(True).alias("bare")), "v", "left")
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        names = group["v"].to_numpy(dtype=np.int64)
+        sizes = group["n_shingles"].to_numpy(dtype=np.int64)
+        joined = group["linked"].notna().to_numpy() | (names == group["u"].iloc[0])
+        maps = np.stack([folded(b) for b in group["bits"]])
         seen = [np.zeros((2, 0), dtype=np.int64)]
-        for blob in buckets["members"]:
-            members = np.frombuffer(blob, dtype=np.int64)
-            lone = members[np.isin(members, odd)]
-            for one in lone:
-                other = members[members != one]
-                seen.append(np.stack([np.minimum(one, other), np.maximum(one, other)]))
+        for one in np.flatnonzero(group["bare"].notna().to_numpy()):
+            fits = (4 * np.minimum(sizes, sizes[one]) >= 3 * np.maximum(sizes, sizes[one])) & (names != names[one])
+            if joined[one]:
+                fits &= ~joined
+            other = np.flatnonzero(fits)
+            apart = np.bitwise_count(maps[other] ^ maps[one]).sum(axis=1, dtype=np.int64)
+            other = other[apart <= (sizes[other] + sizes[one]) // 7]
+            seen.append(np.stack([np.minimum(names[one], names[other]), np.maximum(names[one], names[other])]))
         both = np.unique(np.concatenate(seen, axis=1), axis=1)
         return pd.DataFrame({"u": both[0], "v": both[1]})
 
-    return large.groupBy("u").cogroup(failed.groupBy("u")).applyInPandas(pairs, "u long, v long").distinct()
+    return flags.groupBy("u").applyInPandas(pairs, "u long, v long").distinct()
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps leave room for enough similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, m, n, x, y = (batch.column(c).to_pylist() for c in ("u", "v", "m", "n", "x", "y"))
+            near = [least_difference(a, b) <= (i + j) // 7 for a, b, i, j in zip(x, y, m, n, strict=True)]
+            kept = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"])
+            yield kept.filter(pa.array(near, pa.bool_()))
+
+    right = classes.select(F.col("class").alias("v"), F.col("n_shingles").alias("n"), F.col("bits").alias("y"))
+    left = classes.select(F.col("class").alias("u"), F.col("n_shingles").alias("m"), F.col("bits").alias("x"))
+    sized = pairs.join(right, "v").join(left, "u").filter("4 * least(m, n) >= 3 * greatest(m, n)")
+    return sized.mapInArrow(run, "u long, v long")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``u, v, similar`` of the given pairs, from the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                out.append(bool(linked(int(np.count_nonzero(y[at] == x)), len(x), len(y))))
+            x, y = ([s for w in word_slices(batch.column(c), NOT_SPACE) for s in shingle_sets(w, SHINGLE)] for c in "xy")
+            similar = [
+                bool(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))) for a, b in zip(x, y, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("u"), batch.column("v"), pa.array(out, pa.bool_())], ["u", "v", "similar"]
+                [batch.column("u"), batch.column("v"), pa.array(similar, pa.bool_())], ["u", "v", "similar"]
             )
 
-    held = pairs.join(sets.select(F.col("class").alias("v"), F.col("tokens").alias("y")), "v")
-    held = held.join(sets.select(F.col("class").alias("u"), F.col("tokens").alias("x")), "u")
+    held = pairs.join(texts.select(F.col("class").alias("v"), F.col("text").alias("y")), "v")
+    held = held.join(texts.select(F.col("class").alias("u"), F.col("text").alias("x")), "u")
     return held.mapInArrow(run, "u long, v long, similar boolean")
 
 
-def _sets(docs: DataFrame, key: str, text: str, classes: DataFrame) -> DataFrame:
-    """``class, tokens`` for the given classes, from one document each."""
+def _texts(docs: DataFrame, key: str, text: str, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``class, text`` for the classes of ``pairs``, from one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            classes, tokens = [], []
-            for words in word_slices(batch.column("text"), NOT_SPACE):
-                for found in shingle_sets(words, SHINGLE):
-                    classes.append(set_class(found) if len(found) else None)
-                    tokens.append(found.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(classes, pa.int64()), pa.array(tokens, pa.binary())], ["class", "tokens"]
-            )
+            names = [
+                set_class(found) if len(found) else None
+                for words in word_slices(batch.column("text"), NOT_SPACE)
+                for found in shingle_sets(words, SHINGLE)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), batch.column("text")], ["class", "text"])
 
-    wanted = classes.select("first").distinct()
-    texts = docs.select(F.col(key).cast("long").alias("first"), F.col(text).alias("text"))
-    texts = texts.join(wanted, texts["first"].eqNullSafe(wanted["first"]), "left_semi").select("text")
-    found = texts.mapInArrow(run, "class long, tokens binary").filter("class is not null")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+    wanted = written(classes.join(ends, "class", "left_semi").select("class", "first"), "wanted")
+    bits = filter_bits(wanted.count())
+    cell = wanted.select(F.explode(F.array(*cells(bits, "first"))).alias("cell")).distinct()
+    docs = docs.select(F.col(key).cast("long").alias("first"), F.col(text).alias("text"))
+    # Only documents that the filter may hold are shuffled.
+    docs = docs.filter(may_hold(filter_words(cell, bits), bits, "first"))
+    first = wanted.select(F.col("first").alias("other")).distinct()
+    held = docs.join(first, docs["first"].eqNullSafe(first["other"]), "left_semi").select("text").mapInArrow(run, "class long, text string")
     # Rows that share an id may bring sets of other classes, or one set twice.
-    return found.join(classes.select("class"), "class", "left_semi").groupBy("class").agg(F.first("tokens").alias("tokens"))
+    return held.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.max("text").alias("text"))
 
 
 def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -323,20 +397,29 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     frequent = spark.sparkContext.broadcast(_sample(docs, key, text))
     index = written(_index(docs, key, text, max(least, size // CELL_BYTES), frequent), "signatures")
     rows = index.filter("cell is null").select("doc_id", "n_shingles", "class")
-    classes = written(
-        rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("first")), "classes"
+    classes = index.filter("class is not null").groupBy("class").agg(
+        F.min("doc_id").alias("first"),
+        F.first("n_shingles").alias("n_shingles"),
+        F.first("spare").alias("spare"),
+        F.first("bits").alias("bits"),
     )
+    classes = written(classes, "classes")
 
     found = written(_candidates(index), "candidates")
     pairs = found.filter("v is not null").select("u", "v").distinct()
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("class")).distinct()
-    sets = written(_sets(docs, key, text, classes.join(ends, "class", "left_semi")), "sets")
-    checked = written(_verify(pairs, sets), "links")
-    failed = checked.filter(~F.col("similar")).select("u", "v")
-    large = found.filter("v is null").select("u", "members")
-    large = large.join(failed, "u", "left_semi")
-    more = _rest(large, failed).join(checked, ["u", "v"], "left_anti")
-    links = checked.filter("similar").select("u", "v").unionByName(_verify(more, sets).filter("similar").select("u", "v"))
+    near = written(_near(pairs, classes), "near")
+    checked = written(_verify(near, written(_texts(docs, key, text, classes, near), "texts")), "links")
+    # Classes that heavy signatures leave with too few units, and the heavy buckets they are in.
+    load = found.filter("n is not null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("n"))
+    bare = written(load.join(classes, "class").filter("2 * n > spare").select("class"), "bare")
+    members = _members(found.filter("members is not null")).distinct()
+    # Only heavy buckets with a bare class matter.
+    hubs = members.join(bare, F.col("v") == F.col("class"), "left_semi").select("u").distinct()
+    members = members.join(written(hubs, "hubs"), "u", "left_semi")
+    rest = _rest(members, checked, bare, classes).join(checked, ["u", "v"], "left_anti")
+    more = written(_near(rest, classes), "more")
+    later = _verify(more, written(_texts(docs, key, text, classes, more), "texts"))
+    links = checked.unionByName(later).filter("similar").select("u", "v")
 
     roots = components(links)
     named = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
