@@ -13,9 +13,9 @@ indexed too. Costs decide the order and the kind: shingles that are frequent in
 come last, in wider segments with one-deletion neighbours; most sets have enough units before. The sample
 moves only cost: a set that runs out of segments indexes single shingles as well, so no pair is ever lost.
 
-A set indexes a quarter more units than it needs. Signatures of many sets are heavy: two sets that both keep
+A set indexes an eighth more units than it needs. Signatures of many sets are heavy: two sets that both keep
 enough units without heavy ones meet in a light bucket anyway, so heavy buckets only compare pairs with a set that
-doesn't, and go through the bucket's smallest class first: sets that are linked to it need no further comparison.
+doesn't, and go through the bucket's smallest class first: what is one component by then needs no further comparison.
 A bitmap of each set bounds the difference of a pair from below; pairs that it leaves are verified on their whole
 sets, and linked sets become components. Equal sets are one class from the start.
 """
@@ -46,7 +46,7 @@ LIGHT_BUCKET = 8
 # Bits of a set's bitmap: about eight for each shingle, between these powers of two.
 LEAST_BITS_LOG2, MOST_BITS_LOG2, FOLDED_BITS = 10, 15, 1024
 # Signatures are dealt into cells by hash, each for about so many bytes of text.
-CELL_BYTES = 16 << 20
+CELL_BYTES = 32 << 20
 # A block of signatures leaves a task when it has so many.
 BLOCK = 1 << 20
 
@@ -85,7 +85,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
     """The signatures a set is indexed with, and how many units it can spare."""
     n = len(tokens)
     units = (n + 4 * n // 3) // 7 + 1
-    wanted = units + units // 4 + 2
+    wanted = units + units // 8 + 2
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         hot = frequent[at] == tokens
@@ -229,25 +229,31 @@ def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _buckets(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The classes, sorted, and set sizes of every signature that more than one class has."""
+def _buckets(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The classes and set sizes of all signatures that more than one class has, a bucket after the other; and the
+    buckets' starts and lengths."""
     found, owners, sizes = [], [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
         body = (len(blob) - 8 - 16 * n) // 8
         places = np.frombuffer(blob, dtype=np.uint32, offset=8 + 16 * n, count=body)
         owners.append(np.frombuffer(blob, dtype=np.int64, offset=8, count=n)[places])
-        sizes.append(np.frombuffer(blob, dtype=np.int64, offset=8 + 8 * n, count=n)[places])
+        sizes.append(np.frombuffer(blob, dtype=np.int64, offset=8 + 8 * n, count=n)[places].astype(np.int32))
         found.append(np.frombuffer(blob, dtype=np.uint32, offset=8 + 16 * n + 4 * body, count=body))
     found, owners, sizes = (np.concatenate(x) for x in (found, owners, sizes))
     order = np.argsort(found, kind="stable")
     found, owners, sizes = found[order], owners[order], sizes[order]
-    starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-    ends = np.append(starts[1:], len(found))
-    for low, high in zip(*(x[ends - starts > 1] for x in (starts, ends)), strict=True):
-        members, at = np.unique(owners[low:high], return_index=True)
-        if len(members) > 1:
-            yield members, sizes[low:high][at]
+    # Signatures of one class only go first; what is left is small.
+    same = found[1:] == found[:-1]
+    shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+    found, owners, sizes = found[shared], owners[shared], sizes[shared].astype(np.int64)
+    order = np.lexsort((owners, found))
+    found, owners, sizes = found[order], owners[order], sizes[order]
+    new = np.ones(len(found), dtype=bool)
+    new[1:] = (found[1:] != found[:-1]) | (owners[1:] != owners[:-1])
+    found, owners, sizes = found[new], owners[new], sizes[new]
+    starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+    return owners, sizes, starts, np.diff(np.append(starts, len(found)))
 
 
 def _candidates(index: DataFrame) -> DataFrame:
@@ -255,16 +261,23 @@ def _candidates(index: DataFrame) -> DataFrame:
     all; and how many heavy signatures, ``n``, class ``u`` has in a cell."""
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        owners, sizes, starts, lengths = _buckets(list(frame["block"]))
         seen, heavy, counted = [np.zeros((2, 0), dtype=np.int64)], {}, []
-        for members, sizes in _buckets(list(frame["block"])):
-            if len(members) <= LIGHT_BUCKET:
-                a, b = np.triu_indices(len(members), 1)
-            else:
-                a, b = np.zeros(len(members) - 1, dtype=np.int64), np.arange(1, len(members))
-                heavy[members.tobytes()] = members[0]
-                counted.append(members)
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
             near = 4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b])
-            seen.append(np.stack([members[a[near]], members[b[near]]]))
+            seen.append(np.stack([owners[a[near]], owners[b[near]]]))
+
+        for length in range(2, LIGHT_BUCKET + 1):
+            own = starts[lengths == length]
+            for i in range(length):
+                for j in range(i + 1, length):
+                    add(own + i, own + j)
+        for low, length in zip(*(x[lengths > LIGHT_BUCKET] for x in (starts, lengths)), strict=True):
+            members = owners[low : low + length]
+            heavy[members.tobytes()] = members[0]
+            counted.append(members)
+            add(np.full(length - 1, low), np.arange(low + 1, low + length))
         both = np.unique(np.concatenate(seen, axis=1), axis=1)
         classes, counts = np.unique(np.concatenate([*counted, np.zeros(0, np.int64)]), return_counts=True)
         tail = len(classes)
@@ -296,27 +309,30 @@ def _members(heavy: DataFrame) -> DataFrame:
     return heavy.select("members").mapInArrow(run, "u long, v long")
 
 
-def _rest(members: DataFrame, checked: DataFrame, bare: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs with a ``bare`` class among ``members(u, v)`` of the same heavy buckets, but for those whose classes
-    are both linked to ``u``, and for those that sizes or small bitmaps tell apart."""
+def _rest(members: DataFrame, roots: DataFrame, bare: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+    """Pairs with a ``bare`` class among ``members(u, v)`` of the same heavy buckets, but for those of one
+    component by ``roots``, and for those that sizes or small bitmaps tell apart. ``best`` keeps one partner for
+    each bare class and component, the one that its bitmap is nearest to."""
     known = classes.select(F.col("class").alias("v"), "n_shingles", "bits")
-    linked_to = checked.filter("similar").select("u", "v", F.lit(True).alias("linked"))
-    flags = members.join(known, "v").join(linked_to, ["u", "v"], "left")
+    flags = members.join(known, "v").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
+    flags = flags.withColumn("root", F.coalesce("root", "v"))
     flags = flags.join(bare.select(F.col("class").alias("v"), F.lit(True).alias("bare")), "v", "left")
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
         names = group["v"].to_numpy(dtype=np.int64)
         sizes = group["n_shingles"].to_numpy(dtype=np.int64)
-        joined = group["linked"].notna().to_numpy() | (names == group["u"].iloc[0])
+        parts = group["root"].to_numpy(dtype=np.int64)
         maps = np.stack([folded(b) for b in group["bits"]])
         seen = [np.zeros((2, 0), dtype=np.int64)]
         for one in np.flatnonzero(group["bare"].notna().to_numpy()):
-            fits = (4 * np.minimum(sizes, sizes[one]) >= 3 * np.maximum(sizes, sizes[one])) & (names != names[one])
-            if joined[one]:
-                fits &= ~joined
+            fits = (4 * np.minimum(sizes, sizes[one]) >= 3 * np.maximum(sizes, sizes[one])) & (parts != parts[one])
             other = np.flatnonzero(fits)
             apart = np.bitwise_count(maps[other] ^ maps[one]).sum(axis=1, dtype=np.int64)
-            other = other[apart <= (sizes[other] + sizes[one]) // 7]
+            close = apart <= (sizes[other] + sizes[one]) // 7
+            other, apart = other[close], apart[close]
+            if best and len(other):
+                other = other[np.lexsort((apart, parts[other]))]
+                other = other[np.concatenate(([True], parts[other][1:] != parts[other][:-1]))]
             seen.append(np.stack([np.minimum(names[one], names[other]), np.maximum(names[one], names[other])]))
         both = np.unique(np.concatenate(seen, axis=1), axis=1)
         return pd.DataFrame({"u": both[0], "v": both[1]})
@@ -393,9 +409,8 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequent = spark.sparkContext.broadcast(_sample(docs, key, text))
-    index = written(_index(docs, key, text, max(least, size // CELL_BYTES), frequent), "signatures")
+    index = written(_index(docs, key, text, max(12, size // CELL_BYTES), frequent), "signatures")
     rows = index.filter("cell is null").select("doc_id", "n_shingles", "class")
     classes = index.filter("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("first"),
@@ -416,12 +431,16 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Only heavy buckets with a bare class matter.
     hubs = members.join(bare, F.col("v") == F.col("class"), "left_semi").select("u").distinct()
     members = members.join(written(hubs, "hubs"), "u", "left_semi")
-    rest = _rest(members, checked, bare, classes).join(checked, ["u", "v"], "left_anti")
-    more = written(_near(rest, classes), "more")
-    later = _verify(more, written(_texts(docs, key, text, classes, more), "texts"))
-    links = checked.unionByName(later).filter("similar").select("u", "v")
+    roots = written(components(checked.filter("similar").select("u", "v")), "roots")
+    # First the likeliest partners, then all that are in different components after that.
+    for best in (True, False):
+        rest = _rest(members, roots, bare, classes, best).join(checked.select("u", "v"), ["u", "v"], "left_anti")
+        more = written(_near(rest, classes), "more")
+        later = written(_verify(more, written(_texts(docs, key, text, classes, more), "texts")), "links")
+        checked = checked.unionByName(later)
+        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = written(components(edges.unionByName(later.filter("similar").select("u", "v"))), "roots")
 
-    roots = components(links)
     named = classes.join(roots, classes["class"] == roots["node"], "left").withColumn("root", F.coalesce("root", "class"))
     least_id = named.filter("node is not null").groupBy("root").agg(F.min("first").alias("least"))
     named = named.join(least_id, "root", "left").select("class", F.coalesce("least", "first").alias("component_id"))
