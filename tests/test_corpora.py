@@ -309,3 +309,20 @@ def test_evaluate_flags(spark, wp):
 def test_prepare_aligned_drops_adjacent_versions(spark, wp):
     df = spark.createDataFrame([(0, "d", "V0", "V1", "a", "b"), (1, "d", "V0", "V2", "a", "b")], "row_id int, doc_id string, docv_input string, docv_output string, input string, output string")
     assert rows_of(prepare_aligned(df, wp).rows, "row_id") == [(1,)]
+
+
+def test_part_numbers_of_six_digits_follow_five(spark, tmp_path):
+    for name, line in (("part-99999", "first"), ("part-100000", "second")):
+        (tmp_path / name).write_text(line + "\n")
+    from twinline.operators.position import number_scan
+
+    rows = number_scan(spark.read.text(str(tmp_path))).collect()
+    assert {r["value"]: r["row_id"] for r in rows} == {"first": 0, "second": 1}
+
+
+def test_version_totals_tell_null_versions_from_totals(spark):
+    from twinline.operators.profile import version_pair_totals
+
+    rows = spark.createDataFrame([("V0", "V1"), ("V0", None), (None, None)], "docv_input string, docv_output string")
+    got = {(r["docv_input"], r["docv_output"], r["level"]): r["n"] for r in version_pair_totals(rows).collect()}
+    assert got["V0", None, 0] == 1 and got["V0", None, 1] == 2 and got[None, None, 0] == 1 and got[None, None, 3] == 3

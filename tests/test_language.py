@@ -64,12 +64,11 @@ def test_pack_sentences(docs, shuffle):
     bsz, bptt, ext = 3, 8, 5
     lists = {r["row_id"]: r["tokens"] for r in df.collect()}
     keys = {r[0]: r[1] for r in df.select("row_id", lm.random_key(F.col("row_id"), 2)).collect()}
-    lanes = []
-    for lane in range(bsz):
-        ids = [i for i in lists if keys[i] % bsz == lane]
-        ids.sort(key=(lambda i: (keys[i], i)) if shuffle else (lambda i: i))
-        lanes.append([pair for i in ids for pair in zip(lists[i], lists[i][1:])])
-    n = min(len(pairs) // bptt for pairs in lanes)
+    ids = sorted(lists, key=(lambda i: (keys[i], i)) if shuffle else (lambda i: i))
+    stream = [pair for i in ids for pair in zip(lists[i], lists[i][1:])]
+    lanes = lanes_of(stream, bsz)
+    n = len(lanes[0]) // bptt
+    assert len(stream) - n * bptt * bsz <= bsz * bptt + bsz
     expected = {}
     for lane, pairs in enumerate(lanes):
         for c in range(n):
@@ -91,9 +90,11 @@ def test_pack_shards_restart_per_shard(docs):
     assert len({r["shard_order"] for r in both}) == 2
 
 
-def test_a_lane_without_sentences_makes_no_batch(spark):
+def test_one_sentence_fills_all_lanes(spark):
     one = spark.createDataFrame([(1, ["a", "b", "c"])], "row_id long, tokens array<string>")
-    assert lm.pack_sentences(one, "tokens", 2, 1).count() == 0
+    found = lm.pack_sentences(one, "tokens", 2, 1).collect()
+    assert {(r["lane"], r["chunk"], *r["data"], *r["target"]) for r in found} == {(0, 0, "a", "b"), (1, 0, "b", "c")}
+    assert lm.pack_sentences(one, "tokens", 3, 1).count() == 0
     assert lm.pack_contiguous(one, "tokens", 8, 2).count() == 0
 
 

@@ -166,7 +166,7 @@ def version_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_06_version_pair_totals",
-    f"WITH {ALIGNED} SELECT docv_input, docv_output, count(*) AS n FROM aligned GROUP BY ROLLUP (docv_input, docv_output)",
+    f"WITH {ALIGNED} SELECT docv_input, docv_output, GROUPING(docv_input, docv_output) AS level, count(*) AS n FROM aligned GROUP BY ROLLUP (docv_input, docv_output)",
 )
 def version_pair_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.version_pair_totals(aligned(spark, sf_dir))

@@ -86,16 +86,16 @@ def pack_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sentences_sql(bsz: int, bptt: int, seed: int, shard: str) -> str:
     key = hash_sql("row_id", seed)
     return f"""WITH {LINES},
-sents AS (SELECT {shard} AS shard, row_id, tokens, len(tokens) - 1 AS w, {key} % {bsz} AS lane, {key} AS key
-  FROM doc_lines WHERE len(tokens) > 1),
-placed AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY shard, lane ORDER BY key, row_id
+sents AS (SELECT {shard} AS shard, row_id, tokens, len(tokens) - 1 AS w, {key} AS key FROM doc_lines WHERE len(tokens) > 1),
+placed AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY shard ORDER BY key, row_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM sents),
-lanes AS (SELECT shard, lane, sum(w)::BIGINT AS n FROM sents GROUP BY ALL),
-batches AS (SELECT shard, CASE WHEN count(*) = {bsz} THEN min(n // {bptt}) ELSE 0 END AS n_batch FROM lanes GROUP BY shard),
-pairs AS (SELECT shard, lane, off + p - 1 AS q, tokens[p] AS d, tokens[p + 1] AS t
+batches AS (SELECT shard, sum(w)::BIGINT // {bsz} AS lane_len FROM sents GROUP BY shard),
+stream AS (SELECT shard, off + p - 1 AS g, tokens[p] AS d, tokens[p + 1] AS t
   FROM (SELECT *, unnest(range(1, w + 1)) AS p FROM placed)),
+pairs AS (SELECT shard, g // lane_len AS lane, g % lane_len AS q, lane_len // {bptt} AS n_batch, d, t
+  FROM stream JOIN batches USING (shard) WHERE lane_len > 0 AND g < lane_len * {bsz}),
 packed AS (SELECT shard, lane, q // {bptt} AS chunk, string_agg(d, ' ' ORDER BY q) AS data, string_agg(t, ' ' ORDER BY q) AS target
-  FROM pairs JOIN batches USING (shard) WHERE q // {bptt} < n_batch GROUP BY ALL)"""
+  FROM pairs WHERE q // {bptt} < n_batch GROUP BY ALL)"""
 
 
 @query("lm_03_pack_sentences", _sentences_sql(BSZ, BPTT, 5, "''") + " SELECT lane, chunk, data, target FROM packed")

@@ -41,8 +41,7 @@ def assign_split(
 
 def exclude_ids(df: DataFrame, ids: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows whose key is not in ``ids``."""
-    flags = ids.select(F.col(key)).distinct().withColumn("__out", F.lit(True))
-    return lookup(df, flags, [(key, key)], "left").filter(F.col("__out").isNull()).drop("__out")
+    return df.join(ids.select(key), key, "left_anti")
 
 
 def zip_outer(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> DataFrame:

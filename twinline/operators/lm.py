@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ..functions.tokens import exploded
 from .joins import tokens_to_ids
 from .position import prefix_sum
-from .skew import lookup
 from .split import random_key
 from .vocab import vocab_by_frequency
 
@@ -205,8 +204,9 @@ def pack_sentences(
 ) -> DataFrame:
     """Sentences in no fixed order as ``lane, chunk, data, target`` (and the shard).
 
-    A sentence goes to the lane its hash picks and gives one (token, next token) pair less than it has
-    tokens. A chunk is a batch only where every lane fills it; later ones are dropped, per shard.
+    A sentence gives one (token, next token) pair less than it has tokens. The shard's pairs are one stream
+    that is cut into ``bsz`` lanes of equal length, so a sentence at a border goes on in the next lane. Every
+    shard leaves out less than ``bsz`` pairs and one unfinished batch, ``bsz * bptt``.
     """
     key = random_key(F.col(row_id), seed)
     rows = df.select(
@@ -214,34 +214,41 @@ def pack_sentences(
         F.col(row_id).alias("__row"),
         F.col(tokens).alias("__tok"),
         F.greatest(F.size(tokens) - 1, F.lit(0)).cast("long").alias("len"),
-        F.pmod(key, F.lit(bsz)).cast("int").alias("lane"),
         key.alias("__key"),
     )
     order = ["__key", "__row"] if shuffle else ["__row"]
     placed = prefix_sum(
-        rows, order, F.col(order[0]).cast("double"), F.col("len"), by=["shard", "lane"], name="off"
+        rows, order, F.col(order[0]).cast("double"), F.col("len"), by=["shard"], name="off", total="__n"
     )
-    lanes = rows.groupBy("shard", "lane").agg(F.sum("len").alias("n")).filter(F.col("n") > 0)
     size, ext = F.lit(bptt).cast("long"), F.lit(ext_len).cast("long")
-    full = lanes.groupBy("shard").agg(F.min(_div(F.col("n"), size)).alias("least"), F.count(F.lit(1)).alias("used"))
-    full = full.select("shard", F.when(F.col("used") == bsz, F.col("least")).otherwise(0).alias("n_batch"))
-    placed = lookup(placed, full, [("shard", "shard")], "inner", spread=F.col("__row"))
-    off, end = F.col("off"), F.col("off") + F.col("len")
-
-    def chunk(c):
-        start = c * size
-        a = F.greatest(start - F.least(ext, start), off)
-        b = F.least(start + size, end)
-        n = F.greatest(b - a, F.lit(0)).cast("int")
-        return F.struct(
-            c.alias("chunk"),
-            a.alias("step"),
-            F.slice(F.col("__tok"), (a - off + 1).cast("int"), n).alias("d"),
-            F.slice(F.col("__tok"), (a - off + 2).cast("int"), n).alias("t"),
-        )
+    lane_len = _div(F.col("__n"), F.lit(bsz).cast("long"))
+    placed = placed.withColumn("lane_len", lane_len).withColumn("n_batch", _div(F.col("lane_len"), size))
+    placed = placed.filter((F.col("n_batch") > 0) & (F.col("len") > 0))
+
+    def lane(number):
+        base = number * F.col("lane_len")
+        off, end = F.greatest(F.col("off") - base, F.lit(0)), F.col("off") + F.col("len") - base
 
-    chunks = _span(_div(off, size), F.least(_div(end - 1 + ext, size), F.col("n_batch") - 1), chunk)
-    cuts = exploded(placed, ["shard", "lane"], chunks, "c").select("shard", "lane", "c.*")
+        def chunk(c):
+            start = c * size
+            a = F.greatest(start - F.least(ext, start), off)
+            b = F.least(start + size, end)
+            n = F.greatest(b - a, F.lit(0)).cast("int")
+            first = (a + base - F.col("off")).cast("int")
+            return F.struct(
+                number.cast("int").alias("lane"),
+                c.alias("chunk"),
+                a.alias("step"),
+                F.slice(F.col("__tok"), first + 1, n).alias("d"),
+                F.slice(F.col("__tok"), first + 2, n).alias("t"),
+            )
+
+        last = F.least(end, F.col("n_batch") * size)
+        return _span(_div(off, size), F.least(_div(last - 1 + ext, size), F.col("n_batch") - 1), chunk)
+
+    final = F.least(_div(F.col("off") + F.col("len") - 1, F.col("lane_len")), F.lit(bsz - 1).cast("long"))
+    chunks = F.flatten(_span(_div(F.col("off"), F.col("lane_len")), final, lane))
+    cuts = exploded(placed, ["shard"], chunks, "c").select("shard", "c.*")
     ordered = F.sort_array(F.collect_list(F.struct("step", "d", "t")))
     context = F.least(ext, F.col("chunk") * size)
     packed = (

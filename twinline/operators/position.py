@@ -118,7 +118,10 @@ def number_scan(scan: DataFrame, name: str = "row_id", file: str | None = None)
     spans = tagged.groupBy("__file", "__start").agg(
         F.min("__seen").alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
-    order = Window.partitionBy("__file").orderBy("__start") if file else Window.orderBy("__file", "__start")
+    # Part numbers grow in length: part-100000 follows part-99999.
+    part = F.regexp_extract("__file", "[^/]*$", 0)
+    places = [F.regexp_extract("__file", "^.*/", 0), F.length(part), part, "__start"]
+    order = Window.partitionBy("__file").orderBy("__start") if file else Window.orderBy(*places)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     starts = spans.select(
         "__file",

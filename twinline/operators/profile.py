@@ -65,8 +65,8 @@ def version_pair_counts(df: DataFrame) -> DataFrame:
 
 
 def version_pair_totals(df: DataFrame) -> DataFrame:
-    """Counts per version pair, per source version and overall; missing versions mark the totals."""
-    return df.rollup("docv_input", "docv_output").agg(F.count(F.lit(1)).alias("n"))
+    """Counts per version pair (``level`` 0), per source version (1) and overall (3)."""
+    return df.rollup("docv_input", "docv_output").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"))
 
 
 def target_version_counts(df: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def write_parallel(
     ``quoting='minimal'`` quotes sentences with commas, quotes or line breaks. ``'none'`` writes raw
     lines, so line breaks inside a sentence become blanks and a missing sentence an empty line.
     """
-    ordered = df.orderBy(order)
+    # Both sides are sorted for themselves: rows that tie in all three are the same on either.
+    ordered = df.orderBy(order, "input", "output")
     for column, suffix in (("input", "src"), ("output", "dst")):
         side = ordered.select(column)
         if quoting == "minimal":
