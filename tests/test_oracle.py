@@ -4,8 +4,10 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from twinline.catalog import QUERIES as CATALOG
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: run for name, run in entry.queries().items() if name in CATALOG}
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in CATALOG}
 NO_SQL = {"met_03_sentence_meteor", "fn_22_word_tokenize"}
 
 
