@@ -43,7 +43,7 @@ FIRST_BAND = 64
 FIRST_SEGMENTS_LOG2 = 20
 # A bucket of more classes is heavy. All pairs of a light one are compared.
 LIGHT_BUCKET = 8
-# Bits of a set's bitmap: about eight for each shingle, between these powers of two.
+# Bits of a set's bitmap: about four for each shingle, between these powers of two.
 LEAST_BITS_LOG2, MOST_BITS_LOG2, FOLDED_BITS = 10, 15, 1024
 # Signatures are dealt into cells by hash, each for about so many bytes of text.
 CELL_BYTES = 32 << 20
@@ -114,7 +114,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
 
 def bitmap(tokens: np.ndarray) -> bytes:
     """A bit for the low bits of each shingle."""
-    bits = 1 << min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (8 * len(tokens) - 1).bit_length()))
+    bits = 1 << min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (4 * len(tokens) - 1).bit_length()))
     flags = np.zeros(bits, dtype=bool)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(flags).tobytes()
@@ -158,11 +158,13 @@ def set_class(tokens: np.ndarray) -> int:
     return int(name.view(np.int64)[0])
 
 
-def _sample(docs: DataFrame, key: str, text: str) -> np.ndarray:
+def _sample(docs: DataFrame, key: str, text: str, n_docs: int) -> np.ndarray:
     """Shingles of at least ``FREQUENT_IN`` different texts among ``SAMPLE_DOCS`` documents of moderate length picked by hash."""
     picked = (
         docs.filter(F.length(text).between(1, SAMPLE_CHARS))
         .select(F.xxhash64(F.lit(1), F.col(key), F.length(text)).alias("draw"), F.col(text).alias("text"))
+        # About four times as many compete for the sample.
+        .filter(F.pmod("draw", F.lit(1 << 30)) < max(1, min(1.0, 4 * SAMPLE_DOCS / max(n_docs, 1)) * (1 << 30)))
         .orderBy("draw")
         .limit(SAMPLE_DOCS)
         .select("text")
@@ -408,9 +410,9 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     id; rows that share an id count each for themselves. Other columns are not read.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    frequent = spark.sparkContext.broadcast(_sample(docs, key, text))
-    index = written(_index(docs, key, text, max(12, size // CELL_BYTES), frequent), "signatures")
+    size, n_docs = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
+    frequent = spark.sparkContext.broadcast(_sample(docs, key, text, n_docs))
+    index = written(_index(docs, key, text, max(12, (size or 0) // CELL_BYTES), frequent), "signatures")
     rows = index.filter("cell is null").select("doc_id", "n_shingles", "class")
     classes = index.filter("class is not null").groupBy("class").agg(
         F.min("doc_id").alias("first"),
@@ -431,11 +433,14 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Only heavy buckets with a bare class matter.
     hubs = members.join(bare, F.col("v") == F.col("class"), "left_semi").select("u").distinct()
     members = members.join(written(hubs, "hubs"), "u", "left_semi")
+    members = written(members, "members")
+    few = classes.join(members.select("v").distinct(), F.col("class") == F.col("v"), "left_semi")
+    few = written(few, "few")
     roots = written(components(checked.filter("similar").select("u", "v")), "roots")
     # First the likeliest partners, then all that are in different components after that.
     for best in (True, False):
-        rest = _rest(members, roots, bare, classes, best).join(checked.select("u", "v"), ["u", "v"], "left_anti")
-        more = written(_near(rest, classes), "more")
+        rest = _rest(members, roots, bare, few, best).join(checked.select("u", "v"), ["u", "v"], "left_anti")
+        more = written(_near(rest, few), "more")
         later = written(_verify(more, written(_texts(docs, key, text, classes, more), "texts")), "links")
         checked = checked.unionByName(later)
         edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
