@@ -12,7 +12,7 @@ from ..session import shared_dir
 from ..sinks import write_prepared
 from ..sources import read_prepared_aligned
 from .registry import query
-from .tables import ALIGNED, CORPORA, N_TRAIN, N_VALID, aligned, hash_sql, health, next_turns, table, wiki
+from .tables import ALIGNED, CORPORA, N_TRAIN, N_VALID, aligned, hash_sql, health, table, wiki
 
 _ROW = "doc_id, docv_input, docv_output, input, output"
 
@@ -33,9 +33,11 @@ def drop_adjacent_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(filters.drop_adjacent_versions(aligned(spark, sf_dir)))
 
 
+# Rows with the marks of an empty side are added to the whole corpus.
 _MARKED = """marked AS (
-  SELECT row_id, CASE WHEN role = 'system' THEN '[CLS] nan [SEP]' ELSE input END AS input,
-         CASE WHEN length(output) < 60 THEN '[CLS] [SEP]' ELSE output END AS output FROM next_turns)"""
+  SELECT row_id, input, output FROM wiki
+  UNION ALL SELECT row_id, '[CLS] nan [SEP]', output FROM health
+  UNION ALL SELECT row_id, input, '[CLS] [SEP]' FROM wiki)"""
 
 
 @query(
@@ -44,12 +46,10 @@ _MARKED = """marked AS (
     "AND output NOT IN ('[CLS] nan [SEP]', '[CLS] [SEP]')",
 )
 def drop_empty_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = next_turns(spark, sf_dir).select(
-        "row_id",
-        F.when(F.col("role") == "system", "[CLS] nan [SEP]").otherwise(F.col("input")).alias("input"),
-        F.when(F.length("output") < 60, "[CLS] [SEP]").otherwise(F.col("output")).alias("output"),
-    )
-    return filters.drop_empty_pairs(marked)
+    pairs = wiki(spark, sf_dir)
+    no_input = health(spark, sf_dir).withColumn("input", F.lit("[CLS] nan [SEP]"))
+    no_output = pairs.withColumn("output", F.lit("[CLS] [SEP]"))
+    return filters.drop_empty_pairs(pairs.unionByName(no_input).unionByName(no_output))
 
 
 @query(
@@ -199,25 +199,29 @@ def rows_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.rows_by_language(table(spark, sf_dir, "documents"), ["en", "es"], "lang")
 
 
-_LAST = """last_rows AS (
-  SELECT CAST(conv_id AS VARCHAR) AS doc_id, role AS docv_input, substr(text, 1, 1) AS input,
-         CASE WHEN length(text) > 200 THEN text END AS output, conv_id * 1000000 + turn AS row_id FROM conversations)"""
+# Every turn also has a row without an output, after those of its next turns.
+_LAST = f"""{ALIGNED}, last_rows AS (
+  SELECT doc_id, docv_input, input, output, row_id FROM aligned
+  UNION ALL
+  SELECT CAST(conv_id AS VARCHAR), 'V' || turn, text, NULL, conv_id * 17179869184 + turn * 4 + 4 FROM conversations)"""
 
 
 @query(
     "agg_11_last_per_group",
     f"WITH {_LAST} SELECT doc_id, docv_input, input, max(row_id) AS row_id, "
-    "arg_max(output, row_id) FILTER (WHERE output IS NOT NULL) AS output FROM last_rows GROUP BY doc_id, docv_input, input",
+    "arg_max(output, row_id) FILTER (WHERE output IS NOT NULL) AS output FROM last_rows "
+    "WHERE input IS NOT NULL GROUP BY doc_id, docv_input, input",
 )
 def last_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select(
+    rows = aligned(spark, sf_dir).select("doc_id", "docv_input", "input", "output", "row_id")
+    unfinished = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("doc_id"),
-        F.col("role").alias("docv_input"),
-        F.substring("text", 1, 1).alias("input"),
-        F.when(F.length("text") > 200, F.col("text")).alias("output"),
-        (F.col("conv_id") * 1000000 + F.col("turn")).alias("row_id"),
+        F.concat(F.lit("V"), "turn").alias("docv_input"),
+        F.col("text").alias("input"),
+        F.lit(None).cast("string").alias("output"),
+        (F.shiftleft("conv_id", 34) + F.col("turn") * 4 + 4).alias("row_id"),
     )
-    return split.last_per_group(rows, ["doc_id", "docv_input", "input"])
+    return split.last_per_group(rows.unionByName(unfinished), ["doc_id", "docv_input", "input"])
 
 
 # ---------------------------------------------------------------- splits

@@ -63,14 +63,16 @@ def read_prepared_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "src_05_read_prepared_aligned",
-    f"WITH {ALIGNED}, marked AS (SELECT {_PLACE}, doc_id, docv_input, docv_output, input, "
-    "CASE WHEN length(output) < 60 THEN '[CLS] [SEP]' ELSE output END AS output FROM aligned) "
-    "SELECT * FROM marked WHERE output <> '[CLS] [SEP]'",
+    f"WITH {ALIGNED}, marked AS (SELECT row_id * 2 AS row_id, {_ROW} FROM aligned UNION ALL "
+    "SELECT row_id * 2 + 1, doc_id, docv_input, docv_output, input, '[CLS] [SEP]' FROM aligned WHERE docv_output = 'V1'), "
+    f"placed AS (SELECT {_PLACE}, {_ROW} FROM marked) SELECT * FROM placed WHERE output <> '[CLS] [SEP]'",
 )
 def read_prepared_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "prepared")
-    output = F.when(F.length("output") < 60, "[CLS] [SEP]").otherwise(F.col("output"))
-    rows = aligned(spark, sf_dir).withColumn("output", output)
+    pairs = aligned(spark, sf_dir).withColumn("row_id", F.col("row_id") * 2)
+    # Rows with the marks of an empty side are written between the others.
+    empty = pairs.filter("docv_output = 'V1'").withColumn("output", F.lit("[CLS] [SEP]"))
+    rows = pairs.unionByName(empty.withColumn("row_id", F.col("row_id") + 1))
     sinks.write_prepared(rows.orderBy("row_id").drop("row_id"), path)
     return sources.read_prepared_aligned(spark, path)
 

@@ -14,7 +14,7 @@ from ..operators.vocab import target_vocab_counts
 from ..plans.evaluate import evaluate, predict_table
 from ..plans.prepare import CleanRules, prepare_aligned, prepare_corpora, prepare_presplit, tokenize_pairs
 from ..schemas import CLS, SEP
-from ..session import shared_dir
+from ..session import shared_dir, written
 from .files import presplit_paths
 from .metrics import BLEU_OF_TOKENS, SARI_OF_TOKENS, _POOL, _STRICT, _smoothed_sql
 from .registry import query
@@ -159,14 +159,22 @@ def field_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded_turns(spark, sf_dir).select("k", _text(encoded).alias("ids"))
 
 
+_BLOCKS = "((len(ids) + 129) // 128 * 128)"
+
+
+def _whole(spark: SparkSession, sf_dir: str) -> Column:
+    """All indexes of a row with markers, padded to a multiple of 128."""
+    blocks = F.floor((F.size("ids") + 129) / 128).cast("int") * 128
+    return tokens.encode_pad(F.col("ids"), blocks, *_marks(spark, sf_dir))
+
+
 @query(
     "fn_18_padding_mask",
-    f"WITH RECURSIVE {_IDS}, padded AS (SELECT k, {_field_sql(128)} AS v FROM ids) "
+    f"WITH RECURSIVE {_IDS}, padded AS (SELECT k, {_padded_sql('ids', _BLOCKS)} AS v FROM ids) "
     "SELECT k, array_to_string(list_transform(v, lambda i: (i = 0)::VARCHAR), ' ') AS mask FROM padded",
 )
 def padding_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = tokens.field_encode(F.col("ids"), 128, *_marks(spark, sf_dir))
-    rows = coded_turns(spark, sf_dir).select("k", encoded.alias("v"))
+    rows = coded_turns(spark, sf_dir).select("k", _whole(spark, sf_dir).alias("v"))
     return rows.select("k", _text(tokens.padding_mask(F.col("v"))).alias("mask"))
 
 
@@ -175,11 +183,10 @@ _DECODED = "trim(replace(replace(array_to_string({p}, ' '), ' ##', ''), '[PAD]',
 
 @query(
     "fn_19_decode_ids",
-    f"WITH RECURSIVE {_IDS}, parts AS (SELECT k, ['[CLS]'] || list_slice(['[CLS]'] || body || ['[SEP]'], 1, 126) || ['[SEP]'] AS p "
-    f"FROM tok) SELECT k, {_DECODED.format(p='p')} AS text FROM parts",
+    f"WITH RECURSIVE {_TOK} SELECT k, {_DECODED.format(p='pieces')} AS text FROM tok",
 )
 def decode_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = tokens.field_encode(F.col("ids"), 128, *_marks(spark, sf_dir))
+    encoded = _whole(spark, sf_dir)
     rows = coded_turns(spark, sf_dir).select("k", wordpiece(spark, sf_dir).to_pieces(encoded).alias("p"))
     return rows.select("k", tokens.decode_pieces(F.col("p")).alias("text"))
 
@@ -355,14 +362,18 @@ def write_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snk_04_write_unknowns",
-    f"WITH RECURSIVE {_PAIRS} SELECT row_id AS index, array_to_string(pieces, ' ') AS text {_UNKNOWN} AND side = 'output'",
+    f"WITH RECURSIVE {_PAIRS} SELECT side, row_id AS index, array_to_string(pieces, ' ') AS text {_UNKNOWN}",
 )
 def write_unknowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "unknown")
-    found = profile.unknown_sentences(sentences(spark, sf_dir)).filter(F.col("side") == "output")
-    sinks.write_unknowns(found, path)
-    back = spark.read.schema("index BIGINT, text STRING").csv(path, sep="\t", header=True, quote='"', escape='"')
-    return back.select("index", F.array_join(F.from_json("text", "array<string>"), " ").alias("text"))
+    found = written(profile.unknown_sentences(sentences(spark, sf_dir)), "found")
+    sides = []
+    for side in ("input", "output"):
+        sinks.write_unknowns(found.filter(F.col("side") == side), f"{path}/{side}")
+        back = spark.read.schema("index BIGINT, text STRING").csv(f"{path}/{side}", sep="\t", header=True, quote='"', escape='"')
+        text = F.array_join(F.from_json("text", "array<string>"), " ").alias("text")
+        sides.append(back.select(F.lit(side).alias("side"), "index", text))
+    return sides[0].unionByName(sides[1])
 
 
 @query("flow_02_prepare_presplit", f"WITH RECURSIVE {_clean_cut_sql(_ALIGNED_PAIRS)}, {_COUNTS} {_profile_sql()}")

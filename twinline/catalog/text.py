@@ -124,12 +124,14 @@ def word_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fn_23_split_fields",
-    "SELECT doc_id, string_split(line, chr(9))[1] AS a, string_split(line, chr(9))[2] AS b, "
-    "string_split(line, chr(9))[3] AS c FROM (SELECT doc_id, replace(text, chr(10), chr(9)) AS line FROM documents)",
+    "SELECT doc_id, f[1] AS a, f[2] AS b, f[3] AS c, array_to_string(f[4:], '|') AS rest, "
+    "greatest(len(f) - 3, 0) AS n_rest FROM (SELECT doc_id, string_split(replace(text, chr(10), chr(9)), chr(9)) AS f FROM documents)",
 )
 def split_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.translate("text", "\n", "\t")
-    return table(spark, sf_dir, "documents").select("doc_id", *tokens.split_fields(line, ["a", "b", "c"]))
+    fields = tokens.split_fields(line, ["a", "b", "c"], rest="more")
+    rest = [F.array_join("more", "|").alias("rest"), F.size("more").cast("long").alias("n_rest")]
+    return table(spark, sf_dir, "documents").select("doc_id", *fields).select("doc_id", "a", "b", "c", *rest)
 
 
 @query("fn_24_unescape_newlines", "SELECT doc_id, replace(text, chr(10), ' ') AS result FROM documents")

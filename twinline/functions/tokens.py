@@ -169,10 +169,13 @@ def word_tokenize(col: Column, language: Column) -> Column:
     return result.otherwise(F.regexp_extract_all(col, F.lit(WORD_PATTERNS["default"]), F.lit(0)))
 
 
-def split_fields(col: Column, names: list[str], sep: str = "\t") -> list[Column]:
-    """The fields of a line as named columns; missing fields are null."""
+def split_fields(col: Column, names: list[str], sep: str = "\t", rest: str | None = None) -> list[Column]:
+    """The fields of a line as named columns; missing fields are null. ``rest`` names a list of all further ones."""
     parts = F.split(col, sep)
-    return [F.get(parts, i).alias(name) for i, name in enumerate(names)]
+    fields = [F.get(parts, i).alias(name) for i, name in enumerate(names)]
+    if rest:
+        fields.append(F.slice(parts, F.lit(len(names) + 1), F.size(parts)).alias(rest))
+    return fields
 
 
 def unescape_newlines(col: Column) -> Column:

@@ -78,13 +78,15 @@ def match_pieces(word: str, vocab) -> list[str]:
 
 
 class WordPiece:
-    """Column functions over one vocabulary ``token, index``."""
+    """Column functions over one vocabulary ``token, index``.
 
-    def __init__(self, vocab: DataFrame, token: str = "token", index: str = "index"):
-        # A word-piece vocabulary is a fixed-size table; refuse to send anything else to the workers.
-        rows = collect_small(vocab.select(F.col(token), F.col(index).cast("int")), 1_000_000)
+    A vocabulary is sent to every worker; ``max_bytes`` bounds its size as JSON, and a larger one is an error.
+    """
+
+    def __init__(self, vocab: DataFrame, token: str = "token", index: str = "index", max_bytes: int = 256 << 20):
+        rows = collect_small(vocab.select(F.col(token), F.col(index).cast("int")), max_bytes)
         if rows is None:
-            raise ValueError("a word-piece vocabulary has at most a million pieces")
+            raise ValueError(f"the vocabulary takes more than {max_bytes} bytes")
         self.ids = {r[0]: r[1] for r in rows}
         self._shared = vocab.sparkSession.sparkContext.broadcast(self.ids)
         self._name = uuid.uuid4().hex

@@ -73,16 +73,18 @@ def meteor(
     alpha: float = ALPHA,
     beta: float = BETA,
     gamma: float = GAMMA,
+    max_bytes: int = 256 << 20,
 ) -> Column:
     """METEOR of two texts, cut at white space and lower-cased.
 
-    ``synonyms`` is an optional table ``word, synonym`` of checked small size (none is shipped).
+    ``synonyms`` is an optional table ``word, synonym`` (none is shipped). It is sent to every worker;
+    ``max_bytes`` bounds its size as JSON, and a larger one is an error.
     """
     table: dict[str, frozenset] = {}
     if synonyms is not None:
-        rows = collect_small(synonyms.select("word", "synonym"), 2_000_000)
+        rows = collect_small(synonyms.select("word", "synonym"), max_bytes)
         if rows is None:
-            raise ValueError("a synonym table has at most two million rows")
+            raise ValueError(f"the synonym table takes more than {max_bytes} bytes")
         grouped: dict[str, set] = {}
         for row in rows:
             grouped.setdefault(row[0], set()).add(row[1])

@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-# A side below this many rows may be broadcast; larger sides go through a salted shuffle join.
-BROADCAST_ROWS = 200_000
+# A side of at most so many bytes, as JSON, may be broadcast; larger sides go through a salted shuffle join.
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``rows`` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of a table take at most ``max_bytes`` as JSON."""
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0]
+    return (size or 0) <= max_bytes
 
 
-def collect_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> list | None:
-    """The rows of a small table; None when it has more than ``rows``."""
-    found = df.limit(rows + 1).collect()
-    return found if len(found) <= rows else None
+def collect_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> list | None:
+    """The rows of a table that ``is_small``; None for others."""
+    df = written(df, "lookup")
+    return df.collect() if is_small(df, max_bytes) else None
 
 
 def lookup(

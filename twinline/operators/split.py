@@ -9,9 +9,6 @@ from ..session import written
 from .joins import assign_split
 from .position import prefix_sum, squash
 
-# Below this many leading documents or rows a split is made from a distributed top-k.
-TOP_K_ROWS = 100_000
-
 
 def random_key(col: Column, seed: int) -> Column:
     """A fixed pseudo-random number below 2^60 per value: reruns and retries shuffle the same way."""
@@ -27,13 +24,7 @@ def first_appearance_rank(df: DataFrame, key: str = "doc_id", row_id: str = "row
 
 def _leading(ordered: DataFrame, key: str, order: list[str], score: Column, n1: int, n2: int, names) -> DataFrame:
     """``key, split`` of the first ``n1`` and next ``n2`` rows."""
-    if n1 + n2 <= TOP_K_ROWS:
-        # Each task keeps n1 + n2 rows; only those are ranked together.
-        ranked = ordered.orderBy(*order).limit(n1 + n2).withColumn(
-            "rank", F.row_number().over(Window.orderBy(*order)) - 1
-        )
-    else:
-        ranked = prefix_sum(ordered, order, score, name="rank", store=True).filter(F.col("rank") < n1 + n2)
+    ranked = prefix_sum(ordered, order, score, name="rank", store=True).filter(F.col("rank") < n1 + n2)
     heads = ranked.select(key, F.when(F.col("rank") < n1, names[0]).otherwise(names[1]).alias("split"))
     # Written once: both the training and the held-out rows look documents up in it.
     return written(heads, "heads")
@@ -59,7 +50,7 @@ def document_split(
     """
     docs = df.groupBy("doc_id").agg(F.min(row_id).alias("first_row"))
     heads = _leading(docs, "doc_id", ["first_row"], F.col("first_row"), n_train, n_valid, ("train", "valid"))
-    rows = assign_split(df, heads, small=(n_train + n_valid <= TOP_K_ROWS) or None)
+    rows = assign_split(df, heads)
     if not keep_last:
         return rows
     held_out = last_per_group(rows.filter(F.col("split") != "train"), ["doc_id", "docv_input", "input"], row_id)
@@ -75,7 +66,7 @@ def random_split(
     heads = _leading(
         keyed, row_id, ["__key", row_id], F.col("__key").cast("double"), n_test, n_valid, ("test", "valid")
     )
-    return assign_split(df, heads, row_id, "train", small=(n_test + n_valid <= TOP_K_ROWS) or None)
+    return assign_split(df, heads, row_id, "train")
 
 
 def shuffle_rows(df: DataFrame, row_id: str = "row_id", seed: int = 0, name: str = "position") -> DataFrame:

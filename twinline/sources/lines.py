@@ -59,11 +59,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return number_scan(spark.read.text(path)).select("row_id", strip(F.col("value")).alias("text"))
 
 
-def read_raw_split(spark: SparkSession, path: str, unescape: bool = True) -> DataFrame:
-    """Whole lines cut at tabs into the five aligned columns."""
+def read_raw_split(spark: SparkSession, path: str, unescape: bool = True, rest: str | None = None) -> DataFrame:
+    """Whole lines cut at tabs into the five aligned columns; ``rest`` names a list of the fields after them."""
     value = F.col("value")
     lines = spark.read.text(path).filter(F.length(value) > 0)
-    return lines.select(*split_fields(unescape_newlines(value) if unescape else value, ALIGNED.names))
+    return lines.select(*split_fields(unescape_newlines(value) if unescape else value, ALIGNED.names, rest=rest))
 
 
 def read_text_shards(spark: SparkSession, pattern: str) -> DataFrame:
