@@ -264,7 +264,8 @@ def train(
     draw = F.pmod(F.xxhash64(F.lit(10), "__id"), F.lit(1 << 20)) / float(1 << 20)
     known = known.filter(draw < max_labelled / max(n, 1))
     fold = F.pmod(F.xxhash64(F.lit(11), "__id"), F.lit(10))
-    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(known, "__id")
+    # The draw leaves about ``max_labelled`` ids at any size of the tables, two numbers each; no text is shuffled.
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id")
     rows = written(rows.select("text", lower(F.col("text")).alias("lowered"), "toxic", fold.alias("fold")), "labelled")
     base, classes = rows.agg(F.avg("toxic"), F.count_distinct("toxic")).first()
     if classes < 2:
