@@ -162,7 +162,7 @@ def op3(spark, sf_dir):
 
 @_query("op5_line_dedup")
 def op5(spark, sf_dir):
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), short_repeats=True)
 
 
 @_query("op10_toxicity")
