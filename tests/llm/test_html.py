@@ -31,3 +31,23 @@ def test_host_votes(spark):
     assert got[11].text == "" and got[11].n_chars == 0 and got[13].text == "just text"
     assert got[0].n_chars == len(got[0].text)
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_wrappers_with_noise_words_keep_their_text():
+    words = "the article text " * 20
+    for page in [
+        f"<html class='menu-closed'><body><div class=text><p>{words}</p></div></body></html>",
+        f"<html><body class='has-sidebar'><div class=text><p>{words}</p></div></body></html>",
+        f"<body><main class='content with-sidebar'><p>{words}</p><div class=sidebar>Also</div></main></body>",
+        f"<body><article class='post sponsored'><p>{words}</p><form><p>mail</p></form></article></body>",
+        f"<body><form id='aspnetForm'><nav>Home</nav><div class=text><p>{words}</p></div><div class=promo>Buy</div></form></body>",
+        f"<body><div class='page header-fixed'><div class=text><p>{words}</p></div></div><div id=comments><p>{words * 9}</p></div></body>",
+    ]:
+        assert main_text(blocks(page), None)[0] == words.strip(), page
+
+
+def test_headline_beside_the_winning_container():
+    body = "the article text " * 20
+    page = f"<body><div class=content><h1>Headline</h1><div class=body><p>{body}</p></div><div><a href=x>More of this</a></div></div><div>Other</div></body>"
+    assert main_text(blocks(page), None) == (f"Headline\n\n{body.strip()}", "body/div.content")
+    assert main_text(blocks(page), "body/div.content/div.body")[0].startswith("Headline")

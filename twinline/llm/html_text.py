@@ -29,8 +29,11 @@ BLOCKS = set(
     "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre search section summary table tbody td "
     "tfoot th thead tr ul option select button".split()
 )
-# Elements that hold no article text, whatever their class.
-OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "button", "select", "search", "svg", "fieldset"}
+# Elements that hold no article text, whatever their class; and those that hold none unless they wrap the page.
+OUTSIDE = {"nav", "header", "footer", "aside", "menu", "dialog", "head", "button", "select", "search", "svg"}
+FORMS = {"form", "fieldset"}
+# Their class words speak of the whole page.
+WHOLE = {"html", "body", "main", "article"}
 # Words of a class, id or role that name something else than the article.
 NOISE = set(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sponsors "
@@ -39,6 +42,8 @@ NOISE = set(
     "comment comments commentlist respond reply replies disqus discussion related recommended recommendations popup modal "
     "overlay widget widgets toolbar pagination pager login signup signin search skip paywall complementary contentinfo".split()
 )
+# Readers may write more than the author.
+READERS = set("comment comments commentlist respond reply replies disqus discussion".split())
 # A paragraph's end is implied by the next block; these also close an open element of their own kind.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -47,6 +52,8 @@ CLOSES = {
 LISTS = {"ul", "ol", "dl", "table", "menu", "tbody", "thead", "tfoot"}
 # What a container's text counts for the containers around it.
 UPWARDS = (1.0, 0.75, 0.5)
+# A container widens to one around it of which it has so much unlinked text.
+WIDEN = 0.75
 INNER = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figcaption", "tr"}
 
 
@@ -57,12 +64,15 @@ class Block:
     text: str
     containers: tuple[tuple[str, int], ...]
     linked: int
+    # Elements around it that are left out unless they hold most of the page.
+    doubts: tuple[int, ...] = ()
 
 
 @dataclass
 class _Open:
     tag: str
     outside: bool
+    doubts: tuple[int, ...]
     path: str
     number: int
 
@@ -87,7 +97,7 @@ class _Page:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
                 held = tuple((o.path, o.number) for o in self.stack if o.tag not in INNER) or (("", 0),)
-                self.blocks.append(Block(text, held, min(self.linked, len(text))))
+                self.blocks.append(Block(text, held, min(self.linked, len(text)), self.stack[-1].doubts if self.stack else ()))
         self.parts, self.linked = [], 0
 
     def pop_to(self, place: int) -> None:
@@ -107,10 +117,14 @@ class _Page:
             return
         above = self.stack[-1] if self.stack else None
         names, hidden = _names(attributes) if attributes.strip() else ([], False)
-        outside = bool(above and above.outside) or hidden or tag in OUTSIDE or _is_noise(names)
+        noise = set() if tag in WHOLE else _noise(names)
+        outside = bool(above and above.outside) or hidden or tag in OUTSIDE or bool(noise & READERS)
         own = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names[0]})]) if names else tag
         self.opened += 1
-        self.stack.append(_Open(tag, outside, f"{above.path}/{own}" if above else own, self.opened))
+        doubts = above.doubts if above else ()
+        if noise or tag in FORMS:
+            doubts += (self.opened,)
+        self.stack.append(_Open(tag, outside, doubts, f"{above.path}/{own}" if above else own, self.opened))
 
     def close(self, tag: str) -> None:
         for place in range(len(self.stack) - 1, -1, -1):
@@ -136,8 +150,20 @@ def _names(attributes: str) -> tuple[list[list[str]], bool]:
     return [classes, others], hidden
 
 
-def _is_noise(names: list[list[str]]) -> bool:
-    return any(word in NOISE for group in names for name in group for word in re.split(r"[^a-z]+", name))
+def _noise(names: list[list[str]]) -> set[str]:
+    return {word for group in names for name in group for word in re.split(r"[^a-z]+", name) if word in NOISE}
+
+
+def _kept(found: list[Block]) -> list[Block]:
+    """The blocks without those of doubtful elements; one with more than half of the unlinked text wraps the page."""
+    if not any(b.doubts for b in found):
+        return found
+    held: dict[int, int] = {}
+    for block in found:
+        for number in block.doubts:
+            held[number] = held.get(number, 0) + len(block.text) - block.linked
+    half = sum(len(b.text) - b.linked for b in found) / 2
+    return [b for b in found if all(held[number] > half for number in b.doubts)]
 
 
 def blocks(page: str) -> list[Block]:
@@ -167,7 +193,7 @@ def blocks(page: str) -> list[Block]:
         elif name == "a":
             state.links = max(0, state.links - 1) if tag[1] else 1
     state.close_block()
-    return state.blocks
+    return _kept(state.blocks)
 
 
 def container_scores(found: list[Block]) -> dict[str, float]:
@@ -176,14 +202,44 @@ def container_scores(found: list[Block]) -> dict[str, float]:
     for block in found:
         worth = len(block.text) - block.linked
         for (path, _), share in zip(reversed(block.containers), UPWARDS):
-            tag = path.rsplit("/", 1)[-1].split(".", 1)[0]
+            tag = _tag_of(path)
             scores[path] = scores.get(path, 0.0) + worth * share * (1.5 if tag in ("article", "main") else 1.0)
     total = sum(scores.values())
     return {path: score / total for path, score in scores.items()} if total > 0 else {}
 
 
+def _tag_of(path: str) -> str:
+    return path.rsplit("/", 1)[-1].split(".", 1)[0]
+
+
+def _widened(found: list[Block], inside: list[Block], path: str) -> tuple[list[Block], str]:
+    """With the blocks beside the containers on ``path``, as a headline or lead, and the path that holds them.
+
+    An article or main element is whole; html and body aren't widened to. Blocks that are mostly links stay out.
+    """
+    own = sum(len(b.text) - b.linked for b in inside)
+    chosen, at = {id(b) for b in inside}, path
+    if _tag_of(path) in WHOLE:
+        return inside, path
+    around = next(([p for p, _ in b.containers] for b in inside), [])
+    around = around[: around.index(path)] if path in around else []
+    for outer in reversed(around):
+        if _tag_of(outer) in ("html", "body"):
+            break
+        more = [b for b in found if any(p == outer for p, _ in b.containers)]
+        if own < WIDEN * sum(len(b.text) - b.linked for b in more):
+            break
+        beside = {id(b) for b in more if 2 * b.linked <= len(b.text)} - chosen
+        if beside:
+            chosen, at = chosen | beside, outer
+        if _tag_of(outer) in WHOLE:
+            break
+    return [b for b in found if id(b) in chosen], at
+
+
 def main_text(found: list[Block], path: str | None) -> tuple[str, str]:
-    """The text of the containers on ``path``, or of the page's best one; and the path that was used."""
+    """The text of the containers on ``path``, or of the page's best one, with what stands beside it in a container
+    of little else; and the path that was used."""
     inside = [b for b in found if any(p == path for p, _ in b.containers)] if path is not None else []
     if not inside:
         scores = container_scores(found)
@@ -191,6 +247,7 @@ def main_text(found: list[Block], path: str | None) -> tuple[str, str]:
             return "\n\n".join(b.text for b in found), ""
         path = max(sorted(scores), key=scores.__getitem__)
         inside = [b for b in found if any(p == path for p, _ in b.containers)]
+    inside, path = _widened(found, inside, path)
     return "\n\n".join(b.text for b in inside), path
 
 
