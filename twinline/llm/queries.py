@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
@@ -12,7 +13,10 @@ from .html_text import extract
 from .jaccard_join import jaccard_groups
 from .licenses import scan
 from .line_dedup import dedup_lines
+from .merkle import tampered_proofs
 from .mixing import mix
+from .sharding import sharded
+from .spelling import spelling_groups
 from .token_counts import maintained_totals
 from .toxicity import toxicity
 from .warc import archive_round_trip
@@ -201,3 +205,122 @@ def op1(spark, sf_dir):
 @_query("op7_token_counts")
 def op7(spark, sf_dir):
     return maintained_totals(_table(spark, sf_dir, "documents"))
+
+
+# The table of CRC-32, and the checksum of a list of bytes by it.
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384), b)) AS t
+)"""
+
+
+def _crc(data: str) -> str:
+    step = f"list_reduce({data}, lambda crc, b: xor(crc >> 8, t[(xor(crc, b) & 255) + 1]), 4294967295::BIGINT)"
+    return f"xor({step}, 4294967295::BIGINT)"
+
+
+_ASCII = "list_transform(string_split({0}, ''), lambda c: unicode(c)::BIGINT)"
+_FIELDS = " || ".join(
+    f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    for c in ("doc_id", "source", "lang", "n_chars")
+)
+_MERKLE_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, leaves AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS r,
+    sha256({_FIELDS} || coalesce(CAST(octet_length(encode(text)) AS VARCHAR) || ':' || text, '-')) AS leaf,
+    sha256({_FIELDS} || coalesce(CAST(octet_length(encode(bare)) AS VARCHAR) || ':' || bare, '-')) AS changed
+  FROM (
+    SELECT *, CASE WHEN {_crc(_ASCII.format("CAST(doc_id AS VARCHAR)"))} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS bare
+    FROM documents, crc_table
+  )
+), nodes AS (
+  SELECT source, 0 AS level, r, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, r // 3, sha256(string_agg(h, '' ORDER BY r)), any_value((n + 2) // 3)
+  FROM nodes WHERE n > 1 GROUP BY source, level, r // 3
+), subroots AS (
+  SELECT source, h AS subroot, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS r FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, r, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, r // 3, sha256(string_agg(h, '' ORDER BY r)), any_value((n + 2) // 3) FROM tops WHERE n > 1 GROUP BY level, r // 3
+), beside AS (
+  SELECT a.source, a.level, a.r, coalesce(string_agg(b.h, '' ORDER BY b.r) FILTER (b.r < a.r), '') AS lefts,
+    coalesce(string_agg(b.h, '' ORDER BY b.r) FILTER (b.r > a.r), '') AS rights
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.r // 3 = b.r // 3
+  WHERE a.n > 1 GROUP BY a.source, a.level, a.r
+), beside_top AS (
+  SELECT a.level, a.r, coalesce(string_agg(b.h, '' ORDER BY b.r) FILTER (b.r < a.r), '') AS lefts,
+    coalesce(string_agg(b.h, '' ORDER BY b.r) FILTER (b.r > a.r), '') AS rights
+  FROM tops a JOIN tops b ON a.level = b.level AND a.r // 3 = b.r // 3 WHERE a.n > 1 GROUP BY a.level, a.r
+), climbed AS (
+  SELECT doc_id, source, 0 AS level, r, changed AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT doc_id, c.source, c.level + 1, c.r // 3, sha256(lefts || h || rights), proof || lefts || rights
+  FROM climbed c JOIN beside b ON c.source IS NOT DISTINCT FROM b.source AND c.level = b.level AND c.r = b.r
+), through AS (
+  SELECT doc_id, 0 AS level, s.r, h, proof FROM subroots s
+  JOIN (SELECT doc_id, source, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM climbed GROUP BY doc_id, source) c
+    ON s.source IS NOT DISTINCT FROM c.source
+  UNION ALL
+  SELECT doc_id, t.level + 1, t.r // 3, sha256(lefts || h || rights), proof || lefts || rights
+  FROM through t JOIN beside_top b ON t.level = b.level AND t.r = b.r
+), folded AS (
+  SELECT doc_id, arg_max(h, level) AS folded_root, arg_max(proof, level) AS proof FROM through GROUP BY doc_id
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN folded USING (doc_id) JOIN subroots s ON leaves.source IS NOT DISTINCT FROM s.source,
+  (SELECT h AS root FROM tops WHERE n = 1)
+"""
+
+
+@_query("op11_merkle_manifest", _MERKLE_SQL)
+def op11(spark, sf_dir):
+    return tampered_proofs(_table(spark, sf_dir, "documents"))
+
+
+_BYTES = """flatten(list_transform(string_split({0}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+  ELSE [192 + unicode(c)::BIGINT // 64, 128 + unicode(c)::BIGINT % 64] END))"""
+_SPELLING_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents
+  ) GROUP BY 1, 2
+), marked AS (
+  SELECT run, n, {_crc(_BYTES.format("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run"))} AS crc FROM runs, crc_table
+), cut AS (
+  SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n
+  FROM marked
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), skips AS (
+  SELECT word, n, i, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), replaced AS (
+  SELECT a.word AS x, b.word AS y, b.n FROM skips a JOIN skips b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+), missing AS (
+  SELECT DISTINCT a.word AS longer, a.n AS n_longer, b.word AS shorter, b.n AS n_shorter FROM skips a JOIN words b ON b.word = a.head || a.tail
+), near AS (
+  SELECT x, y, n FROM replaced UNION ALL SELECT longer, shorter, n_shorter FROM missing UNION ALL SELECT shorter, longer, n_longer FROM missing
+), ranked AS (
+  SELECT x, y, n, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY n DESC, encode(y)) AS place FROM near
+), forms AS (
+  SELECT word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 2 * w.n THEN y END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON word = x AND place = 1
+), chains AS (
+  SELECT word, word AS last, 0 AS step FROM forms
+  UNION ALL
+  SELECT c.word, f.form, step + 1 FROM chains c JOIN forms f ON c.last = f.word WHERE f.form IS NOT NULL
+), roots AS (SELECT word, arg_max(last, step) AS root FROM chains GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
+
+
+@_query("op12_spelling_variants", _SPELLING_SQL)
+def op12(spark, sf_dir):
+    return spelling_groups(_table(spark, sf_dir, "documents"))
+
+
+@_query("op13_sharding")
+def op13(spark, sf_dir):
+    # File and row number name each row, in every scan alike.
+    return sharded(_table(spark, sf_dir, "documents"), F.struct("_metadata.file_name", "_metadata.row_index"))
