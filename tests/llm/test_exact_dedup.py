@@ -37,6 +37,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert exact_groups(no_docs).count() == 0
 
 
+def test_every_group_keeps_a_row_when_scans_are_cut_otherwise(spark):
+    docs = spark.range(20_000).repartition(3).selectExpr("id as doc_id", "concat('text ', id % 900) as text")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        groups = exact_groups(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "30k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        kept = groups.filter("kept").groupBy("text_sha256").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(kept) == 900 and {r["count"] for r in kept} == {1}
+
+
 def test_filter_never_misses(spark):
     keys = spark.range(5000)
     words = filter_words(keys.selectExpr("id").select(*[c.alias("cell") for c in cells(1 << 16, "id")][:1]), 1 << 16)
