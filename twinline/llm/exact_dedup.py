@@ -31,10 +31,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             F.col(key).alias("doc_id"),
             F.char_length(whole).alias("chars"),
             F.sha2(without_space(whole), 256).alias("text_sha256"),
+            # Stored with the row: another scan may be cut otherwise and would number anew.
+            F.monotonically_increasing_id().alias("row"),
         ),
         "digests",
     )
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
     bits = filter_bits(rows.count())
     # First pass: the cells that more than one row hits.
     hit = rows.select(F.explode(F.array(*cells(bits, "text_sha256"))).alias("cell")).groupBy("cell").count()
