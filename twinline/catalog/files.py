@@ -125,14 +125,17 @@ def read_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "src_09_read_raw_split",
     f"WITH {ALIGNED} SELECT doc_id, docv_input, docv_output, replace(input, chr(10), ' ') AS input, "
-    "replace(output, chr(10), ' ') AS output FROM aligned",
+    "replace(output, chr(10), ' ') AS output, CASE docv_output WHEN 'V1' THEN docv_input || '|' || doc_id ELSE '' END AS rest FROM aligned",
 )
 def read_raw_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "raw")
     rows = aligned(spark, sf_dir)
     escaped = [F.replace(c, F.lit("\n"), F.lit("\\n")) for c in ("input", "output")]
-    rows.select(F.concat_ws("\t", "doc_id", "docv_input", "docv_output", *escaped)).write.text(path)
-    return sources.read_raw_split(spark, path)
+    # Some lines have fields after the fifth.
+    more = F.when(F.col("docv_output") == "V1", F.concat_ws("\t", "docv_input", "doc_id"))
+    rows.select(F.concat_ws("\t", "doc_id", "docv_input", "docv_output", *escaped, more)).write.text(path)
+    split = sources.read_raw_split(spark, path, rest="rest")
+    return split.withColumn("rest", F.array_join("rest", "|"))
 
 
 _METADATA = T.StructType(

@@ -8,27 +8,51 @@ from pyspark.sql import functions as F
 
 from ..functions.lists import map_values
 from ..functions.tokens import exploded
+from ..session import written
+from .bits import cells, filter_bits, filter_words, may_hold
 from .skew import collect_small, lookup
 
 
+def _digest(value: Column) -> Column:
+    """128 bits that stand for a value; a missing one has its own."""
+    return F.struct(*[F.xxhash64(F.lit(seed), value.isNull(), value).alias(f"d{seed}") for seed in (11, 12)])
+
+
 def exclude_overlap(
     big: DataFrame, small: DataFrame, columns: tuple[str, ...] = ("input", "output"), is_broadcast: bool | None = None
 ) -> DataFrame:
     """Drop rows of ``big`` whose every column has its value somewhere in that column of ``small``.
 
-    Columns are tested on their own, not as a pair, and a missing value matches a missing value. The
-    other columns of a row spread a hot value over several tasks.
+    Columns are tested on their own, not as a pair, and a missing value matches a missing value.
+
+    Values go by 128-bit digests. Rows that a Bloom filter of ``small`` tells apart pass straight through. The distinct
+    values of the others, each once per task, are compared with the values of ``small``; the digests found are then
+    looked up, so no sentence is ever broadcast or copied. ``is_broadcast`` fixes the kind of that look-up.
     """
-    flagged = big
+    maybe, seen = F.lit(True), {}
     for column in columns:
-        seen = small.select(F.col(column).alias("__value")).distinct().withColumn(f"__in_{column}", F.lit(True))
+        seen[column] = written(
+            small.select(_digest(F.col(column)).alias("digest"), F.col(column).alias("value")).distinct(), "seen"
+        )
+        bits = filter_bits(seen[column].count())
+        found = seen[column].select(F.explode(F.array(*cells(bits, "digest.d11", "digest.d12"))).alias("cell")).distinct()
+        digest = _digest(F.col(column))
+        maybe = maybe & may_hold(filter_words(found, bits), bits, digest["d11"], digest["d12"])
+    flagged = big.filter(maybe)
+    for column in columns:
+        values = big.filter(maybe).select(_digest(F.col(column)).alias("digest"), F.col(column).alias("own")).distinct()
+        same = (values["digest"] == seen[column]["digest"]) & F.col("own").eqNullSafe(F.col("value"))
+        held = values.join(seen[column], same, "left_semi").select(
+            F.col("digest").alias(f"__held_{column}"), F.lit(True).alias(f"__in_{column}")
+        )
+        flagged = flagged.withColumn(f"__digest_{column}", _digest(F.col(column)))
         flagged = lookup(
-            flagged, seen, [(column, "__value")], "left", spread=F.xxhash64(*big.columns), null_safe=True, small=is_broadcast
+            flagged, held, [(f"__digest_{column}", f"__held_{column}")], "left", spread=F.xxhash64(*big.columns), small=is_broadcast
         )
     both = F.lit(True)
     for column in columns:
         both = both & F.coalesce(F.col(f"__in_{column}"), F.lit(False))
-    return flagged.filter(~both).select(*big.columns)
+    return big.filter(~maybe).unionByName(flagged.filter(~both).select(*big.columns))
 
 
 def assign_split(

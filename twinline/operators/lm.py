@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import exploded
+from ..session import written
 from .joins import tokens_to_ids
 from .position import prefix_sum
+from .skew import is_small
 from .split import random_key
 from .vocab import vocab_by_frequency
 
@@ -29,12 +31,18 @@ def _span(low: Column, high: Column, build) -> Column:
 
 
 def _stream(df: DataFrame, tokens: str, row_id: str, bsz: int) -> DataFrame:
-    """Rows with their first place ``off``, length ``len``, steps per lane ``n_step``."""
-    sized = df.select(F.col(row_id).alias("__row"), F.col(tokens).alias("__tok"), F.size(tokens).cast("long").alias("len"))
-    peek = df.select(F.col(row_id).alias("__row"))
-    placed = prefix_sum(
-        sized, ["__row"], F.col("__row"), F.col("len"), name="off", total="__n", peek=peek
-    )
+    """Rows with their first place ``off``, length ``len``, steps per lane ``n_step``.
+
+    Only row numbers and lengths are ranked and summed; token lists are written once, before, and meet their offsets
+    without a sort: in place if the offsets are small, else by a hash join that builds on the offsets.
+    """
+    named = df.select(F.col(row_id).alias("__row"), F.col(tokens).alias("__tok"), F.size(tokens).cast("long").alias("len"))
+    stored = written(named, "tokens")
+    keys = stored.select("__row", "len")
+    offsets = prefix_sum(keys, ["__row"], F.col("__row"), F.col("len"), name="off", total="__n").drop("len")
+    offsets = written(offsets, "offsets")
+    near = F.broadcast(offsets) if is_small(offsets) else offsets.hint("shuffle_hash")
+    placed = stored.join(near, "__row")
     n_step = _div(F.col("__n"), F.lit(bsz))
     return placed.withColumn("n_step", n_step).filter(F.col("n_step") > 0)
 

@@ -131,37 +131,41 @@ def total_order(df: DataFrame, order: list[str], name: str = "rank", by: list[st
     return numbered.select(*df.columns, name, *([total] if total else []))
 
 
+def stored_scan(scan: DataFrame) -> DataFrame:
+    """The rows of a file scan, written, with their input split ``__file, __start`` and their place ``__part, __row``.
+
+    A split's rows are written by one task in order. The places are those in the written files, so every later reader
+    sees the same ones however its own scan is cut.
+    """
+    kept = scan.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+    placed = F.col("_metadata.file_name").alias("__part"), F.col("_metadata.row_index").alias("__row")
+    return written(kept, "lines").select("*", *placed)
+
+
+def span_places() -> list[Column | str]:
+    """The order of input splits. Part numbers grow in length: part-100000 follows part-99999."""
+    part = F.regexp_extract("__file", "[^/]*$", 0)
+    return [F.regexp_extract("__file", "^.*/", 0), F.length(part), part, "__start"]
+
+
 def number_scan(scan: DataFrame, name: str = "row_id", file: str | None = None) -> DataFrame:
-    """Number the rows of a file scan 0, 1, 2, ... in file and line order, without moving them.
+    """Number the rows of a file scan 0, 1, 2, ... in file and line order, without a shuffle of rows.
 
     With ``file`` numbers start again in every file and that column holds the file's path.
 
-    Rows of one input split come from one task in order, so a row's number is its place in the split
-    plus the row counts of the earlier splits. The counts come from a first pass over the files.
+    The rows are written once with the input split they came from; a row's number is its place among the split's
+    written rows plus the rows of earlier splits. Counts and rows come from the same written table, so they agree
+    even if the two scans of it are cut differently.
     """
-    tagged = scan.select(
-        "*",
-        F.col("_metadata.file_path").alias("__file"),
-        F.col("_metadata.file_block_start").alias("__start"),
-        F.monotonically_increasing_id().alias("__seen"),
-    )
-    spans = tagged.groupBy("__file", "__start").agg(
-        F.min("__seen").alias("__first"), F.count(F.lit(1)).alias("__rows")
-    )
-    # Part numbers grow in length: part-100000 follows part-99999.
-    part = F.regexp_extract("__file", "[^/]*$", 0)
-    places = [F.regexp_extract("__file", "^.*/", 0), F.length(part), part, "__start"]
-    order = Window.partitionBy("__file").orderBy("__start") if file else Window.orderBy(*places)
-    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    starts = spans.select(
-        "__file",
-        "__start",
-        (F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")).alias("__shift"),
-    )
-    # One row per input split. Splits number at most the files plus the scan's tasks.
-    if len(scan.inputFiles()) + scan.rdd.getNumPartitions() <= 1_000_000:
-        starts = F.broadcast(starts)
-    numbered = tagged.join(starts, ["__file", "__start"]).withColumn(name, F.col("__shift") + F.col("__seen"))
+    placed = stored_scan(scan)
+    spans = placed.groupBy("__file", "__start", "__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__rows"))
+    # A row per input split and part; a part only ends inside of a split where a writer limits its files.
+    order = [*span_places(), F.length("__part"), "__part"]
+    within = Window.partitionBy("__file").orderBy(*order[-3:]) if file else Window.orderBy(*order)
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__rows").over(earlier), F.lit(0)) - F.col("__first")
+    starts = spans.select("__file", "__start", "__part", shift.alias("__shift"))
+    numbered = placed.join(starts, ["__file", "__start", "__part"]).withColumn(name, F.col("__shift") + F.col("__row"))
     if file:
         numbered = numbered.withColumn(file, F.col("__file"))
-    return numbered.drop("__file", "__start", "__seen", "__shift")
+    return numbered.select(*scan.columns, name, *([file] if file else []))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import exploded
-from .position import prefix_sum, text_score
+from .position import total_order
 
 # Leading entries of a frequency vocabulary.
 FIELD_SPECIALS = ("<unk>", "<pad>", "<sos>", "<eos>")
@@ -31,7 +31,7 @@ def vocab_by_first_seen(df: DataFrame, tokens: str, row_id: str = "row_id") -> D
     # Row and place as one number: its minimum is kept in a hash table, that of a pair would need a sort.
     place = F.col("__row").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("__pos")
     seen = flat.groupBy("token").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("count"))
-    ranked = prefix_sum(seen, ["__first"], F.col("__first"), name="index", store=True)
+    ranked = total_order(seen, ["__first"], "index")
     return ranked.select("token", "index", "count")
 
 
@@ -45,7 +45,8 @@ def vocab_by_frequency(
     counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("count"))
     counts = counts.filter((F.col("count") >= min_count) & ~F.col("token").isin(*specials))
     counts = counts.withColumn("__falling", -F.col("count"))
-    ranked = prefix_sum(counts, ["__falling", "token"], F.col("__falling") + text_score(F.col("token")), name="index", store=True)
+    # Bounds are whole (count, word) pairs: words of one count and one beginning are dealt to many tasks as well.
+    ranked = total_order(counts, ["__falling", "token"], "index")
     ranked = ranked.select("token", (F.col("index") + len(specials)).alias("index"), "count")
     if not specials:
         return ranked

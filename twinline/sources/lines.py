@@ -11,20 +11,12 @@ from ..operators.joins import zip_inner, zip_outer
 from ..operators.position import number_scan
 from ..operators.sets import union_splits
 from ..schemas import ALIGNED, strings
-from .tabular import na_to_null
+from .tabular import _table
 
 
 def read_column(spark: SparkSession, path: str, name: str, multiline: bool = True, sep: str = "\t") -> DataFrame:
     """One quoted column with ``row_id``."""
-    scan = (
-        spark.read.schema(strings(name))
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
-    return na_to_null(number_scan(scan))
+    return _table(spark, path, strings(name), sep, False, multiline)
 
 
 def read_parallel_outer(

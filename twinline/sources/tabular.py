@@ -10,6 +10,7 @@ from ..operators.filters import drop_empty_pairs
 from ..operators.position import number_scan
 from ..operators.sets import distinct_rows
 from ..schemas import ALIGNED, NA_TOKENS, PAIRS, SCORED_PAIRS
+from .quoted import read_quoted
 
 
 def na_to_null(df: DataFrame) -> DataFrame:
@@ -24,55 +25,53 @@ def na_to_null(df: DataFrame) -> DataFrame:
 
 
 def _table(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str, header: bool, multiline: bool
+    spark: SparkSession, path: str, schema: T.StructType, sep: str, header: bool, multiline: bool, numbered: bool = True
 ) -> DataFrame:
-    """``multiline=False`` keeps large files splittable when no field holds a line break."""
+    """The rows of a quoted table with ``row_id``. Large files are read by many tasks either way; ``multiline=False``
+    saves the search for records where no field holds a line break."""
+    if multiline:
+        return na_to_null(read_quoted(spark, path, schema, sep, header))
     scan = (
         spark.read.schema(schema)
         .option("sep", sep)
         .option("header", header)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", multiline)
         .option("enforceSchema", True)
         .csv(path)
     )
-    return scan
-
-
-def _numbered(scan: DataFrame) -> DataFrame:
-    return na_to_null(number_scan(scan))
+    return na_to_null(number_scan(scan) if numbered else scan)
 
 
 def read_aligned_pairs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Headerless five-column file of aligned sentences, plus ``row_id``."""
-    return _numbered(_table(spark, path, ALIGNED, "\t", False, multiline))
+    return _table(spark, path, ALIGNED, "\t", False, multiline)
 
 
 def read_pairs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Headerless two-column file, plus ``row_id``."""
-    return _numbered(_table(spark, path, PAIRS, "\t", False, multiline))
+    return _table(spark, path, PAIRS, "\t", False, multiline)
 
 
 def read_scored_pairs(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Headerless three-column file without its score column, plus ``row_id``."""
-    return _numbered(_table(spark, path, SCORED_PAIRS, "\t", False, multiline)).drop("matching")
+    return _table(spark, path, SCORED_PAIRS, "\t", False, multiline).drop("matching")
 
 
 def read_prepared_pairs(
     spark: SparkSession, path: str, schema: T.StructType = PAIRS, multiline: bool = True
 ) -> DataFrame:
     """Prepared file with a header: distinct rows, each with its first ``row_id``."""
-    return distinct_rows(_numbered(_table(spark, path, schema, "\t", True, multiline)))
+    return distinct_rows(_table(spark, path, schema, "\t", True, multiline))
 
 
 def read_prepared_aligned(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """Prepared five-column file with a header, rows without content dropped; duplicates stay."""
-    return drop_empty_pairs(_numbered(_table(spark, path, ALIGNED, "\t", True, multiline)))
+    return drop_empty_pairs(_table(spark, path, ALIGNED, "\t", True, multiline))
 
 
 def read_article_metadata(
     spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True
 ) -> DataFrame:
     """Comma-separated article table with a header."""
-    return na_to_null(_table(spark, path, schema, ",", True, multiline))
+    return _table(spark, path, schema, ",", True, multiline, numbered=False).select(*schema.names)
