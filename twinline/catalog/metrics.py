@@ -14,7 +14,7 @@ from ..operators.split import rank_candidates
 from ..operators.predict import batch_predict, identity, lexical_substitution
 from ..operators.vocab import vocab_by_frequency
 from .registry import query
-from .tables import TRIPLES, table, token_triples, triples
+from .tables import REFERENCED, TRIPLES, referenced, table, token_triples, triples
 
 KEY = ["conv_id", "turn"]
 
@@ -118,6 +118,67 @@ def sentence_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(scores, "bleu").select("conv_id", "turn", "bleu")
 
 
+def _reference_grams_sql(name: str, lower: bool) -> str:
+    w = "list_transform(w, lambda x: lower(x))" if lower else "w"
+    orders = " UNION ALL ".join(
+        f"SELECT conv_id, turn, side, k, {n} AS n, unnest(list_transform(range(1, greatest(len(w) - {n - 2}, 1)::BIGINT), "
+        f"lambda i: array_to_string(list_slice({w}, i, i + {n - 1}), ' '))) AS gram FROM sides"
+        for n in range(1, 5)
+    )
+    return f"""{name}_each AS (SELECT conv_id, turn, side, k, n, gram, count(*) AS x FROM ({orders}) GROUP BY ALL),
+{name} AS (SELECT conv_id, turn, n, gram, coalesce(sum(x) FILTER (side = 's'), 0) AS s, coalesce(sum(x) FILTER (side = 'c'), 0) AS c,
+  coalesce(sum(x) FILTER (side = 'r'), 0) AS r, coalesce(max(x) FILTER (side = 'r'), 0) AS best FROM {name}_each GROUP BY ALL)"""
+
+
+_REFERENCE_SQL = f"""WITH {REFERENCED},
+sides AS (SELECT conv_id, turn, 's' AS side, 0 AS k, s AS w FROM pairs UNION ALL SELECT conv_id, turn, 'c', 0, c FROM pairs
+  UNION ALL SELECT conv_id, turn, 'r', k, r FROM refs JOIN pairs USING (conv_id, turn)),
+{_reference_grams_sql("low", True)},
+{_reference_grams_sql("plain", False)},
+shares AS (
+  SELECT conv_id, turn, n, least(s, c) * m AS kept, least(least(s, c) * m, r) AS kept_good, least(s * m, r) AS kept_all,
+    greatest(s - c, 0) * m AS gone, greatest(greatest(s - c, 0) * m - r, 0) AS gone_good, s * m > r AS gone_all,
+    c > 0 AND s = 0 AS new, r > 0 AND s = 0 AS new_all, c > 0 AND s = 0 AND r > 0 AS new_good
+  FROM low JOIN (SELECT conv_id, turn, m FROM pairs) USING (conv_id, turn)),
+sums AS (
+  SELECT conv_id, turn, n, sum(CASE WHEN kept > 0 THEN kept_good / kept::DOUBLE ELSE 0 END) AS kp,
+    sum(CASE WHEN kept_all > 0 THEN kept_good / kept_all::DOUBLE ELSE 0 END) AS kr, count(*) FILTER (kept > 0) AS nk,
+    count(*) FILTER (kept_all > 0) AS nka, sum(CASE WHEN gone > 0 THEN gone_good / gone::DOUBLE ELSE 0 END) AS ds,
+    count(*) FILTER (gone > 0) AS nd, count(*) FILTER (gone_all) AS nda,
+    count(*) FILTER (new_good) AS g, count(*) FILTER (new) AS nn, count(*) FILTER (new_all) AS nna
+  FROM shares GROUP BY ALL),
+ratios AS (
+  SELECT conv_id, turn, CASE WHEN nk > 0 THEN kp / nk ELSE 0 END AS a, CASE WHEN nka > 0 THEN kr / nka ELSE 0 END AS b,
+    CASE WHEN nd > 0 THEN ds / nd ELSE 0 END AS d, CASE WHEN nda > 0 THEN ds / nda ELSE 0 END AS e,
+    CASE WHEN nn > 0 THEN g / nn::DOUBLE ELSE 0 END AS p, CASE WHEN nna > 0 THEN g / nna::DOUBLE ELSE 0 END AS q FROM sums),
+sari AS (
+  SELECT conv_id, turn, sum({_F1.format(p='a', r='b')}) / 4 AS keep, sum({_F1.format(p='d', r='e')}) / 4 AS delete,
+    sum({_F1.format(p='p', r='q')}) / 4 AS add FROM ratios GROUP BY ALL),
+orders AS (SELECT conv_id, turn, n, sum(least(c, best)) AS clip, sum(c) AS total FROM plain GROUP BY ALL),
+bleu_parts AS (
+  SELECT t.conv_id, t.turn, any_value(t.m) AS m, any_value(len(t.c)) AS hyp, coalesce(any_value((
+      SELECT arg_min(len(r), abs(len(r) - len(t.c)) * 1000000 + len(r)) FROM refs f WHERE f.conv_id = t.conv_id AND f.turn = t.turn)), 0) AS ref,
+    """ + ", ".join(
+    f"coalesce(max(clip) FILTER (WHERE n = {n}), 0) AS c{n}, coalesce(max(total) FILTER (WHERE n = {n}), 0) AS t{n}"
+    for n in range(1, 5)
+) + f"""
+  FROM pairs t LEFT JOIN orders USING (conv_id, turn) GROUP BY t.conv_id, t.turn)
+SELECT conv_id, turn, m AS n_references, round(coalesce(keep, 0), 6) AS keep, round(coalesce(delete, 0), 6) AS delete,
+  round(coalesce(add, 0), 6) AS add, round(coalesce(keep + delete + add, 0) / 3, 6) AS sari,
+  round({_smoothed_sql('greatest(t{n}, 1)')}, 6) AS bleu
+FROM bleu_parts LEFT JOIN sari USING (conv_id, turn)"""
+
+
+@query("met_01_02_several_references", _REFERENCE_SQL)
+def several_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = referenced(spark, sf_dir)
+    tokens = rows.select(
+        *KEY, *[split_ws(F.col(n)).alias(n) for n in ("origin", "hypothesis")], F.transform("references", split_ws).alias("references")
+    )
+    scores = sentence_scores(tokens.withColumn("n_references", F.size("references").cast("long")), [*KEY, "n_references"], references="references", partitioned=True)
+    return _rounded(scores, "keep", "delete", "add", "sari", "bleu").select(*KEY, "n_references", "keep", "delete", "add", "sari", "bleu")
+
+
 @query("met_03_sentence_meteor")
 def sentence_meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = triples(spark, sf_dir)

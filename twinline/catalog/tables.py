@@ -103,6 +103,33 @@ def token_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triples(spark, sf_dir).select("conv_id", "turn", *[split_ws(F.col(n)).alias(n) for n in names])
 
 
+MOST_REFERENCES = 5
+
+
+def referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, turn, origin, hypothesis, references``: a turn, the next, and the texts of up to five after that."""
+    turns = table(spark, sf_dir, "conversations")
+    slots = F.explode(F.array(*[F.lit(i) for i in range(MOST_REFERENCES + 2)]))
+    sent = turns.select("conv_id", "turn", "text", slots.alias("slot")).filter(F.col("turn") >= F.col("slot"))
+    sent = sent.select("conv_id", (F.col("turn") - F.col("slot")).alias("turn"), "text", "slot")
+    later = F.array_sort(F.collect_list(F.when(F.col("slot") > 1, F.struct("slot", "text"))))
+    rows = sent.groupBy("conv_id", "turn").agg(
+        *[F.max(F.when(F.col("slot") == i, F.col("text"))).alias(n) for i, n in enumerate(("origin", "hypothesis"))],
+        F.transform(later, lambda x: x["text"]).alias("references"),
+    )
+    return rows.filter(F.col("origin").isNotNull() & F.col("hypothesis").isNotNull())
+
+
+REFERENCED = r"""refs AS (
+  SELECT a.conv_id, a.turn, c.turn AS k, list_filter(regexp_split_to_array(c.text, '\s+'), lambda x: x <> '') AS r
+  FROM conversations a JOIN conversations c ON a.conv_id = c.conv_id AND c.turn BETWEEN a.turn + 2 AND a.turn + 6),
+pairs AS (
+  SELECT a.conv_id, a.turn, list_filter(regexp_split_to_array(a.text, '\s+'), lambda x: x <> '') AS s,
+    list_filter(regexp_split_to_array(b.text, '\s+'), lambda x: x <> '') AS c,
+    (SELECT count(*) FROM refs r WHERE r.conv_id = a.conv_id AND r.turn = a.turn) AS m
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
+
+
 TRIPLES = r"""triples AS (
   SELECT a.conv_id, a.turn, a.text AS origin, b.text AS hypothesis, c.text AS reference
   FROM conversations a

@@ -77,6 +77,8 @@ def meteor(
 ) -> Column:
     """METEOR of two texts, cut at white space and lower-cased.
 
+    ``reference`` may be a list of texts: the best of their scores counts, and 0 where there are none.
+
     ``synonyms`` is an optional table ``word, synonym`` (none is shipped). It is sent to every worker;
     ``max_bytes`` bounds its size as JSON, and a larger one is an error.
     """
@@ -90,14 +92,13 @@ def meteor(
             grouped.setdefault(row[0], set()).add(row[1])
         table = {w: frozenset(s) for w, s in grouped.items()}
 
+    def best(hyp: str | None, refs) -> float:
+        words = (hyp or "").lower().split()
+        texts = [refs] if refs is None or isinstance(refs, str) else refs
+        return max((_score(words, (r or "").lower().split(), stems, table, alpha, beta, gamma) for r in texts), default=0.0)
+
     @F.pandas_udf("double")
     def score(hyps: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                _score((h or "").lower().split(), (r or "").lower().split(), stems, table, alpha, beta, gamma)
-                for h, r in zip(hyps, refs)
-            ],
-            dtype="float64",
-        )
+        return pd.Series([best(h, r) for h, r in zip(hyps, refs)], dtype="float64")
 
     return score(hypothesis, reference)

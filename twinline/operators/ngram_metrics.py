@@ -62,6 +62,50 @@ def gram_counts(
     return _count(rows, key, list(sides))
 
 
+def _reference_grams(
+    placed: DataFrame, key: list[str], origin: str, hypothesis: str, references: str, sari: bool, bleu: bool
+) -> DataFrame:
+    """``key, n, gram`` with counts ``s, c``, the sum ``r`` and the most ``best`` over all references, their number
+    ``__m``, and the lengths of the nearest reference, of equally near ones the shorter (``__near``) or first (``__first``).
+
+    Each text is a row of its own until its grams are counted, all lying by ``key``.
+    """
+    none = F.array().cast("array<string>")
+
+    def text(side: str, place: Column, tokens: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), place.alias("ref"), F.coalesce(tokens, none).alias("tokens"))
+
+    refs = F.coalesce(F.col(references), F.array().cast("array<array<string>>"))
+    hyp = F.size(F.coalesce(F.col(hypothesis), none))
+    sizes = F.transform(refs, lambda r, i: F.struct(F.size(F.coalesce(r, none)).alias("size"), i.alias("at")))
+    away = lambda z: F.abs(z["size"] - hyp).alias("away")
+    near = F.array_min(F.transform(sizes, lambda z: F.struct(away(z), z["size"].alias("size"))))["size"]
+    first = F.array_min(F.transform(sizes, lambda z: F.struct(away(z), z["at"].alias("at"), z["size"].alias("size"))))["size"]
+    lengths = {"__m": F.size(refs), "__hyp": hyp, "__near": F.coalesce(near, F.lit(0)), "__first": F.coalesce(first, F.lit(0))}
+    keys = [*key, *lengths]
+    texts = F.concat(
+        F.array(text("s", F.lit(0), F.col(origin)), text("c", F.lit(0), F.col(hypothesis))),
+        F.transform(refs, lambda r, i: text("r", i, r)),
+    )
+    rows = placed.select(*key, *[c.alias(n) for n, c in lengths.items()], F.explode(texts).alias("__t"))
+    rows = rows.select(*keys, F.col("__t.side").alias("__side"), F.col("__t.ref").alias("__ref"), F.col("__t.tokens").alias("__tokens"))
+    wanted, parts = {}, []
+    for name, base, use in (("__l", 0, sari), ("__b", _BLEU, bleu)):
+        if use:
+            wanted[name] = ("__tokens", base == 0)
+            parts += _tagged(name, "", base)
+    rows = _gram_columns(rows, [*keys, "__side", "__ref"], wanted)
+    rows = rows.select(*keys, "__side", "__ref", F.explode_outer(F.flatten(F.array(*parts))).alias("g"))
+    each = rows.groupBy(*keys, "__side", "__ref", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
+        F.count("g.gram").alias("__count")
+    )
+    of = lambda side: F.when(F.col("__side") == side, F.col("__count"))
+    return each.groupBy(*keys, "n", "gram").agg(
+        *[F.coalesce(F.sum(of(side)), F.lit(0)).alias(side) for side in "scr"],
+        F.coalesce(F.max(of("r")), F.lit(0)).alias("best"),
+    )
+
+
 def _count(rows: DataFrame, key: list[str], sides: list[str]) -> DataFrame:
     counts = [F.count(F.when(F.col("g.side") == s, 1)).alias(s) for s in sides]
     return rows.groupBy(*key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(*counts)
@@ -84,34 +128,46 @@ def sentence_scores(
     sari: bool = True,
     bleu: bool = True,
     partitioned: bool = False,
+    references: str | None = None,
 ) -> DataFrame:
     """Per row: ``keep, delete, add, sari`` and ``bleu`` with its pooled parts.
 
+    ``references`` names a list of token lists that takes the place of ``reference``, any number of them per row. SARI then
+    weighs source and hypothesis grams by that number and sums the references' grams; BLEU clips at the reference that
+    has most of a gram and compares with the nearest length, ``ref_len`` (``ref_len_strict`` where the first of equally near ones
+    counts). A row without references scores 0.
+
     Columns are token lists. The BLEU parts are ``clip_n`` and ``total_n`` for n = 1..4, ``hyp_len``
     and ``ref_len``; ``corpus_bleu`` adds them up. ``partitioned`` says that rows already lie by ``key``
     (or by part of it), which saves the one shuffle.
     """
     placed = df if partitioned else df.repartition(*key)
-    wanted: dict[str, tuple[str, bool]] = {}
-    parts: list[Column] = []
-    if sari:
-        wanted |= {"__ls": (origin, True), "__lc": (hypothesis, True), "__lr": (reference, True)}
-        for side in ("s", "c", "r"):
-            parts += _tagged(f"__l{side}", side, 0)
-    if bleu:
-        wanted |= {"__c": (hypothesis, False), "__r": (reference, False)}
-        for side in ("c", "r"):
-            parts += _tagged(f"__{side}", side, _BLEU)
-    placed = _gram_columns(placed, key, wanted)
-    # A row without any gram still gets its scores: it keeps one row of no order.
-    rows = placed.select(*key, F.explode_outer(F.flatten(F.array(*parts))).alias("g"))
-    grams = _count(rows, key, ["s", "c", "r"])
-
-    s, c, r = F.col("s"), F.col("c"), F.col("r")
+    many, fixed, best = F.lit(1), [], F.col("r")
+    if references:
+        grams = _reference_grams(placed, key, origin, hypothesis, references, sari, bleu)
+        many, fixed, best = F.col("__m"), ["__m", "__near", "__first"], F.col("best")
+    else:
+        wanted: dict[str, tuple[str, bool]] = {}
+        parts: list[Column] = []
+        if sari:
+            wanted |= {"__ls": (origin, True), "__lc": (hypothesis, True), "__lr": (reference, True)}
+            for side in ("s", "c", "r"):
+                parts += _tagged(f"__l{side}", side, 0)
+        if bleu:
+            wanted |= {"__c": (hypothesis, False), "__r": (reference, False)}
+            for side in ("c", "r"):
+                parts += _tagged(f"__{side}", side, _BLEU)
+        placed = _gram_columns(placed, key, wanted)
+        # A row without any gram still gets its scores: it keeps one row of no order.
+        rows = placed.select(*key, F.explode_outer(F.flatten(F.array(*parts))).alias("g"))
+        grams = _count(rows, key, ["s", "c", "r"])
+
+    # Grams of the source and hypothesis count once for each reference.
+    s, c, r = F.col("s") * many, F.col("c") * many, F.col("r")
     kept, deleted = F.least(s, c), F.greatest(s - c, F.lit(0))
     kept_good, delete_good = F.least(kept, r), F.greatest(deleted - r, F.lit(0))
     kept_all, delete_all = F.least(s, r), F.greatest(s - r, F.lit(0))
-    added, added_all = (c > 0) & (s == 0), (r > 0) & (s == 0)
+    added, added_all = (F.col("c") > 0) & (F.col("s") == 0), (r > 0) & (F.col("s") == 0)
 
     def share(top: Column, bottom: Column) -> Column:
         return F.when(bottom > 0, top / bottom).otherwise(0.0)
@@ -132,9 +188,9 @@ def sentence_scores(
             "aa_n": added_all.cast("int"),
         }
     if bleu:
-        values |= {"clip": F.least(c, r), "total": c, "ref": r}
-    valued = grams.select(*key, "n", *[v.alias(name) for name, v in values.items()])
-    by_order = valued.groupBy(*key, "n").agg(*[F.sum(name).alias(name) for name in values])
+        values |= {"clip": F.least(F.col("c"), best), "total": F.col("c"), "ref": r}
+    valued = grams.select(*key, *fixed, "n", *[v.alias(name) for name, v in values.items()])
+    by_order = valued.groupBy(*key, *fixed, "n").agg(*[F.sum(name).alias(name) for name in values])
     zero = F.lit(0.0)
     kp, kr, dp = F.col("kp"), F.col("kr"), F.col("dp")
     keep = _f1(_ratio(kp, F.col("k_n")), _ratio(kr, F.col("ka_n")))
@@ -153,7 +209,10 @@ def sentence_scores(
             here = n == _BLEU + order
             outputs.append(F.coalesce(F.max(F.when(here, F.col("clip"))), F.lit(0)).alias(f"clip_{order}"))
             outputs.append(F.coalesce(F.max(F.when(here, F.col("total"))), F.lit(0)).alias(f"total_{order}"))
-        outputs.append(F.coalesce(F.max(F.when(n == _BLEU + 1, F.col("ref"))), F.lit(0)).alias("ref_len"))
+        if references:
+            outputs += [F.max("__near").alias("ref_len"), F.max("__first").alias("ref_len_strict")]
+        else:
+            outputs.append(F.coalesce(F.max(F.when(n == _BLEU + 1, F.col("ref"))), F.lit(0)).alias("ref_len"))
     scores = by_order.groupBy(*key).agg(*outputs)
     if sari:
         scores = scores.withColumn("sari", (F.col("keep") + F.col("delete") + F.col("add")) / 3)
@@ -191,19 +250,21 @@ def corpus_bleu(scores: DataFrame, sari: bool = False) -> DataFrame:
     The smoothed score counts at least one gram per row and order, the strict one counts as they are.
     ``sari`` adds the corpus SARI from the same pass.
     """
+    strict_len = "ref_len_strict" if "ref_len_strict" in scores.columns else "ref_len"
     sums = scores.agg(
         *[F.sum(f"clip_{n}").alias(f"clip_{n}") for n in ORDERS],
         *[F.sum(F.greatest(f"total_{n}", F.lit(1))).alias(f"total_{n}") for n in ORDERS],
         *[F.sum(f"total_{n}").alias(f"plain_{n}") for n in ORDERS],
         F.sum("hyp_len").alias("hyp_len"),
         F.sum("ref_len").alias("ref_len"),
+        F.sum(strict_len).alias("strict_len"),
         *([F.avg("sari").alias("sari")] if sari else []),
     )
     logs = F.lit(0.0)
     for n in ORDERS:
         logs = logs + F.log(F.col(f"clip_{n}") / F.col(f"plain_{n}")) / 4
     least = F.least(*[F.col(f"clip_{n}") for n in ORDERS])
-    length = F.exp(F.least(F.lit(0.0), 1 - F.col("ref_len") / F.col("hyp_len")))
+    length = F.exp(F.least(F.lit(0.0), 1 - F.col("strict_len") / F.col("hyp_len")))
     strict = F.when(least > 0, length * F.exp(logs)).otherwise(0.0)
     extra = ["sari"] if sari else []
     return sums.select(smoothed_bleu(pooled=True).alias("bleu_smoothed"), strict.alias("bleu_strict"), *extra)
