@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from twinline.llm.html_text import blocks, extract, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
@@ -19,6 +23,28 @@ def test_broken_markup_does_not_crash():
         main_text(blocks(page), None)
 
 
+@pytest.mark.parametrize(
+    "part", ["<p ", "<", "</", "<!", "<!--", "<a href=\"", "<p class='", "<p x=<", "<div>", "<div>x", "<script>", "</script ", "&amp", "<b>a</b", "<li>y", "<p a = "]
+)
+def test_time_is_linear_in_broken_markup(part):
+    page = "<p>begin</p>" + part * (2_000_000 // len(part)) + "end"
+    start = time.process_time()
+    found = blocks(page)
+    assert time.process_time() - start < 10
+    assert found[0].text.startswith("begin")
+
+
+def test_tags_with_odd_signs():
+    page = "<p data-x='a > b' title=\"c < d\">one</p><p a=1<2>two</p><p>3 < 4 and 5 > 4</p><!-- open"
+    assert [b.text for b in blocks(page)] == ["one", "two", "3 < 4 and 5 > 4"]
+
+
+def test_deep_nesting_keeps_the_text():
+    deep = "<div>" * 5000 + "<p>inmost</p>" + "</div>" * 5000 + "<p>after</p>"
+    assert [b.text for b in blocks(deep)] == ["inmost", "after"]
+    assert len(blocks(deep)[0].containers) <= 64
+
+
 def test_host_votes(spark):
     small = "<body><article class=post><p>tiny</p></article><div class=extra><p>" + "long other text " * 20 + "</p></div></body>"
     big = "<body><article class=post><p>" + "the article text " * 30 + "</p></article><div class=extra><p>x</p></div></body>"

@@ -18,9 +18,14 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
+# A tag ends before the next one begins, and no part of the pattern gives back what it has read: time is linear in any markup.
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)"
+    r"((?:[^<>\"']++|<(?![a-zA-Z/!?])|\"[^\"]*+\"|'[^']*+')*+)>",
+    re.DOTALL,
 )
+# Elements nested deeper become neighbours of those at this depth.
+DEEPEST = 64
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|([^\s=/\"'<>]+)")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "col", "area", "base", "embed", "source", "track", "wbr", "param"}
@@ -74,7 +79,8 @@ class _Open:
     outside: bool
     doubts: tuple[int, ...]
     path: str
-    number: int
+    # The containers that it lies in, itself included.
+    held: tuple[tuple[str, int], ...]
 
 
 @dataclass
@@ -96,7 +102,7 @@ class _Page:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                held = tuple((o.path, o.number) for o in self.stack if o.tag not in INNER) or (("", 0),)
+                held = (self.stack[-1].held if self.stack else ()) or (("", 0),)
                 self.blocks.append(Block(text, held, min(self.linked, len(text)), self.stack[-1].doubts if self.stack else ()))
         self.parts, self.linked = [], 0
 
@@ -122,9 +128,13 @@ class _Page:
         own = ".".join([tag, *sorted({re.sub(r"\d+", "#", n) for n in names[0]})]) if names else tag
         self.opened += 1
         doubts = above.doubts if above else ()
+        if len(self.stack) >= DEEPEST:
+            above = self.stack[-2]
+            self.stack.pop()
         if noise or tag in FORMS:
             doubts += (self.opened,)
-        self.stack.append(_Open(tag, outside, doubts, f"{above.path}/{own}" if above else own, self.opened))
+        path, held = f"{above.path}/{own}" if above else own, above.held if above else ()
+        self.stack.append(_Open(tag, outside, doubts, path, held if tag in INNER else (*held, (path, self.opened))))
 
     def close(self, tag: str) -> None:
         for place in range(len(self.stack) - 1, -1, -1):
@@ -181,7 +191,7 @@ def blocks(page: str) -> list[Block]:
         name = tag[2].lower()
         if name in RAW:
             if not tag[1]:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^<>]*+>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
         elif name == "br":
             state.text(" ")
