@@ -213,3 +213,23 @@ def test_counter_form_of_sari_agrees(spark, sf_dir):
     for r in found:
         lists = ([t.lower() for t in r[n]] for n in ("origin", "hypothesis", "reference"))
         assert r["sari"] == pytest.approx(sari(*lists))
+
+
+def test_scored_predict_keeps_the_best(spark):
+    from twinline.operators.predict import scored_predict
+    from twinline.operators.split import rank_candidates
+
+    def beam():
+        # Thousands of candidates per text, with ties.
+        return lambda texts: [((f"{t}-{i}", -float(i * 7919 % 101), 1 + i % 5) for i in range(5000 * (t != "none"))) for t in texts]
+
+    df = spark.createDataFrame([(1, "a"), (2, "none"), (3, None), (4, "b")], "id int, t string")
+    for score in ("length_power", "mean", "raw"):
+        got = sorted(map(tuple, scored_predict(df, "t", beam, 3, score).select("id", "rank", "hypothesis").collect()))
+        every = [(i, f"{t}-{n}", n, -float(n * 7919 % 101), 1 + n % 5) for i, t in ((1, "a"), (3, ""), (4, "b")) for n in range(5000)]
+        flat = spark.createDataFrame(every, "id int, hypothesis string, candidate int, logp double, length int")
+        want = rank_candidates(flat, 3, source="id", score=score)
+        assert got == sorted((r.id, r["rank"], r.hypothesis) for r in want.collect())
+    plan = scored_predict(df, "t", beam, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert scored_predict(df.limit(0), "t", beam).count() == 0

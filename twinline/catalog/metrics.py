@@ -11,7 +11,7 @@ from ..operators.joins import tokens_to_ids
 from ..operators.meteor import meteor
 from ..operators.ngram_metrics import corpus_bleu, corpus_sari, sentence_scores
 from ..operators.split import rank_candidates
-from ..operators.predict import batch_predict, identity, lexical_substitution
+from ..operators.predict import batch_predict, identity, lexical_substitution, scored_predict, without_a_word
 from ..operators.vocab import vocab_by_frequency
 from .registry import query
 from .tables import REFERENCED, TRIPLES, referenced, table, token_triples, triples
@@ -424,6 +424,24 @@ def batch_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_predict(origins.unionByName(more), "text", identity)
 
 
+@query(
+    "inf_01_scored_candidates",
+    r"""WITH words AS (
+  SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations
+), cand AS (
+  SELECT conv_id, turn, i, len(w) AS length, -length(w[i]) / 8.0::DOUBLE AS logp,
+    array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS hypothesis
+  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)
+), ranked AS (
+  SELECT *, logp / pow(length, 0.7) AS score, row_number() OVER (PARTITION BY conv_id, turn ORDER BY logp DESC, i) AS rank FROM cand
+) SELECT conv_id, turn, CAST(rank AS INTEGER) AS rank, hypothesis, logp, CAST(length AS INTEGER) AS length, round(score, 6) AS score
+FROM ranked WHERE rank <= 4""",
+)
+def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = scored_predict(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", without_a_word, 4)
+    return _rounded(best.drop("text"), "score")
+
+
 _LEXICON = r"""counts AS (
   SELECT w, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)
   WHERE length(w) >= 6 GROUP BY w),

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +17,10 @@ from .skew import collect_small, lookup
 # A predictor maps a list of texts to a list of candidate lists, best first.
 Predictor = Callable[[list[str]], list[list[str]]]
 
-_BUILT: dict[str, Predictor] = {}
+# A scored predictor gives any number of candidates in any order, each with its log-probability and its length.
+ScoredPredictor = Callable[[list[str]], list[Iterable[tuple[str, float, int]]]]
+
+_BUILT: dict[str, Predictor | ScoredPredictor] = {}
 
 
 def _once_per_worker(name: str, factory: Callable[[], Predictor]) -> Predictor:
@@ -52,6 +56,61 @@ def batch_predict(df: DataFrame, text: str, factory: Callable[[], Predictor], k:
     return df.mapInArrow(run, schema)
 
 
+def candidate_score(logp: float, length: int, score: str, alpha: float) -> float:
+    """The scores of ``rank_candidates`` for one candidate."""
+    if score == "length_power":
+        return logp / length**alpha
+    return logp / (length - 1 + 1e-6) if score == "mean" else logp
+
+
+def scored_predict(
+    df: DataFrame, text: str, factory: Callable[[], ScoredPredictor], k: int = 1, score: str = "length_power", alpha: float = 0.7
+) -> DataFrame:
+    """The ``k`` best candidates per input row, with ``rank`` (from 1), ``hypothesis``, ``logp``, ``length`` and ``score``.
+
+    Candidates may come from a generator: at most ``k`` of a row are held, and no others leave the worker, so nothing is
+    shuffled however many a beam gives. Of equal scores the earlier candidate is better, as in ``rank_candidates``. Null
+    texts are predicted as empty ones; a row without candidates gives no row.
+    """
+    name = uuid.uuid4().hex
+    if score not in ("length_power", "mean", "raw"):
+        raise ValueError(f"unknown score {score}")
+    added = "rank int, hypothesis string, logp double, length int, score double"
+    fields = T.StructType.fromDDL(added).fields
+    schema = T.StructType([*df.schema.fields, *fields])
+    kinds = [pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.float64()]
+
+    def best(candidates: Iterable[tuple[str, float, int]]) -> list[tuple]:
+        scored = ((candidate_score(logp, length, score, alpha), -i, h, logp, length) for i, (h, logp, length) in enumerate(candidates))
+        return heapq.nlargest(k, scored, key=lambda c: c[:2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _once_per_worker(name, factory)
+        for batch in batches:
+            rows, columns = [], [[] for _ in fields]
+            for i, candidates in enumerate(predict([t or "" for t in batch.column(text).to_pylist()])):
+                for rank, (value, _, hypothesis, logp, length) in enumerate(best(candidates), 1):
+                    rows.append(i)
+                    for column, x in zip(columns, (rank, hypothesis, logp, length, value), strict=True):
+                        column.append(x)
+            repeated = batch.take(pa.array(rows, pa.int32()))
+            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*repeated.columns, *arrays], [*batch.schema.names, *(f.name for f in fields)])
+
+    return df.mapInArrow(run, schema)
+
+
+def without_a_word() -> ScoredPredictor:
+    """Every text that leaves out one word, as a generator; an eighth of its length in code points is lost in log-probability."""
+
+    def shorter(text: str) -> Iterator[tuple[str, float, int]]:
+        words = text.split()
+        for i, word in enumerate(words):
+            yield " ".join(words[:i] + words[i + 1 :]), -len(word) / 8, len(words)
+
+    return lambda texts: [shorter(t) for t in texts]
+
+
 def identity() -> Predictor:
     """The input as its own and only candidate."""
     return lambda texts: [[t] for t in texts]
