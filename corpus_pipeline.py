@@ -25,7 +25,7 @@ STAGES = [
     ("mixing", _shipped(stages.mix_sources)),
 ]
 
-# A trained score decides in the first stage, which SQL can't express; tests hold each stage against brute force.
+# A trained score decides in the first stage, which SQL can't express; tests compare the rows and columns of the stages.
 ORACLE_SQL = None
 
 
