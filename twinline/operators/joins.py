@@ -38,9 +38,11 @@ def exclude_overlap(
         found = seen[column].select(F.explode(F.array(*cells(bits, "digest.d11", "digest.d12"))).alias("cell")).distinct()
         digest = _digest(F.col(column))
         maybe = maybe & may_hold(filter_words(found, bits), bits, digest["d11"], digest["d12"])
-    flagged = big.filter(maybe)
+    # Read once for each column and once more for the rows themselves.
+    some = written(big.filter(maybe), "candidates")
+    flagged = some
     for column in columns:
-        values = big.filter(maybe).select(_digest(F.col(column)).alias("digest"), F.col(column).alias("own")).distinct()
+        values = some.select(_digest(F.col(column)).alias("digest"), F.col(column).alias("own")).distinct()
         same = (values["digest"] == seen[column]["digest"]) & F.col("own").eqNullSafe(F.col("value"))
         held = values.join(seen[column], same, "left_semi").select(
             F.col("digest").alias(f"__held_{column}"), F.lit(True).alias(f"__in_{column}")
