@@ -115,3 +115,23 @@ def test_ids_agree_for_small_and_large_vocabularies(spark):
     for small in (True, False):
         coded = tokens_to_ids(rows, vocab, "t", "ids", ["k"], 1, small=small)
         assert sorted((r["k"], r["ids"]) for r in coded.collect()) == [(1, [5, 1, 5]), (2, []), (3, None), (4, [6])]
+
+
+def test_large_vocabulary_moves_rare_words_only(spark):
+    from pyspark.sql import functions as F
+
+    from twinline.operators.skew import frequent_values
+
+    rows = [(i % 5 or None, [f"w{(i * j) % 97}" if j % 3 else "the" for j in range(i % 7)]) for i in range(200)]
+    rows += [(7, None), (7, []), (7, [None, "w1", None]), (7, ["out", "w2", "out", "w2"])]
+    df = spark.createDataFrame(rows, "k int, t array<string>").repartition(3)
+    vocab = spark.createDataFrame([(f"w{i}", i + 2) for i in range(0, 97, 2)] + [("the", 99)], "token string, index int")
+    table = {r["token"]: r["index"] for r in vocab.collect()}
+    want = sorted(((k, t, None if t is None else [table.get(w, 1) for w in t]) for k, t in rows), key=str)
+    for frequent in (1, 10, 1000):
+        coded = tokens_to_ids(df, vocab, "t", "ids", ["k"], 1, small=False, frequent=frequent)
+        assert coded.columns == ["k", "t", "ids"]
+        assert sorted(((r.k, r.t, r.ids) for r in coded.collect()), key=str) == want
+    empty = tokens_to_ids(df.limit(0), vocab, "t", "ids", ["k"], 1, small=False)
+    assert empty.count() == 0
+    assert frequent_values(df, F.col("t"), 5).orderBy(F.desc("count")).first()["item"] == "the"

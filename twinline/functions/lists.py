@@ -39,3 +39,9 @@ def expand_values(lists: pa.Array, parts_of, names: pa.Array) -> pa.Array:
     places = np.arange(counts.sum()) + np.repeat(first[index] - (ends - counts), counts)
     bounds = np.concatenate([[0], ends])[_row_bounds(lists)]
     return _rebuilt(bounds, names.take(pa.array(flat[places])), lists)
+
+
+def fill_nulls(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """The nulls inside of each list replaced, in order, by the row's ``values``, one for each null."""
+    flat = lists.flatten()
+    return _rebuilt(_row_bounds(lists), pc.replace_with_mask(flat, flat.is_null(), values.flatten()), lists)

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lists import map_values
-from ..functions.tokens import exploded
+from ..functions.lists import fill_nulls, map_values
 from ..session import written
 from .bits import cells, filter_bits, filter_words, may_hold
-from .skew import collect_small, lookup
+from .skew import BROADCAST_BYTES, FREQUENT, collect_small, frequent_values, lookup
 
 
 def _digest(value: Column) -> Column:
@@ -90,33 +89,47 @@ def tokens_to_ids(
     token: str = "token",
     index: str = "index",
     small: bool | None = None,
+    frequent: int = FREQUENT,
 ) -> DataFrame:
     """Add the vocabulary index of every token; tokens outside the vocabulary get ``unk_id``.
 
-    A vocabulary of checked small size is sent to the workers and no row moves. A larger one is joined
-    by token with salted keys and the ids of each row are gathered again by ``key``; that shuffle
-    carries keys, places and ids only.
+    A vocabulary of checked small size is sent to the workers and no row moves. Of a larger one the workers get what the
+    text uses most: a sketch names about ``frequent`` words, as many of them as a broadcast may hold, and these are
+    coded in place, those outside of the vocabulary too. Only the other tokens are joined by word, with place and row
+    number, and only rows that have such tokens move to meet their ids; no word among them is hot. ``key`` names the
+    rows for the reader; they are matched by numbers of their own, so keys may repeat or be null.
     """
+    spark = df.sparkSession
     coded = None if small is False else collect_small(vocab.select(F.col(token), F.col(index).cast("int")))
     if coded is not None:
-        table = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in coded})
+        table = spark.sparkContext.broadcast({r[0]: r[1] for r in coded})
         return df.withColumn(ids, encode_with(table, unk_id)(F.col(tokens)))
-    flat = exploded(df, key, tokens, "__token", "__pos")
-    found = lookup(
-        flat,
-        vocab.select(F.col(token).alias("__t"), F.col(index).cast("int").alias("__id")),
-        [("__token", "__t")],
-        "left",
-        spread=F.xxhash64(*key, "__pos"),
-        small=False,
+    words = vocab.groupBy(F.col(token).alias("__token")).agg(F.min(F.col(index).cast("int")).alias("__id"))
+    # Numbers are stored, so that every reader sees the same.
+    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    top = frequent_values(rows, F.col(tokens), frequent).select(F.col("item").alias("__token"), "count")
+    known = written(top.join(words, "__token", "left").withColumn("__id", F.coalesce("__id", F.lit(unk_id))), "frequent")
+    sized = known.withColumn("__size", F.octet_length(F.to_json(F.struct("__token", "__id"))))
+    # At most so many rows as the sketch gives, so one task may add up their sizes.
+    fits = sized.withColumn("__sum", F.sum("__size").over(Window.orderBy(F.desc("count"), "__token")))
+    table = {r[0]: r[1] for r in fits.filter(F.col("__sum") <= BROADCAST_BYTES).select("__token", "__id").collect()}
+    table = spark.sparkContext.broadcast({**table, None: unk_id})
+    rows = rows.withColumn("__ids", encode_with(table, None)(F.col(tokens)))
+    lacking = F.coalesce(F.exists("__ids", lambda i: i.isNull()), F.lit(False))
+    rare = (
+        rows.filter(lacking)
+        .select("__row", F.posexplode(F.arrays_zip(F.col("__ids").alias("id"), F.col(tokens).alias("token"))).alias("__pos", "e"))
+        .filter("e.id is null")
+        .select("__row", "__pos", F.col("e.token").alias("__token"))
     )
-    coded = found.select(*key, F.struct("__pos", F.coalesce("__id", F.lit(unk_id)).alias("__id")).alias("__e"))
-    lists = coded.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list("__e")), lambda e: e["__id"]).alias(ids))
-    empty = F.array().cast("array<int>")
-    return df.join(lists, key, "left").withColumn(ids, F.when(F.col(tokens).isNotNull(), F.coalesce(ids, empty)))
+    each = rare.join(words, "__token", "left").select("__row", F.struct("__pos", F.coalesce("__id", F.lit(unk_id)).alias("id")).alias("e"))
+    found = each.groupBy("__row").agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["id"]).alias("__found"))
+    filled = rows.filter(lacking).join(found, "__row").withColumn("__ids", _filling()(F.col("__ids"), F.col("__found")))
+    both = rows.filter(~lacking).unionByName(filled.drop("__found"))
+    return both.withColumn(ids, F.col("__ids")).drop("__ids", "__row")
 
 
-def encode_with(table, unk_id: int):
+def encode_with(table, unk_id: int | None):
     """A column function from tokens to indexes over a shared dictionary."""
 
     @F.arrow_udf("array<int>")
@@ -124,3 +137,13 @@ def encode_with(table, unk_id: int):
         return map_values(tokens, table.value, unk_id, pa.int32())
 
     return encode
+
+
+def _filling():
+    """A column function that puts a row's ids in place of the nulls of its list."""
+
+    @F.arrow_udf("array<int>")
+    def fill(lists: pa.Array, values: pa.Array) -> pa.Array:
+        return fill_nulls(lists, values)
+
+    return fill

@@ -10,6 +10,8 @@ from ..session import written
 # A side of at most so many bytes, as JSON, may be broadcast; larger sides go through a salted shuffle join.
 BROADCAST_BYTES = 32 << 20
 SALTS = 16
+# A sketch of frequent values tracks twice as many as are taken; so many sketches are merged at a time.
+FREQUENT, SKETCHES = 200_000, 64
 
 
 def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -24,6 +26,21 @@ def collect_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> list | Non
     return df.collect() if is_small(df, max_bytes) else None
 
 
+def frequent_values(df: DataFrame, values: Column, most: int = FREQUENT) -> DataFrame:
+    """``item, count``: about the ``most`` most frequent elements of the lists ``values``, with estimated counts.
+
+    One bounded sketch per task, so nothing is shuffled by value. Whatever it leaves out has, of all elements, a share
+    of about ``1 / most`` at most.
+    """
+    flat = df.select(F.explode(values).alias("item")).filter("item is not null")
+    # An element of no table's own, as a sketch of nothing can't be merged.
+    some = flat.unionByName(df.sparkSession.range(1).select(F.lit("").alias("item")))
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("group")
+    parts = some.groupBy(group).agg(F.expr(f"approx_top_k_accumulate(item, {2 * most})").alias("sketch"))
+    whole = parts.agg(F.expr(f"approx_top_k_combine(sketch, {2 * most})").alias("sketch"))
+    return whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {most})")).alias("top")).select("top.*")
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
