@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,8 +10,10 @@ from .. import sinks, sources
 from ..functions.tokens import split_fields, split_ws
 from ..operators.meteor import meteor
 from ..operators.ngram_metrics import sentence_scores
+from ..operators.skew import lookup
 from ..operators.split import document_split
-from ..session import shared_dir
+from ..session import shared_dir, written
+from .metrics import BLEU, METEOR_OF_TOKENS, METEOR_SCORE, _smoothed_sql as smoothed_sql
 from .registry import query
 from .tables import ALIGNED, CORPORA, N_TRAIN, N_VALID, TRIPLES, aligned, next_turns, table, triples, wiki
 
@@ -177,16 +179,25 @@ def read_nested_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "src_12_read_text_shards",
-    "SELECT source AS shard, line AS text, count(*) AS n FROM ("
-    "SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY ALL",
+    "SELECT source AS shard, row_number() OVER (PARTITION BY source ORDER BY doc_id, p) - 1 AS line, text FROM ("
+    "SELECT source, doc_id, unnest(string_split(text, chr(10))) AS text, "
+    "generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents)",
 )
 def read_text_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "shards")
     docs = table(spark, sf_dir, "documents")
-    docs.select("source", "text").write.partitionBy("source").text(path)
+    # A source's documents follow one another by id, so the line numbers of its files can be told.
+    parts = docs.repartitionByRange("source", "doc_id").sortWithinPartitions("source", "doc_id")
+    parts.select("source", "text").write.partitionBy("source").text(path)
     lines = sources.read_text_shards(spark, f"{path}/source=*")
-    shard = F.regexp_extract("shard", r"source=([^/]+)/", 1)
-    return lines.groupBy(shard.alias("shard"), "text").agg(F.count(F.lit(1)).alias("n"))
+    source, part = (F.regexp_extract("shard", pattern, 1) for pattern in (r"source=([^/]+)/", r"/part-(\d+)-"))
+    lines = written(lines.select(source.alias("source"), part.cast("int").alias("part"), "line", "text"), "lines")
+    # A source may have several files: lines are numbered on from the files before, of which there are few.
+    sizes = lines.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = lookup(lines, starts, [("source", "source"), ("part", "part")], "inner")
+    return numbered.select(F.col("source").alias("shard"), (F.col("line") + F.col("start")).alias("line"), "text")
 
 
 # ---------------------------------------------------------------- writers
@@ -216,17 +227,22 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = rows.select("conv_id", "turn", *[split_ws(F.col(n)).alias(n) for n in names])
     bleu = sentence_scores(tokens, ["conv_id", "turn"], sari=False, partitioned=True).select("conv_id", "turn", "bleu")
     flat = [F.translate(n, "\n", " ").alias(n) for n in names]
-    score = F.round(meteor(F.col("hypothesis"), F.col("reference"), stems=False), 4).alias("meteor")
+    score = meteor(F.col("hypothesis"), F.col("reference"), stems=False).alias("meteor")
     return rows.select("conv_id", "turn", score, *flat).join(bleu, ["conv_id", "turn"])
 
 
 @query(
     "snk_05_write_sentence_scores",
-    f"WITH {TRIPLES} SELECT replace(origin, chr(10), ' ') AS origin, replace(reference, chr(10), ' ') AS reference, "
-    "'|' AS mark, replace(hypothesis, chr(10), ' ') AS hypothesis FROM triples",
+    f"WITH {BLEU}, {METEOR_OF_TOKENS} SELECT round({smoothed_sql('greatest(t{n}, 1)')}, 6) AS bleu, meteor, "
+    "replace(origin, chr(10), ' ') AS origin, replace(reference, chr(10), ' ') AS reference, "
+    "'|' AS mark, replace(hypothesis, chr(10), ' ') AS hypothesis FROM triples JOIN bleu_parts USING (conv_id, turn) "
+    f"JOIN (SELECT conv_id, turn, round({METEOR_SCORE}, 6) AS meteor FROM q) USING (conv_id, turn)",
 )
 def write_sentence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "snk05")
     sinks.write_sentence_scores(_scored(spark, sf_dir), path, "text")
     names = ["bleu", "meteor", "origin", "reference", "mark", "hypothesis"]
-    return spark.read.text(path).select(*split_fields(F.col("value"), names)).drop("bleu", "meteor")
+    lines = spark.read.text(path).select(*split_fields(F.col("value"), names))
+    for name in ("bleu", "meteor"):
+        lines = lines.withColumn(name, F.round(F.col(name).cast("double"), 6))
+    return lines

@@ -185,11 +185,8 @@ def sentence_meteor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.round(meteor(F.col("hypothesis"), F.col("reference")), 6).alias("meteor"))
 
 
-@query(
-    "met_03_sentence_meteor_exact",
-    f"WITH {TRIPLES}"
-    r""",
-h AS (SELECT conv_id, turn, w, p, row_number() OVER (PARTITION BY conv_id, turn, w ORDER BY p DESC) AS k FROM (
+# Scores by words and positions, without stems, of ``tokens(conv_id, turn, c, r)``.
+METEOR_OF_TOKENS = r"""h AS (SELECT conv_id, turn, w, p, row_number() OVER (PARTITION BY conv_id, turn, w ORDER BY p DESC) AS k FROM (
   SELECT conv_id, turn, lower(unnest(c)) AS w, generate_subscripts(c, 1) AS p FROM tokens)),
 g AS (SELECT conv_id, turn, w, p, row_number() OVER (PARTITION BY conv_id, turn, w ORDER BY p DESC) AS k FROM (
   SELECT conv_id, turn, lower(unnest(r)) AS w, generate_subscripts(r, 1) AS p FROM tokens)),
@@ -200,10 +197,15 @@ m AS (SELECT conv_id, turn, h.p AS hp, g.p AS gp,
 n AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (WHERE lh IS NULL OR hp <> lh + 1 OR gp <> lg + 1) AS chunks
       FROM m GROUP BY ALL),
 q AS (SELECT t.conv_id, t.turn, coalesce(n, 0) AS n, coalesce(chunks, 0) AS chunks, len(t.c) AS hyp, len(t.r) AS ref
-      FROM tokens t LEFT JOIN n USING (conv_id, turn))
-SELECT conv_id, turn, round(CASE WHEN n = 0 THEN 0.0 ELSE
+      FROM tokens t LEFT JOIN n USING (conv_id, turn))"""
+METEOR_SCORE = """CASE WHEN n = 0 THEN 0.0 ELSE
   (1 - 0.5 * pow(chunks / n::DOUBLE, 3)) * ((n / hyp::DOUBLE) * (n / ref::DOUBLE))
-    / (0.9 * (n / hyp::DOUBLE) + 0.1 * (n / ref::DOUBLE)) END, 6) AS meteor FROM q""",
+    / (0.9 * (n / hyp::DOUBLE) + 0.1 * (n / ref::DOUBLE)) END"""
+
+
+@query(
+    "met_03_sentence_meteor_exact",
+    f"WITH {TRIPLES}, {METEOR_OF_TOKENS} SELECT conv_id, turn, round({METEOR_SCORE}, 6) AS meteor FROM q",
 )
 def sentence_meteor_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = triples(spark, sf_dir)

@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from .. import sinks, sources
 from ..functions import tokens
 from ..operators import filters, profile
+from ..operators.epochs import best_over_rounds
 from ..operators.predict import identity
 from ..operators.split import document_split
 from ..operators.vocab import target_vocab_counts
-from ..plans.evaluate import evaluate, predict_table
+from ..plans.evaluate import evaluate, evaluate_rounds, predict_table
 from ..plans.prepare import CleanRules, prepare_aligned, prepare_corpora, prepare_presplit, tokenize_pairs
 from ..schemas import CLS, SEP
 from ..session import shared_dir, written
 from .files import presplit_paths
-from .metrics import BLEU_OF_TOKENS, SARI_OF_TOKENS, _POOL, _STRICT, _smoothed_sql
+from .metrics import BLEU_OF_TOKENS, METEOR_OF_TOKENS, METEOR_SCORE, SARI_OF_TOKENS, _POOL, _STRICT, _smoothed_sql
 from .registry import query
 from .tables import (
     ALIGNED,
@@ -413,11 +414,14 @@ tokens AS (SELECT row_number() OVER (ORDER BY w.row_id) - 1 AS conv_id, 0 AS tur
   FROM wiki w JOIN tok a ON a.k = w.row_id JOIN tok b ON b.k = w.row_id + 1)"""
 
 
-def _evaluation(spark: SparkSession, sf_dir: str):
+def _test_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "test-lines")
     sinks.write_parallel(wiki(spark, sf_dir), path)
-    pairs = sources.read_parallel_lines(spark, f"{path}.src", f"{path}.dst")
-    return evaluate(pairs, wordpiece(spark, sf_dir), identity)
+    return sources.read_parallel_lines(spark, f"{path}.src", f"{path}.dst")
+
+
+def _evaluation(spark: SparkSession, sf_dir: str):
+    return evaluate(_test_lines(spark, sf_dir), wordpiece(spark, sf_dir), identity)
 
 
 @query(
@@ -443,6 +447,44 @@ def evaluate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("row_id", F.round("sari", 6).alias("sari"), F.round("bleu", 6).alias("bleu"))
 
 
+def without_ends():
+    """The input without its first and last word."""
+    return lambda texts: [[" ".join(t.split(" ")[1:-1])] for t in texts]
+
+
+_ROUND_TOKENS = f"""{_EVAL_TOKENS.replace("tokens AS (", "encoded AS (")},
+tokens AS (SELECT conv_id, 0 AS turn, s, c, r FROM encoded
+  UNION ALL SELECT conv_id, 1, s, list_slice(c, 2, len(c) - 1), r FROM encoded)"""
+_ROUND_POOL = _POOL.replace("SELECT ", "SELECT turn, ", 1).replace("FROM bleu_parts", "FROM bleu_parts GROUP BY turn")
+
+
+@query(
+    "flow_06_evaluate_rounds",
+    f"WITH RECURSIVE {_ROUND_TOKENS}, {SARI_OF_TOKENS}, {BLEU_OF_TOKENS}, {_ROUND_POOL}, {METEOR_OF_TOKENS}, "
+    "rounds AS (SELECT turn AS round, sari, bleu, strict, meteor FROM "
+    "(SELECT turn, avg((keep + delete + add) / 3) AS sari FROM sari GROUP BY turn) "
+    f"JOIN (SELECT turn, {_smoothed_sql('t{n}')} AS bleu, {_STRICT} AS strict FROM pool) USING (turn) "
+    f"JOIN (SELECT turn, avg({METEOR_SCORE}) AS meteor FROM q GROUP BY turn) USING (turn)) "
+    "SELECT round, round(sari, 6) AS sari, round(bleu, 6) AS bleu_smoothed, round(strict, 6) AS bleu_strict, "
+    "round(meteor, 6) AS meteor, bleu = max(bleu) OVER () AS has_best_bleu, sari = max(sari) OVER () AS has_best_sari FROM rounds",
+)
+def rounds_of_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _test_lines(spark, sf_dir)
+    folder = shared_dir(spark, "rounds")
+    pieces = wordpiece(spark, sf_dir)
+    evaluate_rounds(pairs, pieces, [identity], folder, stems=False)
+    # The second run finds the first round committed.
+    rounds = evaluate_rounds(pairs, pieces, [identity, without_ends], folder, stems=False)
+    scores = written(rounds.corpus, "corpus")
+    best = best_over_rounds(scores.withColumnRenamed("bleu_smoothed", "bleu")).first()
+    return scores.select(
+        "round",
+        *[F.round(c, 6).alias(c) for c in ("sari", "bleu_smoothed", "bleu_strict", "meteor")],
+        (F.col("bleu_smoothed") == best["best_bleu"]).alias("has_best_bleu"),
+        (F.col("sari") == best["best_sari"]).alias("has_best_sari"),
+    )
+
+
 @query(
     "flow_07_predict_table",
     "SELECT row_number() OVER (ORDER BY item_id, p) - 1 AS row_id, trim(line) AS text, 1 AS candidate, trim(line) AS hypothesis "

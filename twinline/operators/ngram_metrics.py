@@ -244,11 +244,11 @@ def smoothed_bleu(pooled: bool = False) -> Column:
     return F.when(F.col("clip_1") == 0, 0.0).otherwise(score)
 
 
-def corpus_bleu(scores: DataFrame, sari: bool = False) -> DataFrame:
+def corpus_bleu(scores: DataFrame, sari: bool = False, also: list[Column] | None = None) -> DataFrame:
     """One row: pooled ``bleu_smoothed`` and ``bleu_strict`` (0 when some order never matches).
 
     The smoothed score counts at least one gram per row and order, the strict one counts as they are.
-    ``sari`` adds the corpus SARI from the same pass.
+    ``sari`` adds the corpus SARI from the same pass, ``also`` further aggregates by their names.
     """
     strict_len = "ref_len_strict" if "ref_len_strict" in scores.columns else "ref_len"
     sums = scores.agg(
@@ -259,6 +259,7 @@ def corpus_bleu(scores: DataFrame, sari: bool = False) -> DataFrame:
         F.sum("ref_len").alias("ref_len"),
         F.sum(strict_len).alias("strict_len"),
         *([F.avg("sari").alias("sari")] if sari else []),
+        *([F.struct(*also).alias("also")] if also else []),
     )
     logs = F.lit(0.0)
     for n in ORDERS:
@@ -266,5 +267,5 @@ def corpus_bleu(scores: DataFrame, sari: bool = False) -> DataFrame:
     least = F.least(*[F.col(f"clip_{n}") for n in ORDERS])
     length = F.exp(F.least(F.lit(0.0), 1 - F.col("strict_len") / F.col("hyp_len")))
     strict = F.when(least > 0, length * F.exp(logs)).otherwise(0.0)
-    extra = ["sari"] if sari else []
+    extra = [*(["sari"] if sari else []), *([F.col("also.*")] if also else [])]
     return sums.select(smoothed_bleu(pooled=True).alias("bleu_smoothed"), strict.alias("bleu_strict"), *extra)
