@@ -22,6 +22,9 @@ def test_batches_are_signed_and_idempotent(spark):
     rollup.commit("three", deletes(frame(spark, [(None, None, "t/1", 3)])))
     rollup.commit("two", revisions(frame(spark, [("a", "en", "t/1", 5)]), frame(spark, [("a", "en", "t/2", 9)])))
     assert totals(rollup) == {("a", "en", "t/1"): (1, 7), ("a", "en", "t/2"): (1, 9), ("b", "en", "t/1"): (1, 0)}
+    # A batch that is committed again without a row counts nothing.
+    rollup.commit("two", inserts(first.limit(0)))
+    assert totals(rollup) == {("a", "en", "t/1"): (2, 12), ("b", "en", "t/1"): (1, 0)}
 
 
 def test_totals_match_a_direct_count(spark, sf_dir, odd_docs, no_docs):

@@ -84,9 +84,12 @@ class Rollup:
         """Add a batch; one committed before under this name is replaced.
 
         Sums are taken per task first, so a hot source costs each task one row. Files appear when the write has
-        succeeded as a whole.
+        succeeded as a whole. A row that counts nothing makes a batch without deltas replace the earlier one too.
         """
-        sums = deltas.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
+        nothing = self.spark.range(1).select(
+            *[F.lit(None).cast("string").alias(k) for k in KEYS], *[F.lit(0).cast("long").alias(m) for m in MEASURES]
+        )
+        sums = deltas.select(*KEYS, *MEASURES).unionByName(nothing).groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in MEASURES])
         (
             sums.withColumn("batch", F.lit(batch))
             .write.mode("overwrite")
