@@ -206,7 +206,10 @@ def _byte_counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 def add_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text: str, keep: list[str]) -> tuple[DataFrame, str]:
     """The columns ``keep`` of ``docs`` with an array of features; and that column's name."""
-    column, lowered = free_name(docs, "features"), free_name(docs, "lowered")
+    column, lowered, plain = (free_name(docs, c) for c in ("features", "lowered", "plain"))
+    # A text that is kept anyway isn't sent twice.
+    sent = [] if text in keep else [F.col(text).alias(plain)]
+    plain = plain if sent else text
     shared = docs.sparkSession.sparkContext.broadcast((lexicon, _hash_words(SECOND_PERSON)))
     schema = T.StructType(
         [*[docs.schema[c] for c in keep], T.StructField(column, T.ArrayType(T.DoubleType(), False), False)]
@@ -215,14 +218,13 @@ def add_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, second = shared.value
         for batch in batches:
-            found = features(batch.column("__text"), batch.column(lowered), lexicon, second)
+            found = features(batch.column(plain), batch.column(lowered), lexicon, second)
             flat = pa.array(found.ravel())
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES))
             rows = pa.ListArray.from_arrays(ends, flat)
             yield pa.RecordBatch.from_arrays([*map(batch.column, keep), rows], [*keep, column])
 
-    sent = docs.select(*keep, F.col(text).alias("__text"), lower(F.col(text)).alias(lowered))
-    return sent.mapInArrow(run, schema), column
+    return docs.select(*keep, *sent, lower(F.col(text)).alias(lowered)).mapInArrow(run, schema), column
 
 
 @dataclass
@@ -240,10 +242,12 @@ class ToxicityModel:
         if self.trees is None:
             return docs.select(*keep, F.lit(self.base).alias(name)), name
         found, column = add_features(docs, self.lexicon, text, keep)
-        raw = self.trees.transform(found.withColumn("__x", array_to_vector(column)))
-        raw = raw.withColumn("__p", vector_to_array("__out")[1])
-        done = self.curve.transform(raw)
-        return done.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__score")).alias(name)), name
+        x, margin, out, label, p, score = (free_name(docs, c) for c in ("x", "margin", "out", "class", "p", "score"))
+        trees = self.trees.copy({self.trees.featuresCol: x, self.trees.rawPredictionCol: margin})
+        trees = trees.copy({trees.probabilityCol: out, trees.predictionCol: label})
+        raw = trees.transform(found.withColumn(x, array_to_vector(column))).withColumn(p, vector_to_array(out)[1])
+        curve = self.curve.copy({self.curve.featuresCol: p, self.curve.predictionCol: score})
+        return curve.transform(raw).select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias(name)), name
 
 
 def held_out(key: Column) -> Column:

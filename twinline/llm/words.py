@@ -13,14 +13,14 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are handled in slices of about so many bytes, which bounds the arrays below; one longer text is a slice alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _PLACES = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,14 +30,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers or more; kept for slices, made anew for a longer text."""
+    kept = _POWERS.get(base)
+    if kept is not None and n <= len(kept):
+        return kept
+    size = max(n, SLICE_BYTES + 1)
+    steps = np.full(size, base, dtype=np.uint64)
+    steps[0] = 1
+    np.cumprod(steps, dtype=np.uint64, out=steps)
+    if size == SLICE_BYTES + 1:
+        _POWERS[base] = steps
+    return steps
 
 
 def alphabet(is_word) -> np.ndarray:
@@ -113,17 +117,18 @@ def _words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, first: int)
     after[:-1] = inside[1:]
     after[edges[edges > 0] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    up, _ = _powers(n)
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_CODES[text] * up[:n], out=sums[1:], dtype=np.uint64)
+    np.take(_BYTE_CODES, text, out=sums[1:])
+    sums[1:] *= _powers(_BASE, n)[:n]
+    np.cumsum(sums[1:], out=sums[1:])
     hashes = _finish(sums, starts, ends)
     return Words(hashes, np.searchsorted(starts, at).astype(np.int64), first, starts, ends, sums)
 
 
 def _finish(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the byte runs ``starts:ends`` from the polynomial's prefix sums."""
-    down = _powers(len(sums))[1]
+    down = _powers(_INVERSE, len(sums))
     lengths = (ends - starts).astype(np.uint64)
     return mix((sums[ends] - sums[starts]) * down[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
