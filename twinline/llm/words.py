@@ -119,7 +119,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, first: int)
     ends = np.flatnonzero(inside & ~after) + 1
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
-    np.take(_BYTE_CODES, text, out=sums[1:])
+    np.take(_BYTE_CODES, text, out=sums[1:], mode="clip")
     sums[1:] *= _powers(_BASE, n)[:n]
     np.cumsum(sums[1:], out=sums[1:])
     hashes = _finish(sums, starts, ends)
