@@ -43,9 +43,10 @@ def edited(text, places, seed):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("light,frequent", [(8, 4), (2, 2)])
-def test_matches_brute_force(spark, make_text, monkeypatch, light, frequent):
+@pytest.mark.parametrize("light,frequent,block", [(8, 4, 20_000), (2, 2, 20_000), (2, 2, 3)])
+def test_matches_brute_force(spark, make_text, monkeypatch, light, frequent, block):
     monkeypatch.setattr(J, "LIGHT_BUCKET", light)
+    monkeypatch.setattr(J, "HUB_BLOCK", block)
     monkeypatch.setattr(J, "FREQUENT_IN", frequent)
     rows, passage = [], make_text(0, 60)
     for group in range(12):
@@ -76,6 +77,17 @@ def test_signatures_meet_for_every_similar_pair():
             if len(y) and J.linked(len(np.intersect1d(x, y)), len(x), len(y)):
                 assert np.intersect1d(J.signatures(x, frequent)[0], J.signatures(y, frequent)[0]).size
                 assert J.least_difference(J.bitmap(x), J.bitmap(y)) <= (len(x) + len(y)) // 7
+                beside = [J.folded(J.bitmap(z), J.BESIDE_BITS) for z in (x, y)]
+                assert np.bitwise_count(beside[0] ^ beside[1]).sum() <= (len(x) + len(y)) // 7
+
+
+def test_bitmaps_tell_unlike_sets_apart():
+    rng = np.random.default_rng(5)
+    for size in (60, 200, 700, 3000):
+        for share in (0.0, 0.3, 0.6):
+            both = rng.integers(0, 2**63, int(size * share), dtype=np.uint64)
+            x, y = (np.union1d(both, rng.integers(0, 2**63, size - len(both), dtype=np.uint64)) for _ in "xy")
+            assert J.least_difference(J.bitmap(x), J.bitmap(y)) > (len(x) + len(y)) // 7
 
 
 def test_odd_rows(odd_docs, no_docs):

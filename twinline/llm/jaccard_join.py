@@ -16,8 +16,10 @@ moves only cost: a set that runs out of segments indexes single shingles as well
 A set indexes an eighth more units than it needs. Signatures of many sets are heavy: two sets that both keep
 enough units without heavy ones meet in a light bucket anyway, so heavy buckets only compare pairs with a set that
 doesn't, and go through the bucket's smallest class first: what is one component by then needs no further comparison.
-A bitmap of each set bounds the difference of a pair from below; pairs that it leaves are verified on their whole
-sets, and linked sets become components. Equal sets are one class from the start.
+A bitmap of each set holds the parities of its shingles' places: two that differ in a place differ in a shingle, so
+bitmaps bound the difference of a pair from below, however often they are folded. 128 bits of it go beside each
+signature and drop most pairs of small sets inside the bucket; pairs that the whole bitmap leaves are verified on their
+whole sets, and linked sets become components. Equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -43,8 +45,13 @@ FIRST_BAND = 64
 FIRST_SEGMENTS_LOG2 = 20
 # A bucket of more classes is heavy. All pairs of a light one are compared.
 LIGHT_BUCKET = 8
-# Bits of a set's bitmap: about four for each shingle, between these powers of two.
-LEAST_BITS_LOG2, MOST_BITS_LOG2, FOLDED_BITS = 10, 15, 1024
+# Bits of a set's bitmap: one or two for each shingle, between these powers of two.
+LEAST_BITS_LOG2, MOST_BITS_LOG2, FOLDED_BITS = 9, 16, 512
+# What a class takes in a block: its name, its size and a bitmap folded to these bits.
+BESIDE_BITS = 128
+ENTRY_BYTES = 8 + 4 + BESIDE_BITS // 8
+# Classes of a heavy bucket's smallest class that are compared in one task; more are dealt into blocks.
+HUB_BLOCK = 20_000
 # Signatures are dealt into cells by hash, each for about so many bytes of text.
 CELL_BYTES = 32 << 20
 # A block of signatures leaves a task when it has so many.
@@ -113,29 +120,24 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """A bit for the low bits of each shingle."""
-    bits = 1 << min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (4 * len(tokens) - 1).bit_length()))
-    flags = np.zeros(bits, dtype=bool)
-    flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
+    """For each value of a shingle's low bits, whether an odd number of shingles has it."""
+    bits = 1 << min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (len(tokens) - 1).bit_length()))
+    counts = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool)).tobytes()
 
 
-def folded(bits: bytes) -> np.ndarray:
-    """A bitmap as ``FOLDED_BITS`` in 64-bit words."""
+def folded(bits: bytes, size: int = FOLDED_BITS) -> np.ndarray:
+    """A bitmap as ``size`` bits in 64-bit words."""
     x = np.frombuffer(bits, dtype=np.uint8)
-    while 8 * len(x) > FOLDED_BITS:
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while 8 * len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x.view(np.uint64)
 
 
 def least_difference(x: bytes, y: bytes) -> int:
     """A lower bound of the number of elements that only one of two sets has, from their bitmaps."""
-    x, y = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    size = 8 * min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 def _one_deletions(hot: np.ndarray, log2: int, band: int, left: int, out: list[np.ndarray]) -> int:
@@ -187,7 +189,7 @@ def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFr
         whole = [columns[c] if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(whole, names)
 
-    def blocks(parts: list[tuple[np.ndarray, np.ndarray]], sizes: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    def blocks(parts: list[tuple[np.ndarray, np.ndarray]], known: dict[int, tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         found, owners = (np.concatenate(x) for x in zip(*parts, strict=True))
         cell = (found >> _HIGH) % np.uint64(cells)
         order = np.argsort(cell, kind="stable")
@@ -197,11 +199,13 @@ def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFr
         for low, high in zip(starts, np.append(starts[1:], len(cell)), strict=True):
             # Classes are named once in a block, and by four-byte places after that.
             classes, places = np.unique(owners[low:high], return_inverse=True)
-            counts = np.array([sizes[c] for c in classes.tolist()], dtype=np.int64)
+            entries = [known[c] for c in classes.tolist()]
+            sizes = np.array([n for n, _ in entries], dtype=np.int32)
+            maps = np.stack([m for _, m in entries])
             # The low 32 bits tell apart the signatures of a cell; a clash costs one more comparison.
             codes = [places.astype(np.uint32), found[low:high].astype(np.uint32)]
             head = np.array([len(classes)], dtype=np.int64)
-            out.append(b"".join(x.tobytes() for x in (head, classes, counts, *codes)))
+            out.append(b"".join(x.tobytes() for x in (head, classes, maps, sizes, *codes)))
         yield batch_of(len(out), cell=pa.array(cell[starts].astype(np.int32)), block=pa.array(out, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +219,10 @@ def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFr
                         continue
                     name = set_class(tokens)
                     found, spare = signatures(tokens, frequent.value)
-                    rows.append((len(tokens), name, spare, bitmap(tokens)))
+                    bits = bitmap(tokens)
+                    rows.append((len(tokens), name, spare, bits))
                     if name not in seen:
-                        seen[name] = len(tokens)
+                        seen[name] = len(tokens), folded(bits, BESIDE_BITS)
                         held.append((found, np.full(len(found), name, dtype=np.int64)))
                         size += len(found)
                 if size >= BLOCK:
@@ -231,31 +236,37 @@ def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _buckets(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The classes and set sizes of all signatures that more than one class has, a bucket after the other; and the
-    buckets' starts and lengths."""
-    found, owners, sizes = [], [], []
+def _buckets(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The classes, set sizes and folded bitmaps of all signatures that more than one class has, a bucket after the
+    other; and the buckets' starts and lengths."""
+    found, owners, sizes, maps, named = [], [], [], [], 0
+    places = []
     for blob in blobs:
         n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
-        body = (len(blob) - 8 - 16 * n) // 8
-        places = np.frombuffer(blob, dtype=np.uint32, offset=8 + 16 * n, count=body)
-        owners.append(np.frombuffer(blob, dtype=np.int64, offset=8, count=n)[places])
-        sizes.append(np.frombuffer(blob, dtype=np.int64, offset=8 + 8 * n, count=n)[places].astype(np.int32))
-        found.append(np.frombuffer(blob, dtype=np.uint32, offset=8 + 16 * n + 4 * body, count=body))
-    found, owners, sizes = (np.concatenate(x) for x in (found, owners, sizes))
+        body = (len(blob) - 8 - ENTRY_BYTES * n) // 8
+        owners.append(np.frombuffer(blob, dtype=np.int64, offset=8, count=n))
+        maps.append(np.frombuffer(blob, dtype=np.uint64, offset=8 + 8 * n, count=n * BESIDE_BITS // 64))
+        sizes.append(np.frombuffer(blob, dtype=np.int32, offset=8 + (ENTRY_BYTES - 4) * n, count=n))
+        codes = np.frombuffer(blob, dtype=np.uint32, offset=8 + ENTRY_BYTES * n, count=2 * body)
+        places.append(codes[:body].astype(np.int32) + np.int32(named))
+        found.append(codes[body:])
+        named += n
+    found, places, owners, sizes, maps = (np.concatenate(x) for x in (found, places, owners, sizes, maps))
+    maps = maps.reshape(named, BESIDE_BITS // 64)
     order = np.argsort(found, kind="stable")
-    found, owners, sizes = found[order], owners[order], sizes[order]
+    found, places = found[order], places[order]
     # Signatures of one class only go first; what is left is small.
     same = found[1:] == found[:-1]
     shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-    found, owners, sizes = found[shared], owners[shared], sizes[shared].astype(np.int64)
-    order = np.lexsort((owners, found))
-    found, owners, sizes = found[order], owners[order], sizes[order]
+    found, places = found[shared], places[shared]
+    order = np.lexsort((owners[places], found))
+    found, places = found[order], places[order]
     new = np.ones(len(found), dtype=bool)
-    new[1:] = (found[1:] != found[:-1]) | (owners[1:] != owners[:-1])
-    found, owners, sizes = found[new], owners[new], sizes[new]
+    new[1:] = (found[1:] != found[:-1]) | (owners[places[1:]] != owners[places[:-1]])
+    found, places = found[new], places[new]
     starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
-    return owners, sizes, starts, np.diff(np.append(starts, len(found)))
+    lengths = np.diff(np.append(starts, len(found)))
+    return owners[places], sizes[places].astype(np.int64), maps[places], starts, lengths
 
 
 def _candidates(index: DataFrame) -> DataFrame:
@@ -263,11 +274,13 @@ def _candidates(index: DataFrame) -> DataFrame:
     all; and how many heavy signatures, ``n``, class ``u`` has in a cell."""
 
     def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        owners, sizes, starts, lengths = _buckets(list(frame["block"]))
+        owners, sizes, maps, starts, lengths = _buckets(list(frame["block"]))
         seen, heavy, counted = [np.zeros((2, 0), dtype=np.int64)], {}, []
 
         def add(a: np.ndarray, b: np.ndarray) -> None:
             near = 4 * np.minimum(sizes[a], sizes[b]) >= 3 * np.maximum(sizes[a], sizes[b])
+            apart = np.bitwise_count(maps[a] ^ maps[b]).sum(axis=1, dtype=np.int64)
+            near &= apart <= (sizes[a] + sizes[b]) // 7
             seen.append(np.stack([owners[a[near]], owners[b[near]]]))
 
         for length in range(2, LIGHT_BUCKET + 1):
@@ -314,20 +327,35 @@ def _members(heavy: DataFrame) -> DataFrame:
 def _rest(members: DataFrame, roots: DataFrame, bare: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
     """Pairs with a ``bare`` class among ``members(u, v)`` of the same heavy buckets, but for those of one
     component by ``roots``, and for those that sizes or small bitmaps tell apart. ``best`` keeps one partner for
-    each bare class and component, the one that its bitmap is nearest to."""
+    each bare class and component (and block of many classes), the one that its bitmap is nearest to.
+
+    The classes of a ``u`` with more than ``HUB_BLOCK`` are dealt into blocks by hash, and a task compares the bare ones
+    of one block with all of another.
+    """
     known = classes.select(F.col("class").alias("v"), "n_shingles", "bits")
     flags = members.join(known, "v").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
     flags = flags.withColumn("root", F.coalesce("root", "v"))
     flags = flags.join(bare.select(F.col("class").alias("v"), F.lit(True).alias("bare")), "v", "left")
 
+    many = members.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).alias("blocks")).filter("blocks > 1")
+    flags = flags.join(many, "u", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    flags = flags.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    answers = F.transform(every, lambda i: F.struct(i.alias("asking"), F.col("own").alias("answering")))
+    asks = F.transform(every, lambda i: F.struct(F.col("own").alias("asking"), i.alias("answering")))
+    flags = flags.withColumn("task", F.explode(F.when(F.col("bare"), F.array_union(answers, asks)).otherwise(answers)))
+
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        task = group["task"].iloc[0]
+        asked = (group["own"] == task["answering"]).to_numpy()
+        asking = group["bare"].notna().to_numpy() & (group["own"] == task["asking"]).to_numpy()
         names = group["v"].to_numpy(dtype=np.int64)
         sizes = group["n_shingles"].to_numpy(dtype=np.int64)
         parts = group["root"].to_numpy(dtype=np.int64)
         maps = np.stack([folded(b) for b in group["bits"]])
         seen = [np.zeros((2, 0), dtype=np.int64)]
-        for one in np.flatnonzero(group["bare"].notna().to_numpy()):
-            fits = (4 * np.minimum(sizes, sizes[one]) >= 3 * np.maximum(sizes, sizes[one])) & (parts != parts[one])
+        for one in np.flatnonzero(asking):
+            fits = asked & (4 * np.minimum(sizes, sizes[one]) >= 3 * np.maximum(sizes, sizes[one])) & (parts != parts[one])
             other = np.flatnonzero(fits)
             apart = np.bitwise_count(maps[other] ^ maps[one]).sum(axis=1, dtype=np.int64)
             close = apart <= (sizes[other] + sizes[one]) // 7
@@ -339,7 +367,7 @@ def _rest(members: DataFrame, roots: DataFrame, bare: DataFrame, classes: DataFr
         both = np.unique(np.concatenate(seen, axis=1), axis=1)
         return pd.DataFrame({"u": both[0], "v": both[1]})
 
-    return flags.groupBy("u").applyInPandas(pairs, "u long, v long").distinct()
+    return flags.groupBy("u", "task").applyInPandas(pairs, "u long, v long").distinct()
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
