@@ -55,7 +55,7 @@ HUB_BLOCK = 20_000
 # Signatures are dealt into cells by hash, each for about so many bytes of text.
 CELL_BYTES = 32 << 20
 # A block of signatures leaves a task when it has so many.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _HIGH = np.uint64(40)
 
@@ -391,7 +391,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = ([s for w in word_slices(batch.column(c), NOT_SPACE) for s in shingle_sets(w, SHINGLE)] for c in "xy")
+            # One pair of sets at a time, however long the texts of a batch are.
+            x, y = ((s for w in word_slices(batch.column(c), NOT_SPACE) for s in shingle_sets(w, SHINGLE)) for c in "xy")
             similar = [
                 bool(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))) for a, b in zip(x, y, strict=True)
             ]
