@@ -179,6 +179,11 @@ def _sample(docs: DataFrame, key: str, text: str, n_docs: int) -> np.ndarray:
     return found[counts >= FREQUENT_IN]
 
 
+def _place_type(n: int) -> type:
+    """Places of a block of ``n`` classes take two bytes where they can."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
 def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFrame:
     """Two kinds of rows: a document with its class, or a block of a cell's signatures with their classes."""
     names = ["doc_id", "n_shingles", "class", "spare", "bits", "cell", "block"]
@@ -197,13 +202,13 @@ def _index(docs: DataFrame, key: str, text: str, cells: int, frequent) -> DataFr
         starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
         out = []
         for low, high in zip(starts, np.append(starts[1:], len(cell)), strict=True):
-            # Classes are named once in a block, and by four-byte places after that.
+            # Classes are named once in a block, and by short places after that.
             classes, places = np.unique(owners[low:high], return_inverse=True)
             entries = [known[c] for c in classes.tolist()]
             sizes = np.array([n for n, _ in entries], dtype=np.int32)
             maps = np.stack([m for _, m in entries])
             # The low 32 bits tell apart the signatures of a cell; a clash costs one more comparison.
-            codes = [places.astype(np.uint32), found[low:high].astype(np.uint32)]
+            codes = [found[low:high].astype(np.uint32), places.astype(_place_type(len(classes)))]
             head = np.array([len(classes)], dtype=np.int64)
             out.append(b"".join(x.tobytes() for x in (head, classes, maps, sizes, *codes)))
         yield batch_of(len(out), cell=pa.array(cell[starts].astype(np.int32)), block=pa.array(out, pa.binary()))
@@ -243,13 +248,14 @@ def _buckets(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     places = []
     for blob in blobs:
         n = int(np.frombuffer(blob, dtype=np.int64, count=1)[0])
-        body = (len(blob) - 8 - ENTRY_BYTES * n) // 8
+        kind = np.dtype(_place_type(n))
+        codes = 8 + ENTRY_BYTES * n
+        body = (len(blob) - codes) // (4 + kind.itemsize)
         owners.append(np.frombuffer(blob, dtype=np.int64, offset=8, count=n))
         maps.append(np.frombuffer(blob, dtype=np.uint64, offset=8 + 8 * n, count=n * BESIDE_BITS // 64))
         sizes.append(np.frombuffer(blob, dtype=np.int32, offset=8 + (ENTRY_BYTES - 4) * n, count=n))
-        codes = np.frombuffer(blob, dtype=np.uint32, offset=8 + ENTRY_BYTES * n, count=2 * body)
-        places.append(codes[:body].astype(np.int32) + np.int32(named))
-        found.append(codes[body:])
+        found.append(np.frombuffer(blob, dtype=np.uint32, offset=codes, count=body))
+        places.append(np.frombuffer(blob, dtype=kind, offset=codes + 4 * body, count=body).astype(np.int32) + np.int32(named))
         named += n
     found, places, owners, sizes, maps = (np.concatenate(x) for x in (found, places, owners, sizes, maps))
     maps = maps.reshape(named, BESIDE_BITS // 64)
@@ -324,10 +330,10 @@ def _members(heavy: DataFrame) -> DataFrame:
     return heavy.select("members").mapInArrow(run, "u long, v long")
 
 
-def _rest(members: DataFrame, roots: DataFrame, bare: DataFrame, classes: DataFrame, best: bool) -> DataFrame:
+def _rest(members: DataFrame, roots: DataFrame, bare: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
     """Pairs with a ``bare`` class among ``members(u, v)`` of the same heavy buckets, but for those of one
-    component by ``roots``, and for those that sizes or small bitmaps tell apart. ``best`` keeps one partner for
-    each bare class and component (and block of many classes), the one that its bitmap is nearest to.
+    component by ``roots``, and for those that sizes or small bitmaps tell apart. Of a bare class's partners in a
+    task ``keep`` takes the ``nearest`` by bitmap (of several the smallest name), the nearest of ``each`` component, or ``all``.
 
     The classes of a ``u`` with more than ``HUB_BLOCK`` are dealt into blocks by hash, and a task compares the bare ones
     of one block with all of another.
@@ -359,10 +365,13 @@ def _rest(members: DataFrame, roots: DataFrame, bare: DataFrame, classes: DataFr
             other = np.flatnonzero(fits)
             apart = np.bitwise_count(maps[other] ^ maps[one]).sum(axis=1, dtype=np.int64)
             close = apart <= (sizes[other] + sizes[one]) // 7
-            other, apart = other[close], apart[close]
-            if best and len(other):
-                other = other[np.lexsort((apart, parts[other]))]
-                other = other[np.concatenate(([True], parts[other][1:] != parts[other][:-1]))]
+            other = other[close]
+            if keep != "all" and len(other):
+                other = other[np.lexsort((names[other], apart[close]))]
+                if keep == "nearest":
+                    other = other[:1]
+                else:
+                    other = other[np.unique(parts[other], return_index=True)[1]]
             seen.append(np.stack([np.minimum(names[one], names[other]), np.maximum(names[one], names[other])]))
         both = np.unique(np.concatenate(seen, axis=1), axis=1)
         return pd.DataFrame({"u": both[0], "v": both[1]})
@@ -466,9 +475,9 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     few = classes.join(members.select("v").distinct(), F.col("class") == F.col("v"), "left_semi")
     few = written(few, "few")
     roots = written(components(checked.filter("similar").select("u", "v")), "roots")
-    # First the likeliest partners, then all that are in different components after that.
-    for best in (True, False):
-        rest = _rest(members, roots, bare, few, best).join(checked.select("u", "v"), ["u", "v"], "left_anti")
+    # Nearest partners join most components, so that few pairs are left between those that are different after that.
+    for keep in ("nearest", "each", "all"):
+        rest = _rest(members, roots, bare, few, keep).join(checked.select("u", "v"), ["u", "v"], "left_anti")
         more = written(_near(rest, few), "more")
         later = written(_verify(more, written(_texts(docs, key, text, classes, more), "texts")), "links")
         checked = checked.unionByName(later)
