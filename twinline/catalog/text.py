@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, tokens
-from ..operators import vocab
+from ..operators import boundaries, vocab
 from ..operators.joins import tokens_to_ids
 from .registry import query
 from .tables import TRIPLES, WORDS, clean_sql, doc_words, table, token_triples
@@ -113,6 +113,92 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", _joined(F.col("s")).alias("sentences"), F.size("s").cast("long").alias("n"))
 
 
+# Words with their final period, and what follows it.
+_ENDS = r"""raw AS (
+  SELECT doc_id, list_filter(string_split(translate(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda t: t <> '') AS l
+  FROM documents
+), bare AS (
+  SELECT doc_id, i, ltrim(rtrim(t, '"'')],;:'), '"''([') AS b
+  FROM (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS i FROM raw)
+), ends AS (
+  SELECT doc_id, i, lower(CASE WHEN b LIKE '%.' THEN left(b, length(b) - 1) ELSE b END) AS word,
+    b LIKE '%.' AS stop, b LIKE '%!' OR b LIKE '%?' AS hard FROM bare
+), nexts AS (
+  SELECT *, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS follower FROM ends
+), sums AS (
+  SELECT count(*) AS total, count(*) FILTER (stop) AS stops FROM ends
+), words AS (
+  SELECT word, count(*) AS every, count(*) FILTER (stop) AS n, length(replace(word, '.', '')) AS letters
+  FROM ends WHERE regexp_matches(word, '^\p{L}[\p{L}.]*$') GROUP BY word
+), short AS (
+  SELECT word, n, 2 * (n * ln(0.99) + (every - n) * ln(1 - 0.99) - n * ln(stops / total) - (every - n) * ln(1 - stops / total))
+    * exp(-letters) * (length(word) - letters + 1) * exp(-(every - n) * ln(letters)) AS score
+  FROM words, sums WHERE n > 0
+), abbreviations AS (
+  SELECT * FROM short WHERE score >= 0.3
+), breaks AS (
+  SELECT follower FROM nexts WHERE hard OR (stop AND word NOT IN (SELECT word FROM abbreviations))
+), heads AS (
+  SELECT follower AS word, count(*) AS k FROM breaks WHERE regexp_matches(follower, '^\p{L}+$') GROUP BY 1
+), four AS (
+  SELECT word, k, m, e, t FROM heads JOIN (SELECT word, count(*) AS m FROM ends GROUP BY word) USING (word),
+    (SELECT count(*) AS e FROM breaks), (SELECT total AS t FROM sums)
+), likely AS (
+  SELECT word, k AS n, t * k > m * e AS often, 2 * (
+    CASE WHEN k = 0 THEN 0 ELSE k * ln(k / e) END + CASE WHEN e = k THEN 0 ELSE (e - k) * ln(1 - k / e) END
+    + CASE WHEN m = k THEN 0 ELSE (m - k) * ln((m - k) / (t - e)) END
+    + CASE WHEN t - e - m + k = 0 THEN 0 ELSE (t - e - m + k) * ln(1 - (m - k) / (t - e)) END
+    - m * ln(m / t) - CASE WHEN t = m THEN 0 ELSE (t - m) * ln(1 - m / t) END) AS score
+  FROM four
+), starters AS (
+  SELECT word, n, score FROM likely WHERE often AND score >= 30
+)"""
+
+
+@query(
+    "fn_21_learned_boundaries",
+    f"WITH {_ENDS} SELECT 'abbreviation' AS kind, word, n, round(score, 6) AS score FROM abbreviations "
+    "UNION ALL SELECT 'starter', word, n, round(score, 6) FROM starters",
+)
+def learned_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = boundaries.learn_boundaries(table(spark, sf_dir, "documents"))
+    kinds = [("abbreviation", learned.abbreviations), ("starter", learned.starters)]
+    short, heads = (t.select(F.lit(kind).alias("kind"), "word", "n", F.round("score", 6).alias("score")) for kind, t in kinds)
+    return short.unionByName(heads)
+
+
+_BARE = "ltrim(rtrim({}, '\"'')],;:'), '\"''([')"
+
+
+@query(
+    "fn_21_learned_sentences",
+    f"""WITH {_ENDS}, cuts AS (
+  SELECT doc_id, string_split(regexp_replace(trim(text, {_BLANKS}), '([.!?]+["'')\\]]*)(\\s+)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p
+  FROM documents
+), pieces AS (
+  SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS k FROM cuts
+), plain AS (
+  SELECT doc_id, k, piece, translate(piece, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS q FROM pieces
+), sides AS (
+  SELECT doc_id, k, piece, lag({_BARE.format("string_split(q, ' ')[-1]")}) OVER (PARTITION BY doc_id ORDER BY k) AS last,
+    {_BARE.format("string_split(ltrim(q, ' '), ' ')[1]")} AS head FROM plain
+), judged AS (
+  SELECT doc_id, k, piece, coalesce(last LIKE '%.' AND lower(left(last, length(last) - 1)) IN (SELECT word FROM abbreviations), false)
+    AND NOT (left(head, 1) <> lower(left(head, 1))
+      AND lower(CASE WHEN head LIKE '%.' THEN left(head, length(head) - 1) ELSE head END) IN (SELECT word FROM starters)) AS joined
+  FROM sides
+), texts AS (
+  SELECT doc_id, string_agg(CASE WHEN joined THEN '' ELSE chr(1) END || piece, '' ORDER BY k) AS g FROM judged GROUP BY doc_id
+), lists AS (
+  SELECT doc_id, list_filter(list_transform(string_split(g, chr(1)), lambda s: trim(s, {_BLANKS})), lambda s: s <> '') AS s FROM texts
+) SELECT doc_id, array_to_string(s, '|') AS sentences, len(s) AS n FROM lists""",
+)
+def learned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    parts = docs.select("doc_id", boundaries.learn_boundaries(docs).sentences(F.col("text")).alias("s"))
+    return parts.select("doc_id", _joined(F.col("s")).alias("sentences"), F.size("s").cast("long").alias("n"))
+
+
 @query("fn_22_word_tokenize")
 def word_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
