@@ -330,17 +330,24 @@ def _members(heavy: DataFrame) -> DataFrame:
     return heavy.select("members").mapInArrow(run, "u long, v long")
 
 
-def _rest(members: DataFrame, roots: DataFrame, bare: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
-    """Pairs with a ``bare`` class among ``members(u, v)`` of the same heavy buckets, but for those of one
-    component by ``roots``, and for those that sizes or small bitmaps tell apart. Of a bare class's partners in a
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``u, v, root`` of the members of those ``u`` that have members of several components by ``roots``."""
+    known = members.select("u", "v").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
+    known = written(known.withColumn("root", F.coalesce("root", "v")), "known")
+    several = known.groupBy("u").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
+    return written(known.join(several.select("u"), "u", "left_semi"), "open")
+
+
+def _rest(members: DataFrame, bare: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
+    """Pairs with a ``bare`` class among ``members(u, v, root)`` of the same heavy buckets, but for those of one
+    component, and for those that sizes or small bitmaps tell apart. Of a bare class's partners in a
     task ``keep`` takes the ``nearest`` by bitmap (of several the smallest name), the nearest of ``each`` component, or ``all``.
 
     The classes of a ``u`` with more than ``HUB_BLOCK`` are dealt into blocks by hash, and a task compares the bare ones
     of one block with all of another.
     """
     known = classes.select(F.col("class").alias("v"), "n_shingles", "bits")
-    flags = members.join(known, "v").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
-    flags = flags.withColumn("root", F.coalesce("root", "v"))
+    flags = members.join(known, "v")
     flags = flags.join(bare.select(F.col("class").alias("v"), F.lit(True).alias("bare")), "v", "left")
 
     many = members.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / HUB_BLOCK).alias("blocks")).filter("blocks > 1")
@@ -477,7 +484,8 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     roots = written(components(checked.filter("similar").select("u", "v")), "roots")
     # Nearest partners join most components, so that few pairs are left between those that are different after that.
     for keep in ("nearest", "each", "all"):
-        rest = _rest(members, roots, bare, few, keep).join(checked.select("u", "v"), ["u", "v"], "left_anti")
+        members = _open(members, roots)
+        rest = _rest(members, bare, few, keep).join(checked.select("u", "v"), ["u", "v"], "left_anti")
         more = written(_near(rest, few), "more")
         later = written(_verify(more, written(_texts(docs, key, text, classes, more), "texts")), "links")
         checked = checked.unionByName(later)
