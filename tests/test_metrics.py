@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -233,3 +234,36 @@ def test_scored_predict_keeps_the_best(spark):
     plan = scored_predict(df, "t", beam, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert scored_predict(df.limit(0), "t", beam).count() == 0
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_grams_never_become_rows(spark, several):
+    rows = spark.createDataFrame([(1, ["a"], ["a"], ["a"])], "id int, origin array<string>, hypothesis array<string>, reference array<string>")
+    if several:
+        scores = sentence_scores(rows.withColumn("references", F.array("reference")), ["id"], references="references")
+    else:
+        scores = sentence_scores(rows, ["id"])
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_slices_repeated_keys_and_missing_tokens(spark, monkeypatch):
+    rng = random.Random(3)
+    words = ["a", "B", "b", "c c", "", None]
+    made = [(i, *[rng.choices(words, k=rng.randrange(9)) for _ in range(3)]) for i in range(60)]
+    schema = "id int, origin array<string>, hypothesis array<string>, reference array<string>"
+    rows = spark.createDataFrame(made + [(None, None, None, None), (60, None, ["a"], ["a"])], schema)
+    whole = sorted(sentence_scores(rows, ["id"]).collect(), key=str)
+    monkeypatch.setattr("twinline.operators.ngram_metrics.SLICE_TOKENS", 7)
+    assert sorted(sentence_scores(rows, ["id"], unique=True).collect(), key=str) == whole
+    # Rows of one key are counted together: twice the same row has the shares of one.
+    twice = {r["id"]: r for r in sentence_scores(rows.unionByName(rows), ["id"]).collect()}
+    for r in whole:
+        assert twice[r["id"]]["total_1"] == 2 * r["total_1"] and twice[r["id"]]["clip_2"] == 2 * r["clip_2"]
+        assert twice[r["id"]]["keep"] == pytest.approx(r["keep"])
+    by_id = {r["id"]: r for r in whole}
+    assert by_id[60]["total_1"] == 1 and by_id[60]["sari"] == pytest.approx(by_id[60]["add"] / 3)
+    # Grams are told apart as joined texts, a gram with a missing token is one of its own.
+    one = spark.createDataFrame([(1, ["x"], ["a", "b c", None], ["a b", "c", None])], schema)
+    row = sentence_scores(one, ["id"]).first()
+    assert [row[f"clip_{n}"] for n in range(1, 5)] == [1, 2, 1, 0]

@@ -225,7 +225,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = triples(spark, sf_dir)
     names = ("origin", "hypothesis", "reference")
     tokens = rows.select("conv_id", "turn", *[split_ws(F.col(n)).alias(n) for n in names])
-    bleu = sentence_scores(tokens, ["conv_id", "turn"], sari=False, partitioned=True).select("conv_id", "turn", "bleu")
+    bleu = sentence_scores(tokens, ["conv_id", "turn"], sari=False, partitioned=True, unique=True).select("conv_id", "turn", "bleu")
     flat = [F.translate(n, "\n", " ").alias(n) for n in names]
     score = meteor(F.col("hypothesis"), F.col("reference"), stems=False).alias("meteor")
     return rows.select("conv_id", "turn", score, *flat).join(bleu, ["conv_id", "turn"])

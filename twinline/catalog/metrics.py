@@ -105,7 +105,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     "round(add, 6) AS add, round((keep + delete + add) / 3, 6) AS sari FROM sari",
 )
 def sentence_sari(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = sentence_scores(token_triples(spark, sf_dir), KEY, bleu=False, partitioned=True)
+    scores = sentence_scores(token_triples(spark, sf_dir), KEY, bleu=False, partitioned=True, unique=True)
     return _rounded(scores, "keep", "delete", "add", "sari")
 
 
@@ -114,7 +114,7 @@ def sentence_sari(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {BLEU} SELECT conv_id, turn, round({_smoothed_sql('greatest(t{n}, 1)')}, 6) AS bleu FROM bleu_parts",
 )
 def sentence_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = sentence_scores(token_triples(spark, sf_dir), KEY, sari=False, partitioned=True)
+    scores = sentence_scores(token_triples(spark, sf_dir), KEY, sari=False, partitioned=True, unique=True)
     return _rounded(scores, "bleu").select("conv_id", "turn", "bleu")
 
 
@@ -175,7 +175,7 @@ def several_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = rows.select(
         *KEY, *[split_ws(F.col(n)).alias(n) for n in ("origin", "hypothesis")], F.transform("references", split_ws).alias("references")
     )
-    scores = sentence_scores(tokens.withColumn("n_references", F.size("references").cast("long")), [*KEY, "n_references"], references="references", partitioned=True)
+    scores = sentence_scores(tokens.withColumn("n_references", F.size("references").cast("long")), [*KEY, "n_references"], references="references", partitioned=True, unique=True)
     return _rounded(scores, "keep", "delete", "add", "sari", "bleu").select(*KEY, "n_references", "keep", "delete", "add", "sari", "bleu")
 
 
@@ -319,14 +319,14 @@ rounds AS (
 SELECT round(max(bleu), 6) AS best_bleu, round(max(sari), 6) AS best_sari FROM rounds""",
 )
 def best_over_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = sentence_scores(token_triples(spark, sf_dir), KEY, partitioned=True)
+    scores = sentence_scores(token_triples(spark, sf_dir), KEY, partitioned=True, unique=True)
     rounds = scores.groupBy("turn").agg(F.avg("sari").alias("sari"), F.avg("bleu").alias("bleu"))
     return _rounded(epochs.best_over_rounds(rounds), "best_bleu", "best_sari")
 
 
 @query("agg_16_corpus_sari", f"WITH {SARI} SELECT round(avg((keep + delete + add) / 3), 6) AS sari FROM sari")
 def sari_of_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = sentence_scores(token_triples(spark, sf_dir), KEY, bleu=False, partitioned=True)
+    scores = sentence_scores(token_triples(spark, sf_dir), KEY, bleu=False, partitioned=True, unique=True)
     return _rounded(corpus_sari(scores), "sari")
 
 
@@ -342,7 +342,7 @@ _POOL = f"pool AS (SELECT {_POOLED}, sum(hyp) AS hyp, sum(ref) AS ref FROM bleu_
 
 
 def _corpus_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = sentence_scores(token_triples(spark, sf_dir), KEY, sari=False, partitioned=True)
+    scores = sentence_scores(token_triples(spark, sf_dir), KEY, sari=False, partitioned=True, unique=True)
     return _rounded(corpus_bleu(scores), "bleu_smoothed", "bleu_strict")
 
 
@@ -367,7 +367,7 @@ def corpus_bleu_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both corpus scores from one pass over the n-grams."""
-    scores = sentence_scores(token_triples(spark, sf_dir), KEY, partitioned=True)
+    scores = sentence_scores(token_triples(spark, sf_dir), KEY, partitioned=True, unique=True)
     parts = [f"clip_{n}" for n in range(1, 5)] + [f"total_{n}" for n in range(1, 5)] + ["hyp_len", "ref_len"]
     one_pass = scores.select("sari", *parts)
     return _rounded(corpus_bleu(one_pass, sari=True), "bleu_smoothed", "bleu_strict", "sari")

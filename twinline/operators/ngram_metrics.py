@@ -1,19 +1,23 @@
-"""SARI and BLEU from one table of n-gram counts.
+"""SARI and BLEU from counts of n-grams.
 
-A row's grams are counted after a single shuffle of the *texts* by row key: the three groupings below
-(by gram, by order, by row) all keep that key, so the grams themselves, about a dozen per token, never
-leave their task. Row keys are unique, so no key is hot.
+A row's score needs its own texts only. Texts are moved once, to the row's key (not at all where rows lie there and
+keys don't repeat); their grams, about a dozen per token, are counted for slices of an Arrow batch and never become rows.
+``gram_counts`` gives them as a table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import exploded, lower_tokens
 
 ORDERS = (1, 2, 3, 4)
-_BLEU = 10  # BLEU grams keep their case, so their orders are counted apart: 11..14
 
 
 def _gram_columns(df: DataFrame, key: list[str], wanted: dict[str, tuple[str, bool]]) -> DataFrame:
@@ -62,61 +66,175 @@ def gram_counts(
     return _count(rows, key, list(sides))
 
 
-def _reference_grams(
-    placed: DataFrame, key: list[str], origin: str, hypothesis: str, references: str, sari: bool, bleu: bool
-) -> DataFrame:
-    """``key, n, gram`` with counts ``s, c``, the sum ``r`` and the most ``best`` over all references, their number
-    ``__m``, and the lengths of the nearest reference, of equally near ones the shorter (``__near``) or first (``__first``).
+def _count(rows: DataFrame, key: list[str], sides: list[str]) -> DataFrame:
+    counts = [F.count(F.when(F.col("g.side") == s, 1)).alias(s) for s in sides]
+    return rows.groupBy(*key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(*counts)
 
-    Each text is a row of its own until its grams are counted, all lying by ``key``.
-    """
+
+# Token lists are counted together up to about so many tokens.
+SLICE_TOKENS = 200_000
+_SIDES = {"s": 0, "c": 1, "r": 2}
+
+
+def _texts(origin: str, hypothesis: str, reference: str, references: str | None) -> Column:
+    """A row's token lists as ``side, at, set, tokens``: ``at`` is the place among several references; grams of one key
+    are counted together where ``set`` is the same, with several references the hypothesis's length."""
     none = F.array().cast("array<string>")
+    own = F.size(F.coalesce(F.col(hypothesis), none)) if references else F.lit(0)
+
+    def text(side: str, at: Column, tokens: Column) -> Column:
+        return F.struct(
+            F.lit(_SIDES[side]).alias("side"), at.cast("int").alias("at"), own.alias("set"), F.coalesce(tokens, none).alias("tokens")
+        )
+
+    first = [text("s", F.lit(0), F.col(origin)), text("c", F.lit(0), F.col(hypothesis))]
+    if references is None:
+        return F.array(*first, text("r", F.lit(0), F.col(reference)))
+    refs = F.coalesce(F.col(references), F.array().cast("array<array<string>>"))
+    return F.concat(F.array(*first), F.transform(refs, lambda r, i: text("r", i, r)))
 
-    def text(side: str, place: Column, tokens: Column) -> Column:
-        return F.struct(F.lit(side).alias("side"), place.alias("ref"), F.coalesce(tokens, none).alias("tokens"))
 
+def _reference_lengths(hypothesis: str, references: str) -> dict[str, Column]:
+    """The number of references ``__m``, and the lengths of the nearest one, of equally near ones the shorter
+    (``__near``) or first (``__first``)."""
+    none = F.array().cast("array<string>")
     refs = F.coalesce(F.col(references), F.array().cast("array<array<string>>"))
     hyp = F.size(F.coalesce(F.col(hypothesis), none))
     sizes = F.transform(refs, lambda r, i: F.struct(F.size(F.coalesce(r, none)).alias("size"), i.alias("at")))
     away = lambda z: F.abs(z["size"] - hyp).alias("away")
     near = F.array_min(F.transform(sizes, lambda z: F.struct(away(z), z["size"].alias("size"))))["size"]
     first = F.array_min(F.transform(sizes, lambda z: F.struct(away(z), z["at"].alias("at"), z["size"].alias("size"))))["size"]
-    lengths = {"__m": F.size(refs), "__hyp": hyp, "__near": F.coalesce(near, F.lit(0)), "__first": F.coalesce(first, F.lit(0))}
-    keys = [*key, *lengths]
-    texts = F.concat(
-        F.array(text("s", F.lit(0), F.col(origin)), text("c", F.lit(0), F.col(hypothesis))),
-        F.transform(refs, lambda r, i: text("r", i, r)),
-    )
-    rows = placed.select(*key, *[c.alias(n) for n, c in lengths.items()], F.explode(texts).alias("__t"))
-    rows = rows.select(*keys, F.col("__t.side").alias("__side"), F.col("__t.ref").alias("__ref"), F.col("__t.tokens").alias("__tokens"))
-    wanted, parts = {}, []
-    for name, base, use in (("__l", 0, sari), ("__b", _BLEU, bleu)):
-        if use:
-            wanted[name] = ("__tokens", base == 0)
-            parts += _tagged(name, "", base)
-    rows = _gram_columns(rows, [*keys, "__side", "__ref"], wanted)
-    rows = rows.select(*keys, "__side", "__ref", F.explode_outer(F.flatten(F.array(*parts))).alias("g"))
-    each = rows.groupBy(*keys, "__side", "__ref", F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(
-        F.count("g.gram").alias("__count")
-    )
-    of = lambda side: F.when(F.col("__side") == side, F.col("__count"))
-    return each.groupBy(*keys, "n", "gram").agg(
-        *[F.coalesce(F.sum(of(side)), F.lit(0)).alias(side) for side in "scr"],
-        F.coalesce(F.max(of("r")), F.lit(0)).alias("best"),
-    )
+    zero = F.lit(0)
+    return {"__m": F.size(refs), "__near": F.coalesce(near, zero), "__first": F.coalesce(first, zero)}
 
 
-def _count(rows: DataFrame, key: list[str], sides: list[str]) -> DataFrame:
-    counts = [F.count(F.when(F.col("g.side") == s, 1)).alias(s) for s in sides]
-    return rows.groupBy(*key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(*counts)
+def _grams(tokens: pa.Array, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Per order the text of each gram and the grams, joined by blanks; one with a missing token is null."""
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    starts, grams = np.arange(len(text)), tokens
+    for n in ORDERS:
+        if n > 1:
+            ends = starts + n - 1
+            inside = ends < len(text)
+            inside[inside] = text[ends[inside]] == text[starts[inside]]
+            starts = starts[inside]
+            grams = pc.binary_join_element_wise(grams.filter(pa.array(inside)), tokens.take(pa.array(starts + n - 1)), " ")
+        yield text[starts], grams
 
 
-def _ratio(top: Column, bottom: Column) -> Column:
-    return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
+def _ratios(top: np.ndarray, bottom: np.ndarray) -> np.ndarray:
+    return np.divide(top, bottom, out=np.zeros(len(top)), where=bottom > 0)
 
 
-def _f1(p: Column, r: Column) -> Column:
-    return F.when((p > 0) | (r > 0), 2 * p * r / (p + r)).otherwise(F.lit(0.0))
+def _f1s(p: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return _ratios(2 * p * r, p + r)
+
+
+def _order_values(
+    unit, side, at, grams: pa.Array, row_of: np.ndarray, many: np.ndarray, sari: bool, bleu: bool
+) -> dict[str, np.ndarray]:
+    """Sums over the grams of one order: a value per row. ``unit``, ``side`` and ``at`` say where each gram stands; those
+    of one unit are counted together, and ``row_of`` has each unit's row."""
+    coded = grams.dictionary_encode(null_encoding="encode")
+    code, width = coded.indices.to_numpy(), max(len(coded.dictionary), 1)
+    pairs = pa.array(unit * width + code).dictionary_encode()
+    place, rows = pairs.indices.to_numpy(), row_of[pairs.dictionary.to_numpy() // width]
+    counts = [np.bincount(place[side == i], minlength=len(rows)) for i in range(3)]
+
+    def total(values: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, values, len(many))
+
+    found = {}
+    if sari:
+        # Grams of the source and hypothesis count once for each reference.
+        s, c, r = counts[0] * many[rows], counts[1] * many[rows], counts[2]
+        kept, deleted = np.minimum(s, c), np.maximum(s - c, 0)
+        kept_good, kept_all = np.minimum(kept, r), np.minimum(s, r)
+        new = counts[0] == 0
+        added, added_all = new & (counts[1] > 0), new & (r > 0)
+        shares = total(_ratios(np.maximum(deleted - r, 0), deleted))
+        good = total(added & (r > 0))
+        found["keep"] = _f1s(
+            _ratios(total(_ratios(kept_good, kept)), total(kept > 0)),
+            _ratios(total(_ratios(kept_good, kept_all)), total(kept_all > 0)),
+        )
+        # Deletion recall sums the precision shares over the recall count, as the scores to match do.
+        found["delete"] = _f1s(_ratios(shares, total(deleted > 0)), _ratios(shares, total(s > r)))
+        found["add"] = _f1s(_ratios(good, total(added)), _ratios(good, total(added_all)))
+    if bleu:
+        best = counts[2]
+        wide = int(at.max(initial=0)) + 1
+        if wide > 1:
+            # Each reference is counted on its own; the one that has most of a gram clips it.
+            mine = side == 2
+            each = pa.array(place[mine].astype(np.int64) * wide + at[mine]).dictionary_encode()
+            best = np.zeros(len(rows), np.int64)
+            np.maximum.at(best, each.dictionary.to_numpy() // wide, np.bincount(each.indices.to_numpy(), minlength=len(each.dictionary)))
+        found["clip"], found["total"], found["ref"] = total(np.minimum(counts[1], best)), total(counts[1]), total(counts[2])
+    return found
+
+
+def _slice_scores(texts: pa.ListArray, many: np.ndarray, sari: bool, bleu: bool, nulls: bool) -> dict[str, np.ndarray]:
+    parts = texts.flatten()
+    of_text = np.repeat(np.arange(len(texts)), texts.value_lengths().to_numpy())
+    sides, places, sets = (parts.field(name).to_numpy() for name in ("side", "at", "set"))
+    wide = int(sets.max(initial=0)) + 1
+    units = pa.array(of_text * wide + sets).dictionary_encode()
+    unit, row_of = units.indices.to_numpy().astype(np.int64), units.dictionary.to_numpy() // wide
+    scores: dict[str, np.ndarray] = {}
+    for name, wanted in (("low", sari), ("tokens", bleu)):
+        if not wanted:
+            continue
+        lists = parts.field(name)
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+        for n, (text, grams) in enumerate(_grams(lists.flatten(), bounds), 1):
+            if not nulls and grams.null_count:
+                text, grams = text[grams.is_valid().to_numpy(zero_copy_only=False)], grams.drop_null()
+            got = _order_values(unit[text], sides[text], places[text], grams, row_of, many, name == "low", name == "tokens")
+            if name == "low":
+                for score, values in got.items():
+                    scores[score] = scores.get(score, 0.0) + values / len(ORDERS)
+            else:
+                scores[f"clip_{n}"], scores[f"total_{n}"] = got["clip"], got["total"]
+                if n == 1:
+                    scores["ref_len"] = got["ref"]
+    return scores
+
+
+def _row_scores(parts: Column, sari: bool, bleu: bool, nulls: bool) -> Column:
+    """The scores of each row from its ``parts``, each of ``many`` and texts ``side, at, set, tokens, low``, as a struct.
+
+    A batch is cut into slices of bounded size, so memory doesn't follow the number of rows in it.
+    """
+    kinds = {name: "double" for name in ("keep", "delete", "add")} if sari else {}
+    if bleu:
+        kinds |= {f"{name}_{n}": "bigint" for n in ORDERS for name in ("clip", "total")} | {"ref_len": "bigint"}
+
+    @F.arrow_udf("struct<" + ", ".join(f"{name}: {kind}" for name, kind in kinds.items()) + ">")
+    def score(rows: pa.Array) -> pa.Array:
+        of_part = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+        parts = rows.flatten()
+        many, texts = parts.field("many").to_numpy().astype(np.int64), parts.field("texts")
+        sizes = texts.flatten().field("tokens").value_lengths().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(texts.value_lengths().to_numpy())]
+        cuts = np.flatnonzero(np.diff(ends // SLICE_TOKENS, prepend=0)).tolist()
+        found: dict[str, list[np.ndarray]] = {name: [np.zeros(0)] for name in kinds}
+        for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+            if a < b:
+                for name, values in _slice_scores(texts.slice(a, b - a), many[a:b], sari, bleu, nulls).items():
+                    found[name].append(values)
+        arrays = []
+        for name, kind in kinds.items():
+            values = np.concatenate(found[name])
+            if kind == "double":
+                arrays.append(pa.array(np.bincount(of_part, values, len(rows))))
+            else:
+                most = np.zeros(len(rows), np.int64)
+                np.maximum.at(most, of_part, values.astype(np.int64))
+                arrays.append(pa.array(most))
+        return pa.StructArray.from_arrays(arrays, names=list(kinds))
+
+    return score(parts)
 
 
 def sentence_scores(
@@ -129,6 +247,7 @@ def sentence_scores(
     bleu: bool = True,
     partitioned: bool = False,
     references: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Per row: ``keep, delete, add, sari`` and ``bleu`` with its pooled parts.
 
@@ -139,81 +258,35 @@ def sentence_scores(
 
     Columns are token lists. The BLEU parts are ``clip_n`` and ``total_n`` for n = 1..4, ``hyp_len``
     and ``ref_len``; ``corpus_bleu`` adds them up. ``partitioned`` says that rows already lie by ``key``
-    (or by part of it), which saves the one shuffle.
+    (or by part of it), which saves the one shuffle. Rows of one key are counted together; ``unique`` says that there
+    are none, so rows are scored where they lie.
     """
-    placed = df if partitioned else df.repartition(*key)
-    many, fixed, best = F.lit(1), [], F.col("r")
-    if references:
-        grams = _reference_grams(placed, key, origin, hypothesis, references, sari, bleu)
-        many, fixed, best = F.col("__m"), ["__m", "__near", "__first"], F.col("best")
+    lengths = _reference_lengths(hypothesis, references) if references else {}
+    rows = df.select(
+        *key, *[c.alias(n) for n, c in lengths.items()], _texts(origin, hypothesis, reference, references).alias("__texts")
+    )
+    if not unique:
+        placed = rows if partitioned else rows.repartition(*key)
+        rows = placed.groupBy(*key, *lengths).agg(F.flatten(F.collect_list("__texts")).alias("__texts"))
+    part = F.struct((F.col("__m") if references else F.lit(1)).alias("many"), F.col("__texts").alias("texts"))
+    ends = ["__near", "__first"] if references else []
+    if references and not unique:
+        # Rows of one key whose references differ in number or length are counted apart.
+        rows = rows.groupBy(*key).agg(F.collect_list(part).alias("__parts"), *[F.max(c).alias(c) for c in ends])
     else:
-        wanted: dict[str, tuple[str, bool]] = {}
-        parts: list[Column] = []
-        if sari:
-            wanted |= {"__ls": (origin, True), "__lc": (hypothesis, True), "__lr": (reference, True)}
-            for side in ("s", "c", "r"):
-                parts += _tagged(f"__l{side}", side, 0)
-        if bleu:
-            wanted |= {"__c": (hypothesis, False), "__r": (reference, False)}
-            for side in ("c", "r"):
-                parts += _tagged(f"__{side}", side, _BLEU)
-        placed = _gram_columns(placed, key, wanted)
-        # A row without any gram still gets its scores: it keeps one row of no order.
-        rows = placed.select(*key, F.explode_outer(F.flatten(F.array(*parts))).alias("g"))
-        grams = _count(rows, key, ["s", "c", "r"])
-
-    # Grams of the source and hypothesis count once for each reference.
-    s, c, r = F.col("s") * many, F.col("c") * many, F.col("r")
-    kept, deleted = F.least(s, c), F.greatest(s - c, F.lit(0))
-    kept_good, delete_good = F.least(kept, r), F.greatest(deleted - r, F.lit(0))
-    kept_all, delete_all = F.least(s, r), F.greatest(s - r, F.lit(0))
-    added, added_all = (F.col("c") > 0) & (F.col("s") == 0), (r > 0) & (F.col("s") == 0)
-
-    def share(top: Column, bottom: Column) -> Column:
-        return F.when(bottom > 0, top / bottom).otherwise(0.0)
-
-    # One value per gram first: the sums over an order are then plain sums of columns.
-    values: dict[str, Column] = {}
-    if sari:
-        values |= {
-            "kp": share(kept_good, kept),
-            "kr": share(kept_good, kept_all),
-            "k_n": (kept > 0).cast("int"),
-            "ka_n": (kept_all > 0).cast("int"),
-            "dp": share(delete_good, deleted),
-            "d_n": (deleted > 0).cast("int"),
-            "da_n": (delete_all > 0).cast("int"),
-            "ag_n": (added & (r > 0)).cast("int"),
-            "a_n": added.cast("int"),
-            "aa_n": added_all.cast("int"),
-        }
-    if bleu:
-        values |= {"clip": F.least(F.col("c"), best), "total": F.col("c"), "ref": r}
-    valued = grams.select(*key, *fixed, "n", *[v.alias(name) for name, v in values.items()])
-    by_order = valued.groupBy(*key, *fixed, "n").agg(*[F.sum(name).alias(name) for name in values])
-    zero = F.lit(0.0)
-    kp, kr, dp = F.col("kp"), F.col("kr"), F.col("dp")
-    keep = _f1(_ratio(kp, F.col("k_n")), _ratio(kr, F.col("ka_n")))
-    # Deletion recall sums the precision shares over the recall count, as the scores to match do.
-    delete = _f1(_ratio(dp, F.col("d_n")), _ratio(dp, F.col("da_n")))
-    add = _f1(_ratio(F.col("ag_n"), F.col("a_n")), _ratio(F.col("ag_n"), F.col("aa_n")))
-
-    n = F.col("n")
-    outputs: list[Column] = []
-    if sari:
-        in_sari = n <= 4
-        for name, value in (("keep", keep), ("delete", delete), ("add", add)):
-            outputs.append((F.coalesce(F.sum(F.when(in_sari, value)), zero) / 4).alias(name))
-    if bleu:
-        for order in ORDERS:
-            here = n == _BLEU + order
-            outputs.append(F.coalesce(F.max(F.when(here, F.col("clip"))), F.lit(0)).alias(f"clip_{order}"))
-            outputs.append(F.coalesce(F.max(F.when(here, F.col("total"))), F.lit(0)).alias(f"total_{order}"))
-        if references:
-            outputs += [F.max("__near").alias("ref_len"), F.max("__first").alias("ref_len_strict")]
-        else:
-            outputs.append(F.coalesce(F.max(F.when(n == _BLEU + 1, F.col("ref"))), F.lit(0)).alias("ref_len"))
-    scores = by_order.groupBy(*key).agg(*outputs)
+        rows = rows.select(*key, F.array(part).alias("__parts"), *ends)
+
+    def with_low(text: Column) -> Column:
+        names = [text[n].alias(n) for n in ("side", "at", "set", "tokens")]
+        return F.struct(*names, *([lower_tokens(text["tokens"]).alias("low")] if sari else []))
+
+    parts = F.transform("__parts", lambda p: F.struct(p["many"].alias("many"), F.transform(p["texts"], with_low).alias("texts")))
+    found = _row_scores(parts, sari, bleu, nulls=not references)
+    names = [*(["keep", "delete", "add"] if sari else []), *([f"{p}_{n}" for n in ORDERS for p in ("clip", "total")] if bleu else [])]
+    nearest = [F.col(c).alias(n) for c, n in zip(ends, ("ref_len", "ref_len_strict"))]
+    scores = rows.select(*key, *ends, found.alias("__scores")).select(
+        *key, *[F.col(f"__scores.{n}") for n in names], *((nearest or [F.col("__scores.ref_len")]) if bleu else [])
+    )
     if sari:
         scores = scores.withColumn("sari", (F.col("keep") + F.col("delete") + F.col("add")) / 3)
     if bleu:
