@@ -139,3 +139,11 @@ def test_draws_follow_their_weights(spark):
     for c in (0, 1, 5, 20):
         p = (math.log(c + 2) - math.log(c + 1)) / math.log(top + 1)
         assert counts[c] / 20000 == pytest.approx(p, abs=0.01)
+
+
+def test_contexts_travel_once_for_a_run_of_chunks(docs):
+    df, _ = docs
+    plan = lm.pack_contiguous(df, "tokens", 4, 3, 5)._jdf.queryExecution().optimizedPlan().toString()
+    # Cuts meet by lane and run; a chunk is put together from them without a shuffle of its own.
+    assert "Aggregate [lane" in plan and "run#" in plan and "Aggregate [lane#, chunk" not in plan
+    assert lm.CARRIED > 1

@@ -20,6 +20,10 @@ from .split import random_key
 from .vocab import vocab_by_frequency
 
 
+# So many chunks are sent and put together at a time.
+CARRIED = 16
+
+
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
@@ -85,22 +89,45 @@ def pack_contiguous(
     size, ext = F.lit(bptt).cast("long"), F.lit(ext_len).cast("long")
     n_chunks = _div(n_step - 1 + size - 1, size)
 
+    # Cuts travel in runs of chunks, so that the context of a chunk is sent once for the run and not for each chunk.
+    wide = size * CARRIED
+    n_runs = _div(n_chunks + CARRIED - 1, F.lit(CARRIED).cast("long"))
+
+    def window(start, width):
+        """The steps from the first of the context to the last target."""
+        return start - F.least(ext, start), F.least(start + width, n_step - 1) + 1
+
     def cut(lane, s0, s1, base):
-        def chunk(c):
-            start = c * size
-            a = F.greatest(start - F.least(ext, start), s0)
-            b = F.least(F.least(start + size, n_step - 1) + 1, s1)
+        def run(r):
+            low, high = window(r * wide, wide)
+            a, b = F.greatest(low, s0), F.least(high, s1)
             part = F.slice(F.col("__tok"), (base + a - s0 + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-            return F.struct(lane.alias("lane"), c.alias("chunk"), a.alias("step"), part.alias("part"))
+            return F.struct(lane.alias("lane"), r.alias("run"), a.alias("step"), part.alias("part"))
+
+        return _span(_div(F.greatest(s0 - 1, F.lit(0)), wide), F.least(_div(s1 - 1 + ext, wide), n_runs - 1), run)
+
+    def chunk(c):
+        low, high = window(c * size, size)
+
+        def reached(p):
+            return F.least(high, p["step"] + F.size(p["part"])) > F.greatest(low, p["step"])
+
+        def own(p):
+            a, b = F.greatest(low, p["step"]), F.least(high, p["step"] + F.size(p["part"]))
+            return F.struct(a.alias("step"), F.slice(p["part"], (a - p["step"] + 1).cast("int"), (b - a).cast("int")).alias("part"))
 
-        return _span(_div(F.greatest(s0 - 1, F.lit(0)), size), F.least(_div(s1 - 1 + ext, size), n_chunks - 1), chunk)
+        return F.struct(c.alias("chunk"), F.sort_array(F.transform(F.filter("__parts", reached), own)).alias("parts"))
 
     cuts = exploded(placed, ["n_step"], _lane_parts(bsz, cut), "c")
     cuts = cuts.select("n_step", "c.*").filter(F.size("part") > 0)
+    runs = cuts.groupBy("lane", "run").agg(F.collect_list(F.struct("step", "part")).alias("__parts"), F.max("n_step").alias("n_step"))
+    first = F.col("run") * CARRIED
+    chunks = exploded(runs, ["lane", "n_step"], _span(first, F.least(first + CARRIED, n_chunks) - 1, chunk), "c")
+    chunks = chunks.select("lane", "n_step", "c.*").filter(F.size("parts") > 0)
     start = F.col("chunk") * size
     context = F.least(ext, start)
     seq_len = F.least(size, n_step - 1 - start)
-    return _reassemble(cuts, ["lane", "chunk"]).select(
+    return chunks.withColumn("__all", F.flatten(F.transform("parts", lambda p: p["part"]))).select(
         "lane",
         "chunk",
         seq_len.alias("seq_len"),
