@@ -76,3 +76,27 @@ def test_brackets_stop_at_line_breaks(spark):
 
 def test_strip_takes_all_white_space(spark):
     assert one(spark, " \x1f a b  \n", clean.strip) == "a b"
+
+
+def test_rules_together_equal_rules_one_by_one(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from twinline.functions import clean
+
+    rng = random.Random(3)
+    short = ["ca.", "Ca.", "e.g.", "e.G.", "E.g.", "eg.", "i.e.", "Ie.", "approx.", "no.", "No.", "conf.", "et al.", "Fig.", "ref.", "y.o.", "yo.",
+             "p.o.", "P.o.", "i.v.", "b.i.3.", "T.i.3.", "q.i.\u0663.", "J.", "x", "7", "A7", "Cell", "Bio", ".", "z.", "\U0001d400", "\u00e9"]
+    ends = [" ", " ", " ", "", "\n", "\u00a0", "\u2028", "\x1c", "  ", "("]
+    texts = ["".join(rng.choice(short) + rng.choice(ends) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    texts += [t.lower() for t in texts] + [chr(c) + "a" for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.col("text")
+    for first, following, replacement in clean.PRENORMALIZE:
+        plain = F.regexp_replace(plain, rf"(?U)(?<=\W){first}[\s\x1c-\x1f](?={following})", replacement)
+    plain = F.regexp_replace(plain, r"(?U)[\s\x1c-\x1f]", " ")
+    rows = rows.withColumn("fast", ~F.col("text").rlike(clean._CAPITAL))
+    found = rows.select("text", "fast", clean.prenormalize(F.col("text")).alias("a"), plain.alias("b"))
+    assert found.filter("a <> b").limit(5).collect() == []
+    assert found.filter("fast and a <> text").count() > 500 and found.filter("not fast").count() > 500

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WS = r"[\s\x1c-\x1f]"
+# The same without the blank itself, spelled out.
+_WS_BUT_BLANK = r"[\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def strip(col: Column) -> Column:
@@ -116,11 +118,35 @@ PRENORMALIZE = [
 ]
 
 
+# The same rules for lower-case abbreviations, those of one form together. No short form is the end of another one.
+_FORMS = [
+    (["ca", "approx", "no", "conf", "et al", "ref", "fig"], _NEXT, r"({})\.", "$1  "),
+    (["no"], r"\w\d", r"({})\.", "$1  "),
+    (["J"], "(?:Cell|Bio|Med)", r"({})\.", "$1  "),
+    ([r"e\.g", r"i\.e", r"[yp]\.o", r"i\.v"], _NEXT, r"(?:{})\.(?<=(.)\.(.)\.)", "$1 $2  "),
+    (["eg", "ie", "yo"], _NEXT, r"(?:{})\.(?<=(.)(.)\.)", "$1 $2 "),
+    ([r"[btq]\.i\.\d"], _NEXT, r"(?:{})\.(?<=(.)\.i\.\d\.)", "$1 i d  "),
+]
+_CAPITAL = (
+    r"(?U)\.(?<=(?:Ca|E\.[Gg]|e\.G|E[Gg]|eG|I\.[Ee]|i\.E|I[Ee]|iE|Approx|No|Conf|Ref|Fig|P\.o|I\.v|[BTQ]\.i\.\d)\.)" + _WS
+)
+
+
 def prenormalize(col: Column) -> Column:
-    """Spell out common abbreviations, then turn every white-space character into a blank."""
+    """Spell out common abbreviations, then turn every white-space character into a blank.
+
+    What stands before an abbreviation is looked at only where one is found. A rule that writes a capital small may let a later
+    rule apply to the abbreviation before it, so the rules run one by one where such a capital is found. Elsewhere
+    none of them changes what another one looks at, and those of one form run together.
+    """
+    one_by_one = together = col
     for short, following, replacement in PRENORMALIZE:
-        col = F.regexp_replace(col, rf"(?U)(?<=\W){short}{_WS}(?={following})", replacement)
-    return F.regexp_replace(col, rf"(?U){_WS}", " ")
+        one_by_one = F.regexp_replace(one_by_one, rf"(?U){short}(?<=\W{short}){_WS}(?={following})", replacement)
+    for shorts, following, form, replacement in _FORMS:
+        any_of = "|".join(shorts)
+        found = form.format(any_of) + rf"(?<=\W(?:{any_of})\.)"
+        together = F.regexp_replace(together, rf"(?U){found}{_WS}(?={following})", replacement)
+    return F.regexp_replace(F.when(col.rlike(_CAPITAL), one_by_one).otherwise(together), _WS_BUT_BLANK, " ")
 
 
 # Concept patterns and their class, in order of precedence.
