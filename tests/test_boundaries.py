@@ -72,3 +72,16 @@ def test_nothing_of_a_text_is_lost(spark, sf_dir):
     found = learn_boundaries(docs)
     for text, parts in docs.select("text", found.sentences(F.col("text")).alias("s")).collect():
         assert re.sub(r"\s+", "", "".join(parts or [])) == re.sub(r"\s+", "", text or "")
+
+
+def test_words_as_a_set_cut_like_words_of_the_text(spark, learned):
+    learned = learned[1]
+    import random
+
+    rng = random.Random(5)
+    words = [*learned.short[:3], "Dr", "The", "the", "x.y", "end", *[h.capitalize() for h in learned.heads[:3]]]
+    glue = [". ", ".  ", ".\n", '." ', "! ", " ", ".\u00a0", "\x1c", ". ("]
+    texts = ["".join(rng.choice(words) + rng.choice(glue[: 6 if k % 2 else 9]) for _ in range(9)) for k in range(600)] + ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    both = rows.select(learned.sentences(F.col("text")).alias("a"), learned._cut(F.col("text"), False).alias("b"))
+    assert both.filter("not (a <=> b)").limit(3).collect() == []

@@ -21,6 +21,10 @@ ABBREVIATION, STARTER, CERTAIN = 0.3, 30.0, 0.99
 # Marks that may stand around a word.
 OPENING, CLOSING = "\"'([", "\"')],;:"
 SPACES = "\t\n\x0b\x0c\r"
+# White space that ends a sentence but no word.
+_ODD_SPACES = r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Up to so many learned words are looked up as a set of the plan.
+SET_WORDS = 20_000
 # A learned table larger than this isn't sent along with the texts.
 MAX_BYTES = 32 << 20
 
@@ -116,31 +120,39 @@ class Boundaries:
     def sentences(self, text: Column) -> Column:
         """Sentences of a text: cuts after ``.``, ``!`` or ``?`` (and closing marks) before white space, but not after
         an abbreviation whose follower is no capitalised sentence starter. Null stays null, an empty text has none."""
+        if max(len(self.short), len(self.heads)) > SET_WORDS:
+            return self._cut(text, False)
+        # Where only plain white space stands, the words at a cut are words of the text, so a set needn't be narrowed to them.
+        return F.when(text.rlike(_ODD_SPACES), self._cut(text, False)).otherwise(self._cut(text, True))
+
+    def _cut(self, text: Column, sets: bool) -> Column:
         marked = F.regexp_replace(strip(text), r"(?U)([.!?]+[\"')\]]*)(\s+)", "$1\u0001$2")
         pieces = F.split(marked, "\u0001")
         # Only words of this text are looked for at its cuts; both lists are hashed once for it.
         words = F.transform(_tokens(text), lambda t: _word(_bare(t)))
         known, first = (F.array_intersect(words, _listed(t)) for t in (self.short, self.heads))
 
-        def joins(before: Column, after: Column, known: Column, first: Column) -> Column:
+        def held(word: Column, learned: list[str], of_text: Column | None) -> Column:
+            return word.isin(*learned) if of_text is None else F.array_contains(of_text, word)
+
+        def joins(before: Column, after: Column, known: Column | None, first: Column | None) -> Column:
             plain = [F.translate(p, SPACES, " " * len(SPACES)) for p in (before, F.ltrim(after))]
             last = _bare(F.substring_index(plain[0], " ", -1))
             head = _bare(F.substring_index(F.ltrim(plain[1]), " ", 1))
             capital = F.substring(head, 1, 1) != F.lower(F.substring(head, 1, 1))
-            stays = F.endswith(last, F.lit(".")) & F.array_contains(known, _word(last))
-            return stays & ~(capital & F.array_contains(first, _word(head)))
+            stays = F.endswith(last, F.lit(".")) & held(_word(last), self.short, known)
+            return stays & ~(capital & held(_word(head), self.heads, first))
 
         def glued(one: Column) -> Column:
             pieces = one["pieces"]
             before = F.concat(F.array(F.lit("")), F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))))
-            mark = F.zip_with(
-                before, pieces, lambda b, a: F.when(joins(b, a, one["known"], one["first"]), a).otherwise(F.concat(F.lit("\u0001"), a))
-            )
+            own = (None, None) if sets else (one["known"], one["first"])
+            mark = F.zip_with(before, pieces, lambda b, a: F.when(joins(b, a, *own), a).otherwise(F.concat(F.lit("\u0001"), a)))
             return F.array_join(mark, "")
 
         # The lambda's variable holds what is worked out once for a text.
-        held = F.array(F.struct(pieces.alias("pieces"), known.alias("known"), first.alias("first")))
-        cut = F.transform(F.split(F.transform(held, glued)[0], "\u0001"), strip)
+        once = F.array(F.struct(pieces.alias("pieces"), *([] if sets else [known.alias("known"), first.alias("first")])))
+        cut = F.transform(F.split(F.transform(once, glued)[0], "\u0001"), strip)
         return F.when(text.isNotNull(), F.filter(cut, lambda s: F.char_length(s) > 0))
 
 
