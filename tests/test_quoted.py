@@ -164,3 +164,16 @@ def test_packing_ranks_keys_only(spark):
             n = min(10, step - 1 - start)
             want.append((lane, c, own[start : start + n], own[start + 1 : start + n + 1]))
     assert got == want
+
+
+@pytest.mark.parametrize("header", [False, True])
+def test_splits_are_ranked_in_blocks(spark, tmp_path, monkeypatch, header):
+    from twinline.sources import quoted
+
+    rng = random.Random(4)
+    for name in ("a.tsv", "b.tsv"):
+        (tmp_path / name).write_text("".join("\t".join(field(rng, "\t") for _ in range(2)) + "\n" for _ in range(60)))
+    monkeypatch.setattr(quoted, "BLOCK", 4)
+    read = read_quoted(spark, str(tmp_path), PAIRS, "\t", header).orderBy("row_id").select("input", "output").collect()
+    want = [r for n in ("a.tsv", "b.tsv") for r in whole_file(spark, str(tmp_path / n), PAIRS, "\t", header).collect()]
+    assert read == want
