@@ -135,3 +135,18 @@ def test_large_vocabulary_moves_rare_words_only(spark):
     empty = tokens_to_ids(df.limit(0), vocab, "t", "ids", ["k"], 1, small=False)
     assert empty.count() == 0
     assert frequent_values(df, F.col("t"), 5).orderBy(F.desc("count")).first()["item"] == "the"
+
+
+def test_slices_and_tables_agree_with_dictionaries(monkeypatch):
+    import pyarrow as pa
+
+    from twinline.functions import lists
+
+    rows = pa.array([["a", "b", None], None, [], ["c"] * 7, ["a"], ["b", "x"]], pa.list_(pa.string()))
+    numbers = {"a": 5, "b": None, "c": 7, None: 1}
+    for values in (1, 2, 3, 100):
+        monkeypatch.setattr(lists, "SLICE_VALUES", values)
+        for default in (0, None):
+            want = lists.map_values(rows, numbers, default, pa.int32())
+            assert lists.in_slices(rows, lambda some: lists.Table(numbers).look_up(some, default)).to_pylist() == want.to_pylist()
+    assert lists.in_slices(rows.slice(0, 0), lambda some: lists.Table({}).look_up(some, 3)).to_pylist() == []

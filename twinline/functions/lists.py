@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Values of a batch that are worked on together.
+SLICE_VALUES = 1 << 19
+
 
 def _row_bounds(lists: pa.Array) -> np.ndarray:
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -19,6 +23,31 @@ def _rebuilt(bounds: np.ndarray, values: pa.Array, like: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values, mask=mask)
 
 
+def in_slices(lists: pa.Array, work: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """``work`` over runs of rows with about ``SLICE_VALUES`` values each, so its memory doesn't follow the batch's."""
+    ends = _row_bounds(lists)[1:]
+    cuts = np.flatnonzero(np.diff(ends // SLICE_VALUES)).tolist()
+    if not cuts:
+        return work(lists)
+    bounds = [0, *(c + 1 for c in cuts), len(lists)]
+    return pa.concat_arrays([work(lists.slice(a, b - a)) for a, b in zip(bounds, bounds[1:])])
+
+
+class Table:
+    """Values and their numbers as two Arrow arrays, a fraction of a dictionary's size; of equal values the last counts."""
+
+    def __init__(self, numbers: dict):
+        self.values = pa.array(list(numbers), pa.string())
+        self.numbers = pa.array(list(numbers.values()), pa.int32())
+
+    def look_up(self, lists: pa.Array, default: int | None) -> pa.Array:
+        """Each value replaced by its number."""
+        coded = lists.flatten().dictionary_encode()
+        at = pc.index_in(coded.dictionary.cast(pa.string()), self.values)
+        found = pc.if_else(pc.is_null(at), pa.scalar(default, pa.int32()), self.numbers.take(at))
+        return _rebuilt(_row_bounds(lists), found.take(coded.indices), lists)
+
+
 def map_values(lists: pa.Array, table, default, kind: pa.DataType) -> pa.Array:
     """Each value replaced by its entry in ``table``."""
     coded = lists.flatten().dictionary_encode()

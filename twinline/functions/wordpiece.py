@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import collect_small
 from ..schemas import SPECIALS, UNK
-from .lists import expand_values, map_values
+from .lists import expand_values, in_slices, map_values
 from .tokens import mark_text
 
 MAX_WORD = 100
-MAX_REMEMBERED = 500_000
+MAX_REMEMBERED = 100_000
 
 # What separates words; other control characters are dropped.
 _BLANKS = r"[ \t\n\r\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000]+"
@@ -113,7 +113,8 @@ class WordPiece:
                 return found
 
             values = list(vocab) if result == "string" else list(vocab.values())
-            return expand_values(chunks, known, pa.array(values, pa.string() if result == "string" else pa.int32()))
+            names = pa.array(values, pa.string() if result == "string" else pa.int32())
+            return in_slices(chunks, lambda some: expand_values(some, known, names))
 
         return cut(F.split(text, _BLANKS))
 
@@ -138,7 +139,7 @@ class WordPiece:
 
         @F.arrow_udf("array<int>")
         def encode(lists: pa.Array) -> pa.Array:
-            return map_values(lists, shared.value, shared.value[UNK], pa.int32())
+            return in_slices(lists, lambda some: map_values(some, shared.value, shared.value[UNK], pa.int32()))
 
         return encode(pieces)
 
@@ -151,7 +152,7 @@ class WordPiece:
             names = _worker_memory(name + ":names")
             if not names:
                 names.update((i, p) for p, i in shared.value.items())
-            return map_values(lists, names, UNK, pa.string())
+            return in_slices(lists, lambda some: map_values(some, names, UNK, pa.string()))
 
         return decode(ids)
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lists import fill_nulls, map_values
+from ..functions.lists import Table, fill_nulls, in_slices
 from ..session import written
 from .bits import cells, filter_bits, filter_words, may_hold
 from .skew import BROADCAST_BYTES, FREQUENT, collect_small, frequent_values, lookup
@@ -102,7 +102,7 @@ def tokens_to_ids(
     spark = df.sparkSession
     coded = None if small is False else collect_small(vocab.select(F.col(token), F.col(index).cast("int")))
     if coded is not None:
-        table = spark.sparkContext.broadcast({r[0]: r[1] for r in coded})
+        table = spark.sparkContext.broadcast(Table({r[0]: r[1] for r in coded}))
         return df.withColumn(ids, encode_with(table, unk_id)(F.col(tokens)))
     words = vocab.groupBy(F.col(token).alias("__token")).agg(F.min(F.col(index).cast("int")).alias("__id"))
     # Numbers are stored, so that every reader sees the same.
@@ -113,7 +113,7 @@ def tokens_to_ids(
     # At most so many rows as the sketch gives, so one task may add up their sizes.
     fits = sized.withColumn("__sum", F.sum("__size").over(Window.orderBy(F.desc("count"), "__token")))
     table = {r[0]: r[1] for r in fits.filter(F.col("__sum") <= BROADCAST_BYTES).select("__token", "__id").collect()}
-    table = spark.sparkContext.broadcast({**table, None: unk_id})
+    table = spark.sparkContext.broadcast(Table({**table, None: unk_id}))
     rows = rows.withColumn("__ids", encode_with(table, None)(F.col(tokens)))
     lacking = F.coalesce(F.exists("__ids", lambda i: i.isNull()), F.lit(False))
     rare = (
@@ -130,11 +130,11 @@ def tokens_to_ids(
 
 
 def encode_with(table, unk_id: int | None):
-    """A column function from tokens to indexes over a shared dictionary."""
+    """A column function from tokens to indexes over a shared ``Table``."""
 
     @F.arrow_udf("array<int>")
     def encode(tokens: pa.Array) -> pa.Array:
-        return map_values(tokens, table.value, unk_id, pa.int32())
+        return in_slices(tokens, lambda some: table.value.look_up(some, unk_id))
 
     return encode
 
