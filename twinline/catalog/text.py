@@ -56,7 +56,9 @@ _ALL_SHORT = "ca. x e.g. x eg. x i.e. x ie. x approx. x no. x conf. x et al. x r
 )
 def prenormalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace(F.lower("text"), r"\.\s+([a-z])", f" {_ALL_SHORT} $1")
-    return table(spark, sf_dir, "documents").select("doc_id", clean.prenormalize(text).alias("result"))
+    # A step of its own: the rules look at the text more than once.
+    texts = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return texts.select("doc_id", clean.prenormalize(F.col("text")).alias("result"))
 
 
 _CASES = " ".join(f"WHEN regexp_matches(token, '{p}') THEN '{c}'" for p, c in clean.CONCEPTS)

@@ -118,15 +118,18 @@ PRENORMALIZE = [
 ]
 
 
-# The same rules for lower-case abbreviations, those of one form together. No short form is the end of another one.
+# The same rules for lower-case abbreviations, those of one form together: what stands before a white-space character, from the
+# first character that changes; its whole short form; what follows; the replacement. No short form is the end of another one.
 _FORMS = [
-    (["ca", "approx", "no", "conf", "et al", "ref", "fig"], _NEXT, r"({})\.", "$1  "),
-    (["no"], r"\w\d", r"({})\.", "$1  "),
-    (["J"], "(?:Cell|Bio|Med)", r"({})\.", "$1  "),
-    ([r"e\.g", r"i\.e", r"[yp]\.o", r"i\.v"], _NEXT, r"(?:{})\.(?<=(.)\.(.)\.)", "$1 $2  "),
-    (["eg", "ie", "yo"], _NEXT, r"(?:{})\.(?<=(.)(.)\.)", "$1 $2 "),
-    ([r"[btq]\.i\.\d"], _NEXT, r"(?:{})\.(?<=(.)\.i\.\d\.)", "$1 i d  "),
+    (r"\.", r"(?:ca|approx|no|conf|et al|ref|fig)\.", _NEXT, "  "),
+    (r"\.", r"no\.", r"\w\d", "  "),
+    (r"\.", r"J\.", "(?:Cell|Bio|Med)", "  "),
+    (r"\.([gevo])\.", r"(?:e\.g|i\.e|y\.o|p\.o|i\.v)\.", _NEXT, " $1  "),
+    (r"([geo])\.", r"(?:eg|ie|yo)\.", _NEXT, " $1 "),
+    (r"\.i\.\d\.", r"[btq]\.i\.\d\.", _NEXT, " i d  "),
 ]
+# Found in every text that the next one is found in, and faster to look for.
+_MAY_BE_CAPITAL = r"[A-Z]\S{0,6}\."
 _CAPITAL = (
     r"(?U)\.(?<=(?:Ca|E\.[Gg]|e\.G|E[Gg]|eG|I\.[Ee]|i\.E|I[Ee]|iE|Approx|No|Conf|Ref|Fig|P\.o|I\.v|[BTQ]\.i\.\d)\.)" + _WS
 )
@@ -142,11 +145,9 @@ def prenormalize(col: Column) -> Column:
     one_by_one = together = col
     for short, following, replacement in PRENORMALIZE:
         one_by_one = F.regexp_replace(one_by_one, rf"(?U){short}(?<=\W{short}){_WS}(?={following})", replacement)
-    for shorts, following, form, replacement in _FORMS:
-        any_of = "|".join(shorts)
-        found = form.format(any_of) + rf"(?<=\W(?:{any_of})\.)"
-        together = F.regexp_replace(together, rf"(?U){found}{_WS}(?={following})", replacement)
-    return F.regexp_replace(F.when(col.rlike(_CAPITAL), one_by_one).otherwise(together), _WS_BUT_BLANK, " ")
+    for changed, short, following, replacement in _FORMS:
+        together = F.regexp_replace(together, rf"(?U){changed}(?<=\W{short}){_WS}(?={following})", replacement)
+    return F.regexp_replace(F.when(col.rlike(_MAY_BE_CAPITAL) & col.rlike(_CAPITAL), one_by_one).otherwise(together), _WS_BUT_BLANK, " ")
 
 
 # Concept patterns and their class, in order of precedence.
