@@ -27,3 +27,13 @@ def test_matches_union_find(spark, kind):
             parent[b] = a
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in parent}
+
+
+def test_a_round_takes_few_jobs(spark):
+    spark.sparkContext.setJobGroup("few", "components")
+    try:
+        components(spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Seventy-four before the number and digest of a round's edges were taken while they are written.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 60
