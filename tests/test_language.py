@@ -111,6 +111,27 @@ def test_corpus_vocab_encode(spark, eos, tail):
     assert {r["split"]: r["ids"] for r in edged.collect()}["test"] == [0, 1, 3, 0]
 
 
+def test_corpus_vocab_encode_of_a_large_vocabulary(spark, monkeypatch):
+    from twinline.operators import joins, skew
+
+    rows = [("train", i, [f"w{i % 7}", f"r{i}", "all"]) for i in range(40)] + [("test", i, ["new", "all", f"r{i + 30}"]) for i in range(20)]
+    df = spark.createDataFrame([*rows, ("test", None, None), (None, 1, ["w1"])], "split string, row_id int, tokens array<string>")
+
+    def coded():
+        vocab, found = lm.corpus_vocab_encode(df, "tokens", ["train"])
+        return sorted(((r.split, r.row_id, r.ids) for r in found.collect()), key=str), vocab.count()
+
+    want = coded()
+    monkeypatch.setattr(joins, "collect_small", lambda *_: None)
+    sketched = []
+    monkeypatch.setattr(lm, "frequent_values", lambda rows, *a: sketched.append({r.split for r in rows.collect()}) or skew.frequent_values(rows, *a))
+    assert coded() == want
+    # Counts are at hand for the counted splits.
+    assert sketched == [{"test", None}]
+    monkeypatch.setattr(lm, "FREQUENT", 5)
+    assert coded() == want
+
+
 def test_sampling(spark):
     df = spark.createDataFrame([(i, ["a", "b", "c", "d"][: 1 + i % 4]) for i in range(40)], "row_id int, t array<string>")
     vocab = vocab_by_frequency(df, "t", 1, ())

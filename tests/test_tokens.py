@@ -137,6 +137,19 @@ def test_large_vocabulary_moves_rare_words_only(spark):
     assert frequent_values(df, F.col("t"), 5).orderBy(F.desc("count")).first()["item"] == "the"
 
 
+def test_tokens_are_coded_once_for_a_large_vocabulary(spark):
+    df = spark.createDataFrame([(i, ["a", f"w{i}", "a", None]) for i in range(9)], "k int, t array<string>")
+    vocab = spark.createDataFrame([("a", 2), *[(f"w{i}", 3 + i) for i in range(0, 9, 2)]], "token string, index int")
+    top = spark.createDataFrame([("a", 18)], "item string, count long")
+    coded = tokens_to_ids(df, vocab, "t", "ids", ["k"], 1, small=False, top=top, keep_tokens=False)
+    assert coded.columns == ["k", "ids"]
+    assert sorted((r.k, r.ids) for r in coded.collect()) == [(i, [2, 1 if i % 2 else 3 + i, 2, 1]) for i in range(9)]
+    # What reads the stored codes only fills them: before, each branch coded the tokens anew.
+    coded = tokens_to_ids(df, vocab, "t", "ids", ["k"], 1, small=False)
+    assert coded._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") <= 2
+    assert "encode(" not in coded._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_slices_and_tables_agree_with_dictionaries(monkeypatch):
     import pyarrow as pa
 

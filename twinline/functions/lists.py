@@ -70,6 +70,18 @@ def expand_values(lists: pa.Array, parts_of, names: pa.Array) -> pa.Array:
     return _rebuilt(bounds, names.take(pa.array(flat[places])), lists)
 
 
+def with_rest(lists: pa.Array, ids: pa.Array) -> pa.StructArray:
+    """The ``ids`` of each list, and the ``places`` in it and ``words`` of those values that have none."""
+    bounds = _row_bounds(lists)
+    lacking = np.flatnonzero(ids.flatten().is_null().to_numpy(zero_copy_only=False))
+    rest = np.searchsorted(lacking, bounds)
+    places = pa.array((lacking - np.repeat(bounds[:-1], np.diff(rest))).astype(np.int32))
+    words = lists.flatten().take(pa.array(lacking))
+    ends = pa.array(rest.astype(np.int32))
+    parts = [ids, pa.ListArray.from_arrays(ends, places), pa.ListArray.from_arrays(ends, words)]
+    return pa.StructArray.from_arrays(parts, ["ids", "places", "words"])
+
+
 def fill_nulls(lists: pa.Array, values: pa.Array) -> pa.Array:
     """The nulls inside of each list replaced, in order, by the row's ``values``, one for each null."""
     flat = lists.flatten()

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lists import Table, fill_nulls, in_slices
+from ..functions.lists import Table, fill_nulls, in_slices, with_rest
 from ..session import written
 from .bits import cells, filter_bits, filter_words, may_hold
 from .skew import BROADCAST_BYTES, FREQUENT, collect_small, frequent_values, lookup
@@ -90,6 +90,8 @@ def tokens_to_ids(
     index: str = "index",
     small: bool | None = None,
     frequent: int = FREQUENT,
+    top: DataFrame | None = None,
+    keep_tokens: bool = True,
 ) -> DataFrame:
     """Add the vocabulary index of every token; tokens outside the vocabulary get ``unk_id``.
 
@@ -97,36 +99,36 @@ def tokens_to_ids(
     text uses most: a sketch names about ``frequent`` words, as many of them as a broadcast may hold, and these are
     coded in place, those outside of the vocabulary too. Only the other tokens are joined by word, with place and row
     number, and only rows that have such tokens move to meet their ids; no word among them is hot. ``key`` names the
-    rows for the reader; they are matched by numbers of their own, so keys may repeat or be null.
+    rows for the reader; they are matched by numbers of their own, so keys may repeat or be null. Where the frequent
+    words are known, ``top(item, count)`` stands in for the sketch. ``keep_tokens`` false leaves ``tokens`` out of the rows.
     """
+    kept = [c for c in df.columns if keep_tokens or c != tokens]
     spark = df.sparkSession
     coded = None if small is False else collect_small(vocab.select(F.col(token), F.col(index).cast("int")))
     if coded is not None:
         table = spark.sparkContext.broadcast(Table({r[0]: r[1] for r in coded}))
-        return df.withColumn(ids, encode_with(table, unk_id)(F.col(tokens)))
+        return df.withColumn(ids, encode_with(table, unk_id)(F.col(tokens))).select(*dict.fromkeys([*kept, ids]))
     words = vocab.groupBy(F.col(token).alias("__token")).agg(F.min(F.col(index).cast("int")).alias("__id"))
-    # Numbers are stored, so that every reader sees the same.
-    rows = written(df.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    top = frequent_values(rows, F.col(tokens), frequent).select(F.col("item").alias("__token"), "count")
-    known = written(top.join(words, "__token", "left").withColumn("__id", F.coalesce("__id", F.lit(unk_id))), "frequent")
+    top = frequent_values(df, F.col(tokens), frequent) if top is None else top
+    known = top.select(F.col("item").alias("__token"), "count").join(words, "__token", "left")
+    known = written(known.withColumn("__id", F.coalesce("__id", F.lit(unk_id))), "frequent")
     sized = known.withColumn("__size", F.octet_length(F.to_json(F.struct("__token", "__id"))))
     # At most so many rows as the sketch gives, so one task may add up their sizes.
     fits = sized.withColumn("__sum", F.sum("__size").over(Window.orderBy(F.desc("count"), "__token")))
     table = {r[0]: r[1] for r in fits.filter(F.col("__sum") <= BROADCAST_BYTES).select("__token", "__id").collect()}
     table = spark.sparkContext.broadcast(Table({**table, None: unk_id}))
-    rows = rows.withColumn("__ids", encode_with(table, None)(F.col(tokens)))
-    lacking = F.coalesce(F.exists("__ids", lambda i: i.isNull()), F.lit(False))
-    rare = (
-        rows.filter(lacking)
-        .select("__row", F.posexplode(F.arrays_zip(F.col("__ids").alias("id"), F.col(tokens).alias("token"))).alias("__pos", "e"))
-        .filter("e.id is null")
-        .select("__row", "__pos", F.col("e.token").alias("__token"))
-    )
+    # Rows are coded once and written with what is left to join. Numbers are stored too, so that every reader sees the same.
+    rows = df.select(*kept, F.monotonically_increasing_id().alias("__row"), _encode_some(table)(F.col(tokens)).alias("__coded"))
+    rows = written(rows, "coded")
+    lacking = F.size("__coded.places") > 0
+    rare = rows.filter(lacking).select("__row", F.explode(F.arrays_zip("__coded.places", "__coded.words")).alias("e"))
+    rare = rare.select("__row", F.col("e.places").alias("__pos"), F.col("e.words").alias("__token"))
     each = rare.join(words, "__token", "left").select("__row", F.struct("__pos", F.coalesce("__id", F.lit(unk_id)).alias("id")).alias("e"))
     found = each.groupBy("__row").agg(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["id"]).alias("__found"))
-    filled = rows.filter(lacking).join(found, "__row").withColumn("__ids", _filling()(F.col("__ids"), F.col("__found")))
-    both = rows.filter(~lacking).unionByName(filled.drop("__found"))
-    return both.withColumn(ids, F.col("__ids")).drop("__ids", "__row")
+    whole = rows.select(*kept, "__row", F.col("__coded.ids").alias("__ids"), lacking.alias("__lacking"))
+    filled = whole.filter("__lacking").join(found, "__row").withColumn("__ids", _filling()(F.col("__ids"), F.col("__found")))
+    both = whole.filter("not __lacking").unionByName(filled.drop("__found"))
+    return both.withColumn(ids, F.col("__ids")).select(*dict.fromkeys([*kept, ids]))
 
 
 def encode_with(table, unk_id: int | None):
@@ -139,6 +141,16 @@ def encode_with(table, unk_id: int | None):
     return encode
 
 
+def _encode_some(table):
+    """A column function from tokens to indexes, null outside of the ``Table``, with places and words of those tokens."""
+
+    @F.arrow_udf("ids array<int>, places array<int>, words array<string>")
+    def encode(tokens: pa.Array) -> pa.Array:
+        return in_slices(tokens, lambda some: with_rest(some, table.value.look_up(some, None)))
+
+    return encode
+
+
 def _filling():
     """A column function that puts a row's ids in place of the nulls of its list."""
 

@@ -15,7 +15,7 @@ from ..functions.tokens import exploded
 from ..session import written
 from .joins import tokens_to_ids
 from .position import prefix_sum
-from .skew import is_small
+from .skew import FREQUENT, frequent_values, is_small
 from .split import random_key
 from .vocab import vocab_by_frequency
 
@@ -332,11 +332,18 @@ def corpus_vocab_encode(
 ) -> tuple[DataFrame, DataFrame]:
     """A vocabulary over some splits and all splits encoded with it: ``(vocab, split, row_id, ids)``."""
     words = F.transform(tokens, F.lower) if lower else F.col(tokens)
-    marked = df.select("split", row_id, add_eos(words, eos).alias("__tok"))
+    # Read for the counts, for frequent words and for the codes: cut into tokens once.
+    marked = written(df.select("split", row_id, add_eos(words, eos).alias("__tok")), "marked")
     specials = (EOS, "<unk>") if eos != "double" else (EDGE, "<unk>")
     counted = marked.filter(F.col("split").isin(count_splits))
     vocab = vocab_by_frequency(counted, "__tok", 1, specials, lower=False)
-    coded = tokens_to_ids(marked, vocab, "__tok", "ids", ["split", row_id], unk_id=1)
+    # Words of the counted splits are known by their counts, and the marks are in every row; only other splits are sketched.
+    most = F.when(F.col("index") < len(specials), F.lit(2**62)).otherwise(F.col("count"))
+    known = vocab.filter(F.col("index") < FREQUENT).select(F.col("token").alias("item"), most.alias("count"))
+    others = frequent_values(marked.filter(~F.col("split").isin(count_splits) | F.col("split").isNull()), F.col("__tok"))
+    both = known.unionByName(others.filter(~F.col("item").isin(*specials))).groupBy("item").agg(F.sum("count").alias("count"))
+    top = both.orderBy(F.desc("count"), "item").limit(FREQUENT)
+    coded = tokens_to_ids(marked, vocab, "__tok", "ids", ["split", row_id], unk_id=1, top=top, keep_tokens=False)
     return vocab, coded.select("split", row_id, "ids")
 
 
