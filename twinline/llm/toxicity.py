@@ -3,6 +3,8 @@
 A lexicon of words and word beginnings is learned from labelled documents by log-odds; the features are
 its densities, how near its words stand to second-person words, and rates of capitals, punctuation and
 obfuscation. Lexicon, trees and calibration are fitted on rows of their own.
+
+Spark ML is imported by what fits and scores on the driver: workers read this module for its features only.
 """
 
 from __future__ import annotations
@@ -12,16 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
 from .decontaminate import free_name
-from .words import Words, alphabet, word_slices
+from .words import SLICE_BYTES, Words, alphabet, word_slices
 
 # At most so many labelled rows are used, picked by hash: about half for the lexicon, the rest for trees and calibration.
 MAX_LABELLED = 40_000
@@ -70,6 +70,19 @@ def lower(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit("")))
 
 
+def _own_lower(text: Column) -> Column:
+    """Lower case of texts with other than ASCII letters; null for the others, whose A-Z the table of words lowers."""
+    return F.when(F.octet_length(text) > F.char_length(text), F.lower(text))
+
+
+def _parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about ``SLICE_BYTES`` of text each, so that what is made of a batch doesn't follow its size."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES)) + 1
+    for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(low, high - low)
+
+
 def _hash_words(texts: list[str]) -> np.ndarray:
     return np.concatenate([w.hashes for w in word_slices(pa.array(texts), _TABLE)])
 
@@ -218,13 +231,18 @@ def add_features(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray], text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, second = shared.value
         for batch in batches:
-            found = features(batch.column(plain), batch.column(lowered), lexicon, second)
-            flat = pa.array(found.ravel())
-            ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES))
-            rows = pa.ListArray.from_arrays(ends, flat)
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), rows], [*keep, column])
+            for part in _parts(batch, plain):
+                text = part.column(plain)
+                found = features(text, pc.coalesce(part.column(lowered), text), lexicon, second)
+                flat = pa.array(found.ravel())
+                ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES))
+                rows = pa.ListArray.from_arrays(ends, flat)
+                yield pa.RecordBatch.from_arrays([*map(part.column, keep), rows], [*keep, column])
+            # What a batch took goes back before the next one comes, and before another stage uses this worker.
+            del batch, part, text, found, flat, rows
+            pa.default_memory_pool().release_unused()
 
-    return docs.select(*keep, *sent, lower(F.col(text)).alias(lowered)).mapInArrow(run, schema), column
+    return docs.select(*keep, *sent, _own_lower(F.col(text)).alias(lowered)).mapInArrow(run, schema), column
 
 
 @dataclass
@@ -238,6 +256,8 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, str]:
         """The columns ``keep`` of ``docs`` with a score from 0 to 1; and that column's name."""
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
         name = free_name(docs, "toxicity")
         if self.trees is None:
             return docs.select(*keep, F.lit(self.base).alias(name)), name
@@ -262,6 +282,10 @@ def train(
 
     Rows without an id or a label teach nothing; of several labels of one id the largest counts.
     """
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.regression import IsotonicRegression
+
     known = labels.filter(F.col(key).isNotNull() & F.col("toxic").isNotNull()).filter(~held_out(F.col(key)))
     known = known.groupBy(F.col(key).alias("__id")).agg(F.max("toxic").cast("long").alias("toxic"))
     n = known.count()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are handled in slices of about so many bytes, which bounds the arrays below; one longer text is a slice alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _RNG = np.random.default_rng(20240229)
 _BYTE_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
