@@ -108,3 +108,33 @@ def test_slices_do_not_change_words(make_text, monkeypatch):
     monkeypatch.setattr(W, "SLICE_BYTES", 200)
     assert whole == [s.tolist() for w in word_slices(pa.array(texts), NOT_SPACE) for s in shingle_sets(w, 5)]
     assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
+
+
+def test_hub_pairs_are_ruled_out_by_whole_bitmaps(spark):
+    import numpy as np
+
+    from twinline.llm import jaccard_join as j
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in [2000] * 12 + [700, 1030, 400]]
+    maps = [j.bitmap(t) for t in sets]
+    for x in maps:
+        assert j.least_differences(x, maps, 5).tolist() == [j.least_difference(x, y) for y in maps]
+    # Folded to 512 bits, unlike sets of 2,000 can't be told apart: before, all 66 pairs of them became rows.
+    rows = [(i, len(t), m) for i, (t, m) in enumerate(zip(sets, maps, strict=True))] + [(99, 2000, maps[0])]
+    classes = spark.createDataFrame(rows, "class long, n_shingles long, bits binary")
+    members = classes.selectExpr("-1L as u", "class as v", "class as root")
+    for keep in ("nearest", "each", "all"):
+        found = j._rest(members, classes.select("class"), classes, keep).collect()
+        assert [(r.u, r.v) for r in found] == [(0, 99)]
+
+
+def test_only_buckets_with_a_bare_class_stay_open(spark):
+    from twinline.llm import jaccard_join as j
+
+    members = spark.createDataFrame([(1, 1), (1, 2), (3, 3), (3, 4), (5, 5), (5, 6)], "u long, v long")
+    roots = spark.createDataFrame([(6, 5), (5, 5)], "node long, root long")
+    bare = spark.createDataFrame([(2,), (6,)], "class long")
+    got = sorted((r.u, r.v, r.root) for r in j._open(members, roots, bare).collect())
+    # The second has none, the third is one component.
+    assert got == [(1, 1, 1), (1, 2, 2)]

@@ -140,6 +140,21 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
+def least_differences(x: bytes, others: list[bytes], some: int = 2048) -> np.ndarray:
+    """``least_difference`` of a bitmap and each of several; ``some`` are laid side by side at a time."""
+    out, lengths = np.zeros(len(others), dtype=np.int64), np.array([len(o) for o in others], dtype=np.int64)
+    for length in np.unique(lengths).tolist():
+        size, alike = min(length, len(x)), np.flatnonzero(lengths == length)
+        own = folded(x, 8 * size)
+        for at in (alike[i : i + some] for i in range(0, len(alike), some)):
+            maps = np.frombuffer(b"".join(others[i] for i in at), dtype=np.uint64).reshape(len(at), length // 8)
+            while maps.shape[1] > size // 8:
+                half = maps.shape[1] // 2
+                maps = maps[:, :half] ^ maps[:, half:]
+            out[at] = np.bitwise_count(maps ^ own).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _one_deletions(hot: np.ndarray, log2: int, band: int, left: int, out: list[np.ndarray]) -> int:
     """Index segments of frequent shingles, four times as wide, with their one-deletion neighbours."""
     segments, starts, sums = _subsets(hot, max(1, log2 - 2) if band else log2)
@@ -330,12 +345,14 @@ def _members(heavy: DataFrame) -> DataFrame:
     return heavy.select("members").mapInArrow(run, "u long, v long")
 
 
-def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``u, v, root`` of the members of those ``u`` that have members of several components by ``roots``."""
+def _open(members: DataFrame, roots: DataFrame, bare: DataFrame) -> DataFrame:
+    """``u, v, root`` of the members of those ``u`` that have a ``bare`` member and members of several components by ``roots``."""
     known = members.select("u", "v").join(roots.select(F.col("node").alias("v"), "root"), "v", "left")
+    known = known.join(bare.select(F.col("class").alias("v"), F.lit(True).alias("bare")), "v", "left")
     known = written(known.withColumn("root", F.coalesce("root", "v")), "known")
-    several = known.groupBy("u").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most")
-    return written(known.join(several.select("u"), "u", "left_semi"), "open")
+    spans = known.groupBy("u").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("bare").alias("bare"))
+    several = spans.filter("least < most and bare").select("u")
+    return written(known.select("u", "v", "root").join(several, "u", "left_semi"), "open")
 
 
 def _rest(members: DataFrame, bare: DataFrame, classes: DataFrame, keep: str) -> DataFrame:
@@ -366,15 +383,20 @@ def _rest(members: DataFrame, bare: DataFrame, classes: DataFrame, keep: str) ->
         sizes = group["n_shingles"].to_numpy(dtype=np.int64)
         parts = group["root"].to_numpy(dtype=np.int64)
         maps = np.stack([folded(b) for b in group["bits"]])
+        whole = list(group["bits"])
         seen = [np.zeros((2, 0), dtype=np.int64)]
         for one in np.flatnonzero(asking):
             fits = asked & (4 * np.minimum(sizes, sizes[one]) >= 3 * np.maximum(sizes, sizes[one])) & (parts != parts[one])
             other = np.flatnonzero(fits)
             apart = np.bitwise_count(maps[other] ^ maps[one]).sum(axis=1, dtype=np.int64)
-            close = apart <= (sizes[other] + sizes[one]) // 7
-            other = other[close]
+            most = (sizes[other] + sizes[one]) // 7
+            other, apart, most = other[apart <= most], apart[apart <= most], most[apart <= most]
+            # Folded maps of large sets tell little: what they leave is compared by the whole ones before it becomes a row.
+            if 8 * len(whole[one]) > FOLDED_BITS:
+                apart = least_differences(whole[one], [whole[o] for o in other])
+                other, apart = other[apart <= most], apart[apart <= most]
             if keep != "all" and len(other):
-                other = other[np.lexsort((names[other], apart[close]))]
+                other = other[np.lexsort((names[other], apart))]
                 if keep == "nearest":
                     other = other[:1]
                 else:
@@ -475,18 +497,17 @@ def jaccard_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     load = found.filter("n is not null").groupBy(F.col("u").alias("class")).agg(F.sum("n").alias("n"))
     bare = written(load.join(classes, "class").filter("2 * n > spare").select("class"), "bare")
     members = _members(found.filter("members is not null")).distinct()
-    # Only heavy buckets with a bare class matter.
-    hubs = members.join(bare, F.col("v") == F.col("class"), "left_semi").select("u").distinct()
-    members = members.join(written(hubs, "hubs"), "u", "left_semi")
-    members = written(members, "members")
-    few = classes.join(members.select("v").distinct(), F.col("class") == F.col("v"), "left_semi")
-    few = written(few, "few")
+    members = written(_members(found.filter("members is not null")).distinct(), "members")
     roots = written(components(checked.filter("similar").select("u", "v")), "roots")
     # Nearest partners join most components, so that few pairs are left between those that are different after that.
     for keep in ("nearest", "each", "all"):
-        members = _open(members, roots)
-        rest = _rest(members, bare, few, keep).join(checked.select("u", "v"), ["u", "v"], "left_anti")
-        more = written(_near(rest, few), "more")
+        members = _open(members, roots, bare)
+        few = written(classes.join(members.select("v").distinct(), F.col("class") == F.col("v"), "left_semi"), "few")
+        near = written(_rest(members, bare, few, keep), "rest")
+        # Components only grow: a bare class that no bucket has a partner for by now has none later.
+        ends = near.select(F.explode(F.array("u", "v")).alias("class")).distinct()
+        bare = written(bare.join(ends, "class", "left_semi"), "bare")
+        more = written(_near(near.join(checked.select("u", "v"), ["u", "v"], "left_anti"), few), "more")
         later = written(_verify(more, written(_texts(docs, key, text, classes, more), "texts")), "links")
         checked = checked.unionByName(later)
         edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
