@@ -1,3 +1,7 @@
+import re
+
+from pyspark.sql import functions as F
+
 from twinline.llm import licenses
 from twinline.llm.licenses import scan, train
 
@@ -30,3 +34,42 @@ def test_every_word_of_the_templates_is_looked_for(spark, sf_dir, monkeypatch):
     notices = [" ".join(words[i : i + 30]) for i in range(0, len(words), 30)]
     monkeypatch.setitem(licenses.TEMPLATES, "mit", [*licenses.TEMPLATES["mit"], *notices])
     assert set(words) <= set(train(spark.read.parquet(f"{sf_dir}/documents.parquet")).anchors)
+
+
+def test_paragraph_of_common_words_is_scored(spark, make_text):
+    notice = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met"
+    )
+    words = notice.replace(",", "").split(" ")
+    # Every word of the notice stands in lines of the background too, always between other words.
+    lines = [make_text(3 * i, 8) + f" {words[i % len(words)]} " + make_text(3 * i + 1, 8) for i in range(400)]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)] + [(1000, "Some title\n" + notice)], "doc_id long, text string")
+    got = scan(docs).filter("confirmed").select("doc_id", "place", "family").collect()
+    assert [tuple(r) for r in got] == [(1000, 1, "bsd")]
+
+
+def test_scan_finds_what_scores_of_all_paragraphs_say(spark, sf_dir, make_text):
+    background = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = train(background)
+    notices = [text for texts in licenses.TEMPLATES.values() for text in texts]
+    cut = [" ".join(t.split(" ")[k : k + 5]) for t in notices for k in range(0, len(t.split(" ")), 2)]
+    mixed = [make_text(i, 3) + " " + t.upper() + " " + make_text(i + 1, i % 30) for i, t in enumerate(cut)]
+    rows = [(i, t) for i, t in enumerate(cut + mixed + ["the of to a and", "-", "  ", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(background.select("doc_id", "text").limit(200))
+    lines = licenses.paragraphs(docs)
+    grams = licenses.grams_of(licenses.words_of(F.col("paragraph")))
+    judged = licenses._probabilities(lines.withColumn("grams", grams).distinct(), model).filter(F.col("family") != licenses.NONE)
+    want = sorted((r.doc_id, r.place, round(r.probability, 5)) for r in judged.collect())
+    got = sorted((r.doc_id, r.place, round(r.probability, 5)) for r in scan(docs, model).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and len(got) > 50
+    assert all(abs(g[2] - w[2]) < 1e-4 for g, w in zip(got, want))
+
+
+def test_grams_are_the_distinct_runs(spark):
+    texts = ["", "One", "a b", "a b a b c", "x " * 40, "Licensed under GPL-3.0, or later versions; under GPL-3.0"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in docs.select("t", licenses.grams_of(licenses.words_of(F.col("t"))).alias("g")).collect():
+        words = re.findall("[a-z0-9]+(?:[.-][a-z0-9]+)*", row.t.lower())
+        runs = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+        assert row.g == list(dict.fromkeys(runs))
